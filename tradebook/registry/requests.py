@@ -1,2 +1,285 @@
-QUERIES = {}
-ORACLES = {}
+"""Request operators and change application on batches derived from the whole tables.
+
+The tables after a batch and its refused requests come back together, the latter with a reason.
+"""
+
+from __future__ import annotations
+
+from functools import reduce
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tradebook.operators import requests
+from tradebook.operators.apply import apply_changes
+from tradebook.operators.rules import apply_rules
+from tradebook.registry.rows import as_of, update_sql
+from tradebook.schema import SCHEMAS
+from tradebook.sources.testdata import AS_OF, delete_batch, load_tables, oracle, update_batch, view
+
+BATCH_ID = "b1"
+
+# Request frames; the texts mean the same in Spark and in the checking database.
+_CREATE_SELLERS = """
+    select seq, case when customer_state = 'SA' then '  ' when customer_state = 'SB' then null
+                     else ' '||customer_zip_code_prefix||' ' end zip_code,
+           case when customer_state = 'SC' then '' else customer_city||' ' end city,
+           case when customer_state = 'SD' then 'SPX' when customer_state = 'SE' then null
+                when customer_state = 'SF' then 'Ã' when customer_state = 'SG' then 'é '
+                else lower(customer_state) end state
+    from k_customers"""
+_UPDATE_SELLERS = """
+    select seq, case when order_item_id = 6 then substr(seller_id,1,31) when order_item_id = 7 then null
+                     else ' '||seller_id end seller_id,
+           case when order_item_id = 1 then ' '||substr(order_id,1,5) when order_item_id = 5 then ' ' end new_zip_code,
+           case when order_item_id in (2,4) then 'city '||substr(product_id,1,3)||' ' end new_city,
+           case when order_item_id = 3 and price < 20000 then 'tx' when order_item_id = 4 then 'abc' end new_state
+    from k_order_items"""
+_DELETE_SELLERS = """
+    select seq, case when seller_state < 'SF' then ' '||seller_id||' ' when seller_state < 'SK' then substr(seller_id,1,31)
+                     when seller_state < 'SP' then md5(seller_id) end seller_id
+    from k_sellers"""
+_CREATE_ORDERS = """
+    select seq, case when order_status = 'created' then md5(customer_id) when order_status = 'invoiced' then substr(customer_id,1,31)
+                     when order_status = 'unavailable' then null else ' '||customer_id end customer_id,
+           case when order_status = 'shipped' then null
+                when order_status = 'processing' then cast(order_estimated_delivery_date as date)
+                when order_status = 'canceled' then date '2024-06-01'
+                else cast(order_estimated_delivery_date + interval '30' year as date) end estimated_delivery
+    from k_orders"""
+_UPDATE_ORDERS = """
+    select seq, case when order_item_id = 4 then substr(order_id,1,31) else order_id||'  ' end order_id,
+           case when order_item_id = 1 then ' delivered ' when order_item_id = 3 then 'canceled' end new_status,
+           case when order_item_id in (2,3) then shipping_limit_date end delivered_date
+    from k_order_items"""
+_DELETE_ORDERS = """
+    select seq, case when order_status in ('created','canceled') then order_id||' ' when order_status = 'processing' then substr(order_id,1,31)
+                     when order_status = 'shipped' then null else md5(order_id) end order_id
+    from k_orders"""
+
+
+def _with_rejected(outcome: requests.Outcome, table: str, columns: dict[str, str | None]) -> DataFrame:
+    """Rows after the batch, then refused requests, under common column names."""
+    kept = outcome.tables[table].select(*columns, F.lit(None).cast("string").alias("reason"))
+    types = dict(kept.dtypes)
+    shown = [
+        (F.lit(None) if source is None else F.col(source)).cast(types[name]).alias(name)
+        for name, source in columns.items()
+    ]
+    return kept.unionByName(outcome.rejected.select(*shown, "reason"))
+
+
+_SELLER_COLUMNS = {
+    "seller_id": None,
+    "seller_zip_code_prefix": "zip_code",
+    "seller_city": "city",
+    "seller_state": "state",
+}
+_PATCH_COLUMNS = {
+    "seller_id": "seller_id",
+    "seller_zip_code_prefix": "new_zip_code",
+    "seller_city": "new_city",
+    "seller_state": "new_state",
+}
+_ORDER_COLUMNS = {
+    "order_id": None,
+    "customer_id": "customer_id",
+    "order_status": None,
+    "order_purchase_timestamp": None,
+    "order_estimated_delivery_date": "estimated_delivery",
+}
+
+
+def _create_sellers(spark, sf_dir):
+    sellers = load_tables(spark, sf_dir, "sellers").sellers
+    outcome = requests.create_sellers(sellers, view(spark, sf_dir, _CREATE_SELLERS), BATCH_ID)
+    return _with_rejected(outcome, "sellers", _SELLER_COLUMNS)
+
+
+def _find_sellers(spark, sf_dir):
+    return requests.find_sellers(load_tables(spark, sf_dir, "sellers").sellers, " _f ", " sb ")
+
+
+def _update_sellers(spark, sf_dir):
+    sellers = load_tables(spark, sf_dir, "sellers").sellers
+    outcome = requests.update_sellers(sellers, view(spark, sf_dir, _UPDATE_SELLERS))
+    return _with_rejected(outcome, "sellers", _PATCH_COLUMNS)
+
+
+def _delete_sellers(spark, sf_dir):
+    sellers = load_tables(spark, sf_dir, "sellers").sellers
+    outcome = requests.delete_sellers(sellers, view(spark, sf_dir, _DELETE_SELLERS))
+    return _with_rejected(outcome, "sellers", {"seller_id": "seller_id", "seller_state": None})
+
+
+def _create_orders(spark, sf_dir):
+    tables = load_tables(spark, sf_dir, "orders", "customers")
+    wanted = view(spark, sf_dir, _CREATE_ORDERS)
+    outcome = requests.create_orders(tables.orders, tables.customers, wanted, as_of(), BATCH_ID)
+    return _with_rejected(outcome, "orders", _ORDER_COLUMNS)
+
+
+def _find_orders(spark, sf_dir):
+    return requests.find_orders(load_tables(spark, sf_dir, "orders").orders, status=" shipped ")
+
+
+def _update_orders(spark, sf_dir):
+    orders = load_tables(spark, sf_dir, "orders").orders
+    outcome = requests.update_orders(orders, view(spark, sf_dir, _UPDATE_ORDERS))
+    shown = {
+        "order_id": "order_id",
+        "order_status": "new_status",
+        "order_delivered_customer_date": "delivered_date",
+    }
+    return _with_rejected(outcome, "orders", shown)
+
+
+def _delete_orders_cascade(spark, sf_dir):
+    tables = load_tables(spark, sf_dir, *requests.CASCADE)
+    outcome = requests.delete_orders_cascade(tables, view(spark, sf_dir, _DELETE_ORDERS))
+
+    def counted(part: str, frames: dict[str, DataFrame]) -> list[DataFrame]:
+        return [
+            df.agg(F.lit(table).alias("table_name"), F.lit(part).alias("part"), F.count("*").alias("row_count"))
+            for table, df in frames.items()
+        ]
+
+    parts = counted("remaining", outcome.tables) + counted("removed", outcome.changes)
+    return reduce(DataFrame.unionByName, parts + counted("rejected", {"orders": outcome.rejected}))
+
+
+_LATER = 1_000_000_000_000
+
+
+def _apply_changes(table: str, deleted: str):
+    """Accepted updates of the whole table, then the removal of some of its rows."""
+
+    def query(spark, sf_dir):
+        removals = delete_batch(spark, sf_dir, table).where(deleted).withColumn("seq", F.col("seq") + _LATER)
+        checked = apply_rules(update_batch(spark, sf_dir, table).unionByName(removals), table, as_of())
+        accepted = checked.where(F.col("reason").isNull())
+        return apply_changes(getattr(load_tables(spark, sf_dir, table), table), accepted, table)
+
+    return query
+
+
+QUERIES = {
+    "create_sellers": _create_sellers,
+    "find_sellers": _find_sellers,
+    "update_sellers": _update_sellers,
+    "delete_sellers": _delete_sellers,
+    "create_orders": _create_orders,
+    "find_orders": _find_orders,
+    "update_orders": _update_orders,
+    "delete_orders_cascade": _delete_orders_cascade,
+    "apply_changes_orders": _apply_changes("orders", "old.order_status = 'canceled'"),
+    "apply_changes_geolocation": _apply_changes("geolocation", "old.geolocation_state = 'SC'"),
+}
+
+
+def _has_length(column: str, size: int) -> str:
+    return f"ifnull(octet_length(encode(trim({column}))) = {size}, false)"
+
+
+_CREATE_SELLERS_REASON = f"""case
+    when ifnull(trim(zip_code), '') = '' then 'Input Validation Failed: Zip Code prefix cannot be null or empty.'
+    when ifnull(trim(city), '') = '' then 'Input Validation Failed: City name cannot be null or empty.'
+    when not {_has_length("state", 2)}
+    then 'Input Validation Failed: State must be a valid 2-character abbreviation (e.g., SP).' end"""
+_UPDATE_SELLERS_REASON = f"""case
+    when not {_has_length("seller_id", 32)}
+    then 'Validation Error: Invalid Seller ID. Must be a non-null 32-character hex string.'
+    when trim(new_zip_code) = '' or trim(new_city) = '' or trim(new_state) = ''
+    then 'Validation Error: New modification properties cannot be blank text blocks.'
+    when new_state is not null and not {_has_length("new_state", 2)}
+    then 'Validation Error: Target modification state code must be exactly 2 characters.' end"""
+_DELETE_SELLERS_REASON = f"""case when not {_has_length("seller_id", 32)}
+    then 'Validation Error: Deletion halted. Target Seller ID must be exactly 32 characters.' end"""
+_CREATE_ORDERS_REASON = f"""case
+    when not {_has_length("customer_id", 32)}
+    then 'Validation Error: Customer ID must be a non-null 32-character hex hash.'
+    when estimated_delivery is null or estimated_delivery < date '2024-06-01'
+    then 'Validation Error: Estimated delivery date cannot be empty or in the past.'
+    when trim(customer_id) not in (select customer_id from x_customers)
+    then 'Integrity Error: Provided Customer ID does not exist in the database.' end"""
+_UPDATE_ORDERS_REASON = f"""case when not {_has_length("order_id", 32)}
+    then 'Validation Error: Targeted Order ID must be exactly 32 characters.' end"""
+_DELETE_ORDERS_REASON = f"""case when not {_has_length("order_id", 32)}
+    then 'Validation Error: Target deletion hash length is invalid.' end"""
+
+
+def _checked(text: str, reason: str) -> str:
+    return f"(select *, {reason} as reason from ({text}) r)"
+
+
+def _given(value: str) -> str:
+    return f"arg_max(trim({value}), seq) filter (where {value} is not null)"
+
+
+_NO_REASON = "cast(null as varchar) as reason"
+_DELETED_IDS = f"(select trim(order_id) from {_checked(_DELETE_ORDERS, _DELETE_ORDERS_REASON)} c where reason is null)"
+_COUNTS = " union all ".join(
+    f"""select '{t}' as table_name, 'remaining' as part, cast(count(*) as bigint) as row_count
+        from x_{t} where order_id not in {_DELETED_IDS} union all
+        select '{t}', 'removed', cast(count(*) as bigint) from x_{t} where order_id in {_DELETED_IDS}"""
+    for t in requests.CASCADE
+)
+_KEPT_ORDER_COLUMNS = ", ".join(
+    f"case when u.reason is null then u.{c} else o.{c} end as {c}" for c in SCHEMAS["orders"].fieldNames()
+)
+_KEPT_GEO_COLUMNS = ", ".join(
+    f"case when reason is null then {c} else old_{c} end as {c}" for c in SCHEMAS["geolocation"].fieldNames()
+)
+
+ORACLES = {
+    name: oracle(text)
+    for name, text in {
+        "create_sellers": f"""select seller_id, seller_zip_code_prefix, seller_city, seller_state, {_NO_REASON}
+            from x_sellers union all
+            select case when reason is null then md5('{BATCH_ID}:' || cast(seq as varchar)) end,
+                   case when reason is null then trim(zip_code) else zip_code end,
+                   case when reason is null then trim(city) else city end,
+                   case when reason is null then upper(trim(state)) else state end, reason
+            from {_checked(_CREATE_SELLERS, _CREATE_SELLERS_REASON)} c""",
+        "find_sellers": """select seller_id, seller_zip_code_prefix, seller_city, seller_state from x_sellers
+            where seller_id like '%_f%' and seller_state = 'SB'""",
+        "update_sellers": f"""with checked as {_checked(_UPDATE_SELLERS, _UPDATE_SELLERS_REASON)},
+            patch as (select trim(seller_id) target, {_given("new_zip_code")} zip, {_given("new_city")} city,
+                             upper({_given("new_state")}) state
+                      from checked where reason is null group by 1)
+            select seller_id, ifnull(zip, seller_zip_code_prefix) as seller_zip_code_prefix,
+                   ifnull(city, seller_city) as seller_city, ifnull(state, seller_state) as seller_state, {_NO_REASON}
+            from x_sellers left join patch on seller_id = target
+            union all select seller_id, new_zip_code, new_city, new_state, reason from checked
+            where reason is not null""",
+        "delete_sellers": f"""with checked as {_checked(_DELETE_SELLERS, _DELETE_SELLERS_REASON)}
+            select seller_id, seller_state, {_NO_REASON} from x_sellers
+            where seller_id not in (select trim(seller_id) from checked where reason is null)
+            union all select seller_id, null, reason from checked where reason is not null""",
+        "create_orders": f"""select order_id, customer_id, order_status, order_purchase_timestamp,
+                   order_estimated_delivery_date, {_NO_REASON} from x_orders union all
+            select case when reason is null then md5('{BATCH_ID}:' || cast(seq as varchar)) end,
+                   case when reason is null then trim(customer_id) else customer_id end,
+                   case when reason is null then 'created' end,
+                   case when reason is null then timestamp '{AS_OF}' end,
+                   cast(estimated_delivery as timestamp), reason
+            from {_checked(_CREATE_ORDERS, _CREATE_ORDERS_REASON)} c""",
+        "find_orders": """select order_id, customer_id, order_status, order_purchase_timestamp,
+                   order_delivered_customer_date, order_estimated_delivery_date
+            from x_orders where order_status = 'shipped' order by order_id limit 100""",
+        "update_orders": f"""with checked as {_checked(_UPDATE_ORDERS, _UPDATE_ORDERS_REASON)},
+            patch as (select trim(order_id) target, {_given("new_status")} status,
+                             arg_max(delivered_date, seq) filter (where delivered_date is not null) delivered
+                      from checked where reason is null group by 1)
+            select order_id, ifnull(status, order_status) as order_status,
+                   ifnull(delivered, order_delivered_customer_date) as order_delivered_customer_date, {_NO_REASON}
+            from x_orders left join patch on order_id = target
+            union all select order_id, new_status, delivered_date, reason from checked where reason is not null""",
+        "delete_orders_cascade": f"""{_COUNTS} union all select 'orders', 'rejected', cast(count(*) as bigint)
+            from {_checked(_DELETE_ORDERS, _DELETE_ORDERS_REASON)} c where reason is not null""",
+        "apply_changes_orders": f"""select {_KEPT_ORDER_COLUMNS} from x_orders o
+            join ({update_sql("orders")}) u on o.order_id = u.order_id where o.order_status <> 'canceled'""",
+        "apply_changes_geolocation": f"""select {_KEPT_GEO_COLUMNS}
+            from ({update_sql("geolocation", old_images=True)}) u where old_geolocation_state <> 'SC'""",
+    }.items()
+}

@@ -47,7 +47,7 @@ _MODEL = {
         select p_partkey seq, md5('P'||cast(p_partkey as string)) product_id,
                case when p_size = 40 then null
                     else lower(p_type)||'_'||cast(p_size%12 as string) end product_category_name,
-               length(p_name) product_name_length, p_size*10 product_description_length,
+               cast(length(p_name) as int) product_name_length, p_size*10 product_description_length,
                p_size%6 product_photos_qty, cast(floor(p_retailprice) as int) product_weight_g,
                p_size product_length_cm, p_size%20 product_height_cm, p_size%30 product_width_cm
         from {part}""",
@@ -241,14 +241,16 @@ def oracle(text: str) -> str:
     """A complete statement for the checking database: the views as CTEs, then the text."""
     names = {table: table for table in SOURCE_SCHEMAS}
     ctes = [f"{name} as ({VIEWS[name].format(**names)})" for name in views_used(text)]
-    return f"with {', '.join(ctes)} {text}" if ctes else text
+    if not ctes:
+        return text
+    return f"with {', '.join(ctes)}, " + text[5:] if text.startswith("with ") else f"with {', '.join(ctes)} {text}"
 
 
-def _view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    text = VIEWS[name]
+def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """The result of a text over the views and the given tables."""
     inner = set(_VIEW_NAME.findall(text))
     text = _VIEW_NAME.sub(lambda m: "{" + m.group(0) + "}", text)
-    frames = {view: _view(spark, sf_dir, view) for view in inner}
+    frames = {name: view(spark, sf_dir, VIEWS[name]) for name in inner}
     for source, schema in SOURCE_SCHEMAS.items():
         if "{" + source + "}" in text:
             frames[source] = spark.read.schema(schema).parquet(f"{sf_dir}/{source}.parquet")
@@ -263,13 +265,13 @@ def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
     """The named model tables (all when none is named)."""
     frames = {}
     for table in names or SCHEMAS:
-        df = _view(spark, sf_dir, f"x_{table}")
+        df = view(spark, sf_dir, VIEWS[f"x_{table}"])
         frames[table] = df.select(*_typed(df, table))
     return Tables(**frames)
 
 
 def insert_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = _view(spark, sf_dir, f"i_{table}")
+    df = view(spark, sf_dir, VIEWS[f"i_{table}"])
     return df.select(
         F.lit("I").alias("op"),
         F.col("seq").cast("bigint").alias("seq"),
@@ -279,7 +281,7 @@ def insert_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def update_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = _view(spark, sf_dir, f"u_{table}")
+    df = view(spark, sf_dir, VIEWS[f"u_{table}"])
     return df.select(
         F.lit("U").alias("op"),
         F.col("seq").cast("bigint").alias("seq"),
@@ -289,7 +291,7 @@ def update_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def delete_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = _view(spark, sf_dir, f"k_{table}")
+    df = view(spark, sf_dir, VIEWS[f"k_{table}"])
     return df.select(
         F.lit("D").alias("op"),
         F.col("seq").cast("bigint").alias("seq"),
