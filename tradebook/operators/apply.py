@@ -11,14 +11,16 @@ from tradebook.schema import KEYS, SCHEMAS
 COPIES_PER_TASK = 100_000
 
 
-def apply_changes(contents: DataFrame, accepted: DataFrame, table: str) -> DataFrame:
-    """Insert, replace and remove rows as the changes say; later ``seq`` wins on the same key."""
+def apply_changes(
+    contents: DataFrame, accepted: DataFrame, table: str, order: tuple[str, ...] = ("seq",)
+) -> DataFrame:
+    """Insert, replace and remove rows as the changes say; on the same key the last change wins."""
     if KEYS[table]:
-        return _apply_by_key(contents, accepted, table)
+        return _apply_by_key(contents, accepted, table, order)
     return _apply_by_value(contents, accepted, table)
 
 
-def _last_images(accepted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def _last_images(accepted: DataFrame, keys: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
     """One row per touched key: the image it ends with, NULL when it ends removed.
 
     An update that moves a row to another key removes the old key and sets the new one.
@@ -28,17 +30,17 @@ def _last_images(accepted: DataFrame, keys: tuple[str, ...]) -> DataFrame:
         F.struct(F.lit(1).alias("step"), *[F.col("new")[k].alias(k) for k in keys], F.lit(True).alias("kept")),
     )
     present = F.when(F.col("op") == "I", F.slice(touched, 2, 1)).when(F.col("op") == "D", F.slice(touched, 1, 1))
-    events = accepted.select("seq", "new", F.explode(F.coalesce(present, touched)).alias("event")).select(
+    events = accepted.select(*order, "new", F.explode(F.coalesce(present, touched)).alias("event")).select(
         *[F.col("event")[k].alias(k) for k in keys],
-        F.struct("seq", F.col("event.step").alias("step")).alias("position"),
+        F.struct(*order, F.col("event.step").alias("step")).alias("position"),
         F.when(F.col("event.kept"), F.col("new")).alias("image"),
     )
     return events.groupBy(*keys).agg(F.max_by("image", "position").alias("image"))
 
 
-def _apply_by_key(contents: DataFrame, accepted: DataFrame, table: str) -> DataFrame:
+def _apply_by_key(contents: DataFrame, accepted: DataFrame, table: str, order: tuple[str, ...]) -> DataFrame:
     keys = KEYS[table]
-    last = _last_images(accepted, keys)
+    last = _last_images(accepted, keys, order)
     same_key = [contents[k] == last[k] for k in keys]
     untouched = contents.join(last.select(*keys), same_key, "left_anti")
     written = last.where(F.col("image").isNotNull()).select("image.*")

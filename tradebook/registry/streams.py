@@ -1,2 +1,43 @@
-QUERIES = {}
-ORACLES = {}
+"""The change stream over all tables, in several micro-batches each."""
+
+from __future__ import annotations
+
+from tradebook.registry.audits import all_audit_sql
+from tradebook.registry.rows import as_of
+from tradebook.schema import SCHEMAS
+from tradebook.sources.files import scratch_path, write_table
+from tradebook.sources.testdata import all_changes, oracle
+from tradebook.sources.versions import TableVersions
+from tradebook.streaming import stream_changes
+
+FILES, FILES_PER_BATCH = 4, 2
+
+
+def stream_all(spark, sf_dir) -> TableVersions:
+    """Write the change batches of every table as files and stream them into a change log."""
+    root = scratch_path(spark, "stream")
+    versions = TableVersions(spark, f"{root}/store")
+    running = []
+    for table in SCHEMAS:
+        source = f"{root}/incoming/{table}"
+        write_table(all_changes(spark, sf_dir, table).repartition(FILES, "seq"), source)
+        running.append(
+            stream_changes(
+                versions, table, source, f"{root}/progress/{table}", as_of=as_of(), files_per_batch=FILES_PER_BATCH
+            )
+        )
+    for query in running:
+        query.awaitTermination()
+    return versions
+
+
+def _stream_audit_rows(spark, sf_dir):
+    return stream_all(spark, sf_dir).audit_log().select("at_table", "action_desc", "action_date", "seq")
+
+
+QUERIES = {"stream_audit_rows": _stream_audit_rows}
+ORACLES = {
+    "stream_audit_rows": oracle(
+        f"select at_table, action_desc, action_date, seq from ({all_audit_sql(*SCHEMAS)}) log"
+    )
+}

@@ -1,4 +1,4 @@
-from tradebook.sources.files import read_table, read_tables, write_table
+from tradebook.sources.files import checkpoint_dir, read_table, read_tables, scratch_path, write_table
+from tradebook.sources.versions import TableVersions
 
-
-__all__ = ["read_table", "read_tables", "write_table"]
+__all__ = ["TableVersions", "checkpoint_dir", "read_table", "read_tables", "scratch_path", "write_table"]

@@ -1,0 +1,139 @@
+"""Versions of the base tables and the log of their changes, below one folder.
+
+Parquet files cannot be updated in place, so a batch of changes is first written to the change
+log. Applying it writes the table anew under the batch's own path. A batch becomes visible only
+when its marker, written last, is there; until then a repeated run simply overwrites its own
+output. Reading a table puts logged but not yet applied batches on top of its last version, so
+that frequent small batches need not rewrite a large table each time.
+
+There may be one writer per table at a time.
+"""
+
+from __future__ import annotations
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from tradebook.operators.apply import apply_changes
+from tradebook.schema import AUDIT_SCHEMA, SCHEMAS, Tables, change_schema
+from tradebook.sources.files import read_table, write_table
+
+INITIAL_BATCH = "initial"
+
+_MARKER_SCHEMA = T.StructType(
+    [
+        T.StructField("table_name", T.StringType()),
+        T.StructField("version", T.LongType()),
+        # Where the whole table was written; NULL when the batch was only logged.
+        T.StructField("path", T.StringType()),
+        T.StructField("batch_id", T.StringType()),
+    ]
+)
+
+
+def _log_schema(table: str) -> T.StructType:
+    outcome = [
+        T.StructField("reason", T.StringType()),
+        T.StructField("action_desc", T.StringType()),
+        T.StructField("logged", T.BooleanType()),
+    ]
+    return T.StructType([*change_schema(table).fields, *outcome])
+
+
+class TableVersions:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark = spark
+        self.root = root.rstrip("/")
+
+    @classmethod
+    def create(cls, root: str, tables: Tables) -> TableVersions:
+        """Write the first version of the given tables."""
+        frames = tables.present()
+        versions = cls(next(iter(frames.values())).sparkSession, root)
+        for table, df in frames.items():
+            write_table(df, versions.version_path(table, INITIAL_BATCH))
+        versions.publish(INITIAL_BATCH, {t: versions.version_path(t, INITIAL_BATCH) for t in frames})
+        return versions
+
+    # --- paths
+
+    def version_path(self, table: str, batch_id: str) -> str:
+        return f"{self.root}/tables/{table}/{batch_id}"
+
+    def log_path(self, table: str, batch_id: str) -> str:
+        return f"{self.root}/changes/{table}/batch_id={batch_id}"
+
+    def audit_path(self, table: str, batch_id: str) -> str:
+        return f"{self.root}/audit_log/at_table={table}/batch_id={batch_id}"
+
+    # --- markers
+
+    def markers(self) -> DataFrame:
+        """One row per published batch and table."""
+        try:
+            return self.spark.read.schema(_MARKER_SCHEMA).parquet(f"{self.root}/published")
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return self.spark.createDataFrame([], _MARKER_SCHEMA)
+
+    def is_published(self, batch_id: str) -> bool:
+        return not self.markers().where(F.col("batch_id") == batch_id).isEmpty()
+
+    def _state(self, table: str) -> tuple[str | None, int, int]:
+        """Path of the last whole version, its number, and the number of the last batch."""
+        written = F.when(F.col("path").isNotNull(), F.col("version"))
+        row = (
+            self.markers()
+            .where(F.col("table_name") == table)
+            .agg(F.max_by("path", written).alias("path"), F.max(written).alias("base"), F.max("version").alias("last"))
+            .first()
+        )
+        return row["path"], -1 if row["base"] is None else row["base"], -1 if row["last"] is None else row["last"]
+
+    def publish(self, batch_id: str, paths: dict[str, str | None]) -> None:
+        """Make a batch visible: ``paths`` has each changed table, with the path if it was rewritten."""
+        rows = [(table, self._state(table)[2] + 1, path) for table, path in paths.items()]
+        marker = self.spark.createDataFrame(rows, T.StructType(_MARKER_SCHEMA.fields[:3])).coalesce(1)
+        marker.write.mode("overwrite").parquet(f"{self.root}/published/batch_id={batch_id}")
+
+    # --- reading
+
+    def contents(self, table: str) -> DataFrame:
+        """The table with all published batches."""
+        path, base, last = self._state(table)
+        if path is None:
+            contents = self.spark.createDataFrame([], SCHEMAS[table])
+        else:
+            contents = read_table(self.spark, path, table)
+        if last == base:
+            return contents
+        return apply_changes(contents, self._accepted_since(table, base), table, order=("version", "seq"))
+
+    def tables(self, *names: str) -> Tables:
+        return Tables(**{name: self.contents(name) for name in names or SCHEMAS})
+
+    def logged_batch(self, table: str, batch_id: str) -> DataFrame:
+        """The checked changes of one batch, published or not."""
+        return self.spark.read.schema(_log_schema(table)).parquet(self.log_path(table, batch_id))
+
+    def change_log(self, table: str) -> DataFrame:
+        """All published changes of a table with the reason of refused ones and the audit text."""
+        schema = _log_schema(table).add("batch_id", T.StringType())
+        log = self.spark.read.schema(schema).parquet(f"{self.root}/changes/{table}")
+        published = self.markers().where(F.col("table_name") == table).select("batch_id", "version")
+        return log.join(published, "batch_id")
+
+    def _accepted_since(self, table: str, version: int) -> DataFrame:
+        return self.change_log(table).where((F.col("version") > version) & F.col("reason").isNull())
+
+    def rejected(self, table: str) -> DataFrame:
+        return self.change_log(table).where(F.col("reason").isNotNull()).drop("action_desc", "logged")
+
+    def audit_log(self) -> DataFrame:
+        """The audit rows of all published batches."""
+        published = self.markers().select(F.col("table_name").alias("at_table"), "batch_id")
+        log = self.spark.read.schema(AUDIT_SCHEMA).parquet(f"{self.root}/audit_log")
+        return log.join(published, ["at_table", "batch_id"], "left_semi").select(*AUDIT_SCHEMA.fieldNames())
