@@ -84,14 +84,19 @@ def describe_changes(changes: DataFrame, table: str, limit: int | None = fixed.A
 
 
 def audit_rows(described: DataFrame, table: str, as_of: Column, batch_id: str) -> DataFrame:
-    """The audit rows of the accepted changes."""
-    return described.where(F.col("reason").isNull() & F.col("logged")).select(
+    """The audit rows of the accepted changes.
+
+    As with the accepted changes, a filter would have the texts built a second time.
+    """
+    row = F.struct(
         F.lit(table).alias("at_table"),
-        "action_desc",
+        F.col("action_desc"),
         as_of.alias("action_date"),
         F.lit(batch_id).alias("batch_id"),
-        "seq",
+        F.col("seq"),
     )
+    accepted = F.col("reason").isNull() & F.col("logged")
+    return described.select(F.inline(F.when(accepted, F.array(row)).otherwise(F.array())))
 
 
 def audit_of_table(audit_log: DataFrame, table: str) -> DataFrame:

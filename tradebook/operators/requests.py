@@ -16,10 +16,6 @@ from tradebook.operators.matching import byte_length_is_not, contains_pattern, i
 from tradebook.schema import SCHEMAS, Tables
 
 
-# Tasks over which the removed rows of one id are spread.
-SPREAD = 64
-
-
 @dataclass(frozen=True)
 class Outcome:
     accepted: DataFrame
@@ -80,21 +76,17 @@ def _patch(
 def _remove(contents: DataFrame, table: str, key: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Change frame and remaining rows after removing the rows of the target ids.
 
-    The semi and anti joins take the targets as they come, so they need no distinct, and AQE
-    can split an id that holds very many rows. Only the removed rows then look up the first
-    request that asked for them, each id being spread over several tasks.
+    The semi and anti joins take the targets as they come, without a distinct, so that AQE can
+    split an id that holds very many rows. The removed rows then look up the first request for
+    their id. The first requests pass a shuffle of their own before that join, again to have
+    both of its inputs come straight from a shuffle, as AQE needs for a split.
     """
+    names = SCHEMAS[table].fieldNames()
     is_target = contents[key] == targets["target"]
-    removed = contents.join(targets, is_target, "left_semi").withColumn(
-        "part", F.pmod(F.xxhash64(*SCHEMAS[table].fieldNames()), F.lit(SPREAD)).cast("int")
-    )
-    first = (
-        targets.groupBy("target")
-        .agg(F.min("seq").alias("seq"))
-        .select("target", "seq", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))).alias("part"))
-    )
-    found = removed.join(first, (removed[key] == first["target"]) & (removed["part"] == first["part"]))
-    changes = found.select(*_change("D", F.struct(*[removed[c] for c in SCHEMAS[table].fieldNames()]), _nothing(table)))
+    removed = contents.join(targets, is_target, "left_semi")
+    first = targets.groupBy("target").agg(F.min("seq").alias("seq")).repartition("seq")
+    found = removed.join(first, removed[key] == first["target"])
+    changes = found.select(*_change("D", F.struct(*[removed[c] for c in names]), _nothing(table)))
     left = contents.join(targets, is_target, "left_anti")
     return changes, left
 

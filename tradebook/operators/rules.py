@@ -207,3 +207,13 @@ def apply_rules(
     elif mode != QUARANTINE:
         raise ValueError(f"mode must be {QUARANTINE} or {FAIL}, not {mode!r}")
     return cleansed.withColumn("reason", reason)
+
+
+def accepted_changes(checked: DataFrame) -> DataFrame:
+    """The accepted part of checked changes as a change frame.
+
+    Each change becomes no or one row instead of being filtered: Catalyst would move a filter
+    below the projections and put all rules and cleansing into it a second time.
+    """
+    row = F.struct("op", "seq", "old", "new")
+    return checked.select(F.inline(F.when(F.col("reason").isNull(), F.array(row)).otherwise(F.array())))

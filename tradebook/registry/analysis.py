@@ -13,7 +13,7 @@ MIN_DELAY_DAYS = 5
 MIN_REVIEWS = 700
 SLOW_UNITS = 700
 STATE, CITY, CATEGORY, PAYMENT_TYPE = "SP", "building", "promo_3", "credit_card"
-SELLER_ID = "666bf12219a5494f4bd216aabfc5de72"
+SELLER_ID = "2".rjust(32, "S")
 
 
 _CATEGORY = ("order_items", "products")

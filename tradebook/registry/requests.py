@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tradebook.operators import requests
 from tradebook.operators.apply import apply_changes
-from tradebook.operators.rules import apply_rules
+from tradebook.operators.rules import accepted_changes, apply_rules
 from tradebook.registry.rows import as_of, update_sql
 from tradebook.schema import SCHEMAS
 from tradebook.sources.testdata import AS_OF, delete_batch, load_tables, oracle, update_batch, view
@@ -31,8 +31,8 @@ _CREATE_SELLERS = """
 _UPDATE_SELLERS = """
     select seq, case when order_item_id = 6 then substr(seller_id,1,31) when order_item_id = 7 then null
                      else ' '||seller_id end seller_id,
-           case when order_item_id = 1 then ' '||substr(order_id,1,5) when order_item_id = 5 then ' ' end new_zip_code,
-           case when order_item_id in (2,4) then 'city '||substr(product_id,1,3)||' ' end new_city,
+           case when order_item_id = 1 then ' '||substr(order_id,28) when order_item_id = 5 then ' ' end new_zip_code,
+           case when order_item_id in (2,4) then 'city '||substr(product_id,30)||' ' end new_city,
            case when order_item_id = 3 and price < 20000 then 'tx' when order_item_id = 4 then 'abc' end new_state
     from k_order_items"""
 _DELETE_SELLERS = """
@@ -97,7 +97,7 @@ def _create_sellers(spark, sf_dir):
 
 
 def _find_sellers(spark, sf_dir):
-    return requests.find_sellers(load_tables(spark, sf_dir, "sellers").sellers, " _f ", " sb ")
+    return requests.find_sellers(load_tables(spark, sf_dir, "sellers").sellers, " S_1 ", " sb ")
 
 
 def _update_sellers(spark, sf_dir):
@@ -157,8 +157,7 @@ def _apply_changes(table: str, deleted: str):
     def query(spark, sf_dir):
         removals = delete_batch(spark, sf_dir, table).where(deleted).withColumn("seq", F.col("seq") + _LATER)
         checked = apply_rules(update_batch(spark, sf_dir, table).unionByName(removals), table, as_of())
-        accepted = checked.where(F.col("reason").isNull())
-        return apply_changes(getattr(load_tables(spark, sf_dir, table), table), accepted, table)
+        return apply_changes(getattr(load_tables(spark, sf_dir, table), table), accepted_changes(checked), table)
 
     return query
 
@@ -242,7 +241,7 @@ ORACLES = {
                    case when reason is null then upper(trim(state)) else state end, reason
             from {_checked(_CREATE_SELLERS, _CREATE_SELLERS_REASON)} c""",
         "find_sellers": """select seller_id, seller_zip_code_prefix, seller_city, seller_state from x_sellers
-            where seller_id like '%_f%' and seller_state = 'SB'""",
+            where seller_id like '%S_1%' and seller_state = 'SB'""",
         "update_sellers": f"""with checked as {_checked(_UPDATE_SELLERS, _UPDATE_SELLERS_REASON)},
             patch as (select trim(seller_id) target, {_given("new_zip_code")} zip, {_given("new_city")} city,
                              upper({_given("new_state")}) state

@@ -10,7 +10,7 @@ from tradebook.sources.testdata import all_changes, oracle
 from tradebook.sources.versions import TableVersions
 from tradebook.streaming import stream_changes
 
-FILES, FILES_PER_BATCH = 4, 2
+FILES, FILES_PER_BATCH = 8, 4
 
 
 def stream_all(spark, sf_dir) -> TableVersions:

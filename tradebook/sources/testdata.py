@@ -33,18 +33,18 @@ SOURCE_SCHEMAS = {
 
 _MODEL = {
     "k_customers": """
-        select c_custkey seq, md5('C'||cast(c_custkey as string)) customer_id,
-               md5('U'||cast(c_custkey as string)) customer_unique_id,
+        select c_custkey seq, lpad(cast(c_custkey as string),32,'C') customer_id,
+               lpad(cast(c_custkey as string),32,'U') customer_unique_id,
                lpad(cast(c_custkey as string),5,'0') customer_zip_code_prefix,
                lower(c_mktsegment) customer_city, 'S'||chr(65+c_nationkey) customer_state
         from {customer}""",
     "k_sellers": """
-        select s_suppkey seq, md5('S'||cast(s_suppkey as string)) seller_id,
+        select s_suppkey seq, lpad(cast(s_suppkey as string),32,'S') seller_id,
                lpad(cast(s_suppkey as string),5,'0') seller_zip_code_prefix,
                lower(n_name) seller_city, 'S'||chr(65+s_nationkey) seller_state
         from {supplier} join {nation} on s_nationkey = n_nationkey""",
     "k_products": """
-        select p_partkey seq, md5('P'||cast(p_partkey as string)) product_id,
+        select p_partkey seq, lpad(cast(p_partkey as string),32,'P') product_id,
                case when p_size = 40 then null
                     else lower(p_type)||'_'||cast(p_size%12 as string) end product_category_name,
                cast(length(p_name) as int) product_name_length, p_size*10 product_description_length,
@@ -52,20 +52,18 @@ _MODEL = {
                p_size product_length_cm, p_size%20 product_height_cm, p_size%30 product_width_cm
         from {part}""",
     "k_order_items": """
-        select l_orderkey*1000+order_item_id seq, md5('O'||cast(l_orderkey as string)) order_id,
-               order_item_id, md5('P'||cast(l_partkey as string)) product_id,
-               md5('S'||cast(l_suppkey as string)) seller_id, l_shipdate shipping_limit_date,
+        select l_orderkey*1000+order_item_id seq, lpad(cast(l_orderkey as string),32,'O') order_id,
+               order_item_id, lpad(cast(l_partkey as string),32,'P') product_id,
+               lpad(cast(l_suppkey as string),32,'S') seller_id, l_shipdate shipping_limit_date,
                cast(l_extendedprice as decimal(10,2)) price,
-               case when l_tax = 0 then null
-                    else cast(cast(l_extendedprice as decimal(10,2))*cast(l_tax as decimal(4,2)) as decimal(10,2))
-               end freight_value
+               case when l_tax > 0 then cast(cast(l_quantity as int) as decimal(10,2)) end freight_value
         from (select *, cast(row_number() over (partition by l_orderkey
                         order by l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity,
                                  l_discount, l_tax, l_shipdate) as int) order_item_id
               from {lineitem}) numbered""",
     "k_orders": """
-        select o_orderkey seq, md5('O'||cast(o_orderkey as string)) order_id,
-               md5('C'||cast(o_custkey as string)) customer_id,
+        select o_orderkey seq, lpad(cast(o_orderkey as string),32,'O') order_id,
+               lpad(cast(o_custkey as string),32,'C') customer_id,
                case when o_orderstatus='F' then 'delivered' when o_orderstatus='P' then 'shipped'
                     when o_orderpriority like '1%' then 'canceled' when o_orderpriority like '2%' then 'created'
                     when o_orderpriority like '3%' then 'processing' when o_orderpriority like '4%' then 'invoiced'
@@ -79,19 +77,19 @@ _MODEL = {
                o_orderdate + interval '20' day order_estimated_delivery_date
         from {orders}""",
     "k_order_payments": """
-        select o_orderkey*10+1 seq, md5('O'||cast(o_orderkey as string)) order_id, 1 payment_sequential,
+        select o_orderkey*10+1 seq, lpad(cast(o_orderkey as string),32,'O') order_id, 1 payment_sequential,
                case o_orderkey%4 when 0 then 'credit_card' when 1 then 'boleto'
                                  when 2 then 'voucher' else 'debit_card' end payment_type,
                case when o_orderkey%4=0 then cast(1+o_orderkey%10 as int) else 1 end payment_installments,
                cast(o_totalprice as decimal(10,2)) payment_value
         from {orders}
         union all
-        select o_orderkey*10+2, md5('O'||cast(o_orderkey as string)), 2, 'voucher', 1,
+        select o_orderkey*10+2, lpad(cast(o_orderkey as string),32,'O'), 2, 'voucher', 1,
                cast(o_orderkey%5000 as decimal(10,2))
         from {orders} where o_orderpriority = '1-URGENT'""",
     "k_order_reviews": """
-        select o_orderkey seq, md5('R'||cast(o_orderkey as string)) review_id,
-               md5('O'||cast(o_orderkey as string)) order_id,
+        select o_orderkey seq, lpad(cast(o_orderkey as string),32,'R') review_id,
+               lpad(cast(o_orderkey as string),32,'O') order_id,
                case when o_orderkey%23=0 then null else cast(1+(o_orderkey*7+o_custkey)%5 as int) end review_score,
                case when o_orderpriority = '5-LOW' then null
                     else 'title '||cast(o_orderkey%9 as string) end review_comment_title,
