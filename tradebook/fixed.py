@@ -51,6 +51,10 @@ ORDER_SEARCH_BLANK = "Validation Error: Filters cannot be empty text. Pass NULL
 ORDER_PATCH_ID = "Validation Error: Targeted Order ID must be exactly 32 characters."
 ORDER_DELETE_ID = "Validation Error: Target deletion hash length is invalid."
 
+# --- fixed values: statuses given by the delete operators; %s stands for the id
+SELLER_REMOVED = "SUCCESS: Seller ID %s successfully removed."
+ORDER_REMOVED = "SUCCESS: Order ID %s and all its sub-records purged cleanly."
+
 # --- fixed values: reasons given by the row rules
 CUSTOMER_UNIQUE_ID_NULL = "Update to unique ID cannot be empty"
 LOCATION_PARTIAL = "Update to geolocation fields cannot be partially empty"

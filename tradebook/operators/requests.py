@@ -76,19 +76,16 @@ def _patch(
 def _remove(contents: DataFrame, table: str, key: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Change frame and remaining rows after removing the rows of the target ids.
 
-    The semi and anti joins take the targets as they come, without a distinct, so that AQE can
-    split an id that holds very many rows. The removed rows then look up the first request for
-    their id. The first requests pass a shuffle of their own before that join, again to have
-    both of its inputs come straight from a shuffle, as AQE needs for a split.
+    An id may hold very many rows. AQE splits such an id in a join whose inputs both come
+    straight from a shuffle. That is so in the anti join, which needs no distinct targets, and
+    in the lookup of the first request for an id, since the first requests pass a shuffle of
+    their own before it.
     """
-    names = SCHEMAS[table].fieldNames()
-    is_target = contents[key] == targets["target"]
-    removed = contents.join(targets, is_target, "left_semi")
     first = targets.groupBy("target").agg(F.min("seq").alias("seq")).repartition("seq")
-    found = removed.join(first, removed[key] == first["target"])
-    changes = found.select(*_change("D", F.struct(*[removed[c] for c in names]), _nothing(table)))
-    left = contents.join(targets, is_target, "left_anti")
-    return changes, left
+    removed = contents.join(first, contents[key] == first["target"])
+    old = F.struct(*[contents[c] for c in SCHEMAS[table].fieldNames()])
+    left = contents.join(targets, contents[key] == targets["target"], "left_anti")
+    return removed.select(*_change("D", old, _nothing(table))), left
 
 
 def _filters_or_raise(blank_text: str, *values: str | None) -> None:
@@ -163,6 +160,7 @@ def delete_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
     accepted, rejected = _split(
         requests, (byte_length_is_not(F.col("seller_id"), fixed.ID_BYTES), fixed.SELLER_DELETE_ID)
     )
+    accepted = accepted.withColumn("status", F.format_string(fixed.SELLER_REMOVED, F.trim("seller_id")))
     targets = accepted.select(F.trim("seller_id").alias("target"), "seq")
     changes, after = _remove(sellers, "sellers", "seller_id", targets)
     return Outcome(accepted, rejected, {"sellers": changes}, {"sellers": after})
@@ -243,6 +241,7 @@ def delete_orders_cascade(tables: Tables, requests: DataFrame) -> Outcome:
     accepted, rejected = _split(
         requests, (byte_length_is_not(F.col("order_id"), fixed.ID_BYTES), fixed.ORDER_DELETE_ID)
     )
+    accepted = accepted.withColumn("status", F.format_string(fixed.ORDER_REMOVED, F.trim("order_id")))
     targets = accepted.select(F.trim("order_id").alias("target"), "seq")
     changes, after = {}, {}
     for table in CASCADE:
