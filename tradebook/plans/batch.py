@@ -10,7 +10,7 @@ from tradebook.operators.apply import apply_changes
 from tradebook.operators.audit import audit_rows, describe_changes
 from tradebook.operators.rules import QUARANTINE, RuleOptions, apply_rules
 from tradebook.sources.files import write_table
-from tradebook.sources.versions import TableVersions
+from tradebook.sources.versions import NEW_TABLE, TableVersions
 
 
 def now(spark: SparkSession) -> Column:
@@ -47,7 +47,8 @@ def run_batch(
     the tables are left as they are: readers see the logged changes on top, and a later
     rewriting batch takes them along.
     """
-    if versions.is_published(batch_id):
+    done, states = versions.state(batch_id)
+    if done:
         return False
     if as_of is None:
         as_of = now(versions.spark)
@@ -58,20 +59,21 @@ def run_batch(
         paths[table] = None
         if rewrite:
             accepted = checked.where(F.col("reason").isNull())
-            contents = apply_changes(versions.contents(table), accepted, table)
+            contents = apply_changes(versions.contents(table, states.get(table, NEW_TABLE)), accepted, table)
             paths[table] = versions.version_path(table, batch_id)
             write_table(contents, paths[table])
         audit = audit_rows(checked, table, as_of, batch_id).drop("at_table", "batch_id")
         write_table(audit, versions.audit_path(table, batch_id))
-    versions.publish(batch_id, paths)
+    versions.publish(batch_id, paths, states)
     return True
 
 
 def rewrite_table(versions: TableVersions, table: str, batch_id: str) -> bool:
     """Write a new whole version of a table that takes in all logged batches."""
-    if versions.is_published(batch_id):
+    done, states = versions.state(batch_id)
+    if done:
         return False
     path = versions.version_path(table, batch_id)
-    write_table(versions.contents(table), path)
-    versions.publish(batch_id, {table: path})
+    write_table(versions.contents(table, states.get(table, NEW_TABLE)), path)
+    versions.publish(batch_id, {table: path}, states)
     return True

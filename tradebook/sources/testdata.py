@@ -12,7 +12,7 @@ import re
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tradebook.schema import SCHEMAS, Tables
 
@@ -244,58 +244,77 @@ def oracle(text: str) -> str:
     return f"with {', '.join(ctes)}, " + text[5:] if text.startswith("with ") else f"with {', '.join(ctes)} {text}"
 
 
+# Folders that hold the model tables as files, made by ``materialise`` in this process.
+_MATERIALISED: set[str] = set()
+ROWS_PER_FILE = 50_000
+
+
+def materialise(spark: SparkSession, sf_dir: str, folder: str) -> str:
+    """Write the model tables below ``folder``, which then serves as ``sf_dir`` in this process.
+
+    Timings over it leave out the mapping of the given tables to the model.
+    """
+    for table in SCHEMAS:
+        df = view(spark, sf_dir, VIEWS[f"k_{table}"]).selectExpr("cast(seq as bigint) as seq", *_typed(table))
+        df.write.option("maxRecordsPerFile", ROWS_PER_FILE).parquet(f"{folder}/k_{table}")
+    _MATERIALISED.add(folder)
+    return folder
+
+
+def _base_view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if sf_dir in _MATERIALISED and name.startswith("k_"):
+        schema = T.StructType([T.StructField("seq", T.LongType()), *SCHEMAS[name[2:]].fields])
+        return spark.read.schema(schema).parquet(f"{sf_dir}/{name}")
+    return view(spark, sf_dir, VIEWS[name])
+
+
 def view(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     """The result of a text over the views and the given tables."""
     inner = set(_VIEW_NAME.findall(text))
     text = _VIEW_NAME.sub(lambda m: "{" + m.group(0) + "}", text)
-    frames = {name: view(spark, sf_dir, VIEWS[name]) for name in inner}
+    frames = {name: _base_view(spark, sf_dir, name) for name in inner}
     for source, schema in SOURCE_SCHEMAS.items():
         if "{" + source + "}" in text:
             frames[source] = spark.read.schema(schema).parquet(f"{sf_dir}/{source}.parquet")
     return spark.sql(text, **frames)
 
 
-def _typed(df: DataFrame, table: str, prefix: str = "") -> list:
-    return [F.col(prefix + f.name).cast(f.dataType).alias(f.name) for f in SCHEMAS[table].fields]
+def _typed(table: str, prefix: str = "") -> list[str]:
+    return [f"cast({prefix}{f.name} as {f.dataType.simpleString()}) as {f.name}" for f in SCHEMAS[table].fields]
+
+
+def _image(table: str, prefix: str = "") -> str:
+    fields = [f"'{f.name}', cast({prefix}{f.name} as {f.dataType.simpleString()})" for f in SCHEMAS[table].fields]
+    return f"named_struct({', '.join(fields)})"
 
 
 def load_tables(spark: SparkSession, sf_dir: str, *names: str) -> Tables:
     """The named model tables (all when none is named)."""
     frames = {}
     for table in names or SCHEMAS:
-        df = view(spark, sf_dir, VIEWS[f"x_{table}"])
-        frames[table] = df.select(*_typed(df, table))
+        frames[table] = view(spark, sf_dir, VIEWS[f"x_{table}"]).selectExpr(*_typed(table))
     return Tables(**frames)
 
 
+def _changes(df: DataFrame, op: str, old: str, new: str) -> DataFrame:
+    return df.selectExpr(f"'{op}' as op", "cast(seq as bigint) as seq", f"{old} as old", f"{new} as new")
+
+
+def _nothing(table: str) -> str:
+    return f"cast(null as {SCHEMAS[table].simpleString()})"
+
+
 def insert_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = view(spark, sf_dir, VIEWS[f"i_{table}"])
-    return df.select(
-        F.lit("I").alias("op"),
-        F.col("seq").cast("bigint").alias("seq"),
-        F.lit(None).cast(SCHEMAS[table]).alias("old"),
-        F.struct(*_typed(df, table)).alias("new"),
-    )
+    return _changes(view(spark, sf_dir, VIEWS[f"i_{table}"]), "I", _nothing(table), _image(table))
 
 
 def update_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     df = view(spark, sf_dir, VIEWS[f"u_{table}"])
-    return df.select(
-        F.lit("U").alias("op"),
-        F.col("seq").cast("bigint").alias("seq"),
-        F.struct(*_typed(df, table, "old_")).alias("old"),
-        F.struct(*_typed(df, table, "new_")).alias("new"),
-    )
+    return _changes(df, "U", _image(table, "old_"), _image(table, "new_"))
 
 
 def delete_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    df = view(spark, sf_dir, VIEWS[f"k_{table}"])
-    return df.select(
-        F.lit("D").alias("op"),
-        F.col("seq").cast("bigint").alias("seq"),
-        F.struct(*_typed(df, table)).alias("old"),
-        F.lit(None).cast(SCHEMAS[table]).alias("new"),
-    )
+    return _changes(_base_view(spark, sf_dir, f"k_{table}"), "D", _image(table), _nothing(table))
 
 
 def all_changes(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

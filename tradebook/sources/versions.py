@@ -11,6 +11,8 @@ There may be one writer per table at a time.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -42,6 +44,17 @@ def _log_schema(table: str) -> T.StructType:
     return T.StructType([*change_schema(table).fields, *outcome])
 
 
+@dataclass(frozen=True)
+class TableState:
+    # Where the last whole version is, its number, and the number of the last published batch.
+    path: str | None
+    base: int
+    last: int
+
+
+NEW_TABLE = TableState(None, -1, -1)
+
+
 class TableVersions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -54,7 +67,7 @@ class TableVersions:
         versions = cls(next(iter(frames.values())).sparkSession, root)
         for table, df in frames.items():
             write_table(df, versions.version_path(table, INITIAL_BATCH))
-        versions.publish(INITIAL_BATCH, {t: versions.version_path(t, INITIAL_BATCH) for t in frames})
+        versions.publish(INITIAL_BATCH, {t: versions.version_path(t, INITIAL_BATCH) for t in frames}, {})
         return versions
 
     # --- paths
@@ -79,41 +92,54 @@ class TableVersions:
                 raise
             return self.spark.createDataFrame([], _MARKER_SCHEMA)
 
-    def is_published(self, batch_id: str) -> bool:
-        return not self.markers().where(F.col("batch_id") == batch_id).isEmpty()
-
-    def _state(self, table: str) -> tuple[str | None, int, int]:
-        """Path of the last whole version, its number, and the number of the last batch."""
+    def state(self, batch_id: str | None = None) -> tuple[bool, dict[str, TableState]]:
+        """Whether a batch is published, and where each table stands."""
         written = F.when(F.col("path").isNotNull(), F.col("version"))
-        row = (
+        rows = (
             self.markers()
-            .where(F.col("table_name") == table)
-            .agg(F.max_by("path", written).alias("path"), F.max(written).alias("base"), F.max("version").alias("last"))
-            .first()
+            .groupBy("table_name")
+            .agg(
+                F.max_by("path", written).alias("path"),
+                F.max(written).alias("base"),
+                F.max("version").alias("last"),
+                F.max(F.col("batch_id") == F.lit(batch_id)).alias("done"),
+            )
+            .collect()
         )
-        return row["path"], -1 if row["base"] is None else row["base"], -1 if row["last"] is None else row["last"]
+        states = {r["table_name"]: TableState(r["path"], -1 if r["base"] is None else r["base"], r["last"]) for r in rows}
+        return any(r["done"] for r in rows), states
 
-    def publish(self, batch_id: str, paths: dict[str, str | None]) -> None:
+    def publish(self, batch_id: str, paths: dict[str, str | None], states: dict[str, TableState]) -> None:
         """Make a batch visible: ``paths`` has each changed table, with the path if it was rewritten."""
-        rows = [(table, self._state(table)[2] + 1, path) for table, path in paths.items()]
-        marker = self.spark.createDataFrame(rows, T.StructType(_MARKER_SCHEMA.fields[:3])).coalesce(1)
+        rows = [
+            F.struct(
+                F.lit(table).alias("table_name"),
+                F.lit(states.get(table, NEW_TABLE).last + 1).cast("bigint").alias("version"),
+                F.lit(path).cast("string").alias("path"),
+            )
+            for table, path in paths.items()
+        ]
+        marker = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
         marker.write.mode("overwrite").parquet(f"{self.root}/published/batch_id={batch_id}")
 
     # --- reading
 
-    def contents(self, table: str) -> DataFrame:
+    def contents(self, table: str, state: TableState | None = None) -> DataFrame:
         """The table with all published batches."""
-        path, base, last = self._state(table)
-        if path is None:
+        if state is None:
+            state = self.state()[1].get(table, NEW_TABLE)
+        if state.path is None:
             contents = self.spark.createDataFrame([], SCHEMAS[table])
         else:
-            contents = read_table(self.spark, path, table)
-        if last == base:
+            contents = read_table(self.spark, state.path, table)
+        if state.last == state.base:
             return contents
-        return apply_changes(contents, self._accepted_since(table, base), table, order=("version", "seq"))
+        pending = self._accepted_since(table, state.base)
+        return apply_changes(contents, pending, table, order=("version", "seq"))
 
     def tables(self, *names: str) -> Tables:
-        return Tables(**{name: self.contents(name) for name in names or SCHEMAS})
+        states = self.state()[1]
+        return Tables(**{name: self.contents(name, states.get(name, NEW_TABLE)) for name in names or SCHEMAS})
 
     def logged_batch(self, table: str, batch_id: str) -> DataFrame:
         """The checked changes of one batch, published or not."""
