@@ -104,6 +104,6 @@ def audit_of_table(audit_log: DataFrame, table: str) -> DataFrame:
 
 
 def latest_audit_row(audit_log: DataFrame, table: str) -> DataFrame:
-    """The last audit row of a table."""
-    order = [F.desc(c) for c in ("action_date", "batch_id", "seq")]
+    """The last audit row of a table; the text decides between rows of one change number."""
+    order = [F.desc(c) for c in ("action_date", "batch_id", "seq", "action_desc")]
     return audit_of_table(audit_log, table).orderBy(*order).limit(1)

@@ -6,7 +6,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 
-from tradebook.operators.audit import audit_of_table, audit_rows, describe_changes
+from tradebook.operators.audit import audit_of_table, audit_rows, describe_changes, latest_audit_row
 from tradebook.operators.rules import apply_rules
 from tradebook.registry.rows import as_of, insert_sql, update_sql
 from tradebook.schema import SCHEMAS
@@ -30,8 +30,14 @@ def _audit_by_table(spark, sf_dir):
     return audit_of_table(reduce(DataFrame.unionByName, logs), "customers")
 
 
+def _audit_latest(spark, sf_dir):
+    log = reduce(DataFrame.unionByName, [_audit(all_changes(spark, sf_dir, t), t) for t in ("sellers", "products")])
+    return latest_audit_row(log, "products")
+
+
 QUERIES = {f"audit_{t}_{kind}": _query(t, kind) for t in SCHEMAS for kind in _BATCHES}
 QUERIES["audit_by_table"] = _audit_by_table
+QUERIES["audit_latest"] = _audit_latest
 
 
 def _coordinate(column: str) -> str:
@@ -186,3 +192,7 @@ ORACLES = {f"audit_{t}_{kind}": oracle(audit_sql(t, kind)) for t in SCHEMAS for
 ORACLES["audit_by_table"] = oracle(
     f"select * from ({all_audit_sql('sellers', 'customers')}) log where at_table = 'customers'"
 )
+ORACLES["audit_latest"] = oracle(
+    f"""select * from ({all_audit_sql('sellers', 'products')}) log where at_table = 'products'
+        order by action_date desc, batch_id desc, seq desc, action_desc desc limit 1"""
+)

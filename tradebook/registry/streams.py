@@ -1,12 +1,13 @@
-"""The change stream over all tables, in several micro-batches each."""
+"""Batches and streams of changes that write to a store: contents and audit rows afterwards."""
 
 from __future__ import annotations
 
+from tradebook.plans.batch import run_batch
 from tradebook.registry.audits import all_audit_sql
-from tradebook.registry.rows import as_of
+from tradebook.registry.rows import as_of, update_sql
 from tradebook.schema import SCHEMAS
 from tradebook.sources.files import scratch_path, write_table
-from tradebook.sources.testdata import all_changes, oracle
+from tradebook.sources.testdata import all_changes, load_tables, oracle, update_batch
 from tradebook.sources.versions import TableVersions
 from tradebook.streaming import stream_changes
 
@@ -35,8 +36,35 @@ def _stream_audit_rows(spark, sf_dir):
     return stream_all(spark, sf_dir).audit_log().select("at_table", "action_desc", "action_date", "seq")
 
 
-QUERIES = {"stream_audit_rows": _stream_audit_rows}
+def _batch_contents(spark, sf_dir):
+    """The orders after a batch of updates of the whole table, read back from the store."""
+    orders = load_tables(spark, sf_dir, "orders")
+    versions = TableVersions.create(scratch_path(spark, "batch"), orders)
+    run_batch(versions, {"orders": update_batch(spark, sf_dir, "orders")}, "b1", as_of())
+    return versions.contents("orders")
+
+
+def _logged_contents(spark, sf_dir):
+    """The sellers when a batch is logged on top of the last version but not yet written into it."""
+    sellers = load_tables(spark, sf_dir, "sellers")
+    versions = TableVersions.create(scratch_path(spark, "batch"), sellers)
+    run_batch(versions, {"sellers": update_batch(spark, sf_dir, "sellers")}, "b1", as_of(), rewrite=False)
+    return versions.contents("sellers")
+
+
+def _updated_sql(table: str, key: str) -> str:
+    columns = ", ".join(f"case when u.reason is null then u.{c} else t.{c} end as {c}" for c in SCHEMAS[table].fieldNames())
+    return f"select {columns} from x_{table} t join ({update_sql(table)}) u on t.{key} = u.{key}"
+
+
+QUERIES = {
+    "stream_audit_rows": _stream_audit_rows,
+    "batch_contents": _batch_contents,
+    "batch_logged_contents": _logged_contents,
+}
 ORACLES = {
+    "batch_contents": oracle(_updated_sql("orders", "order_id")),
+    "batch_logged_contents": oracle(_updated_sql("sellers", "seller_id")),
     "stream_audit_rows": oracle(
         f"select at_table, action_desc, action_date, seq from ({all_audit_sql(*SCHEMAS)}) log"
     )

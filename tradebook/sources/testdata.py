@@ -184,7 +184,7 @@ _UPDATE_NEW = {
         "order_status": "case when order_status = 'processing' then 'test status' when order_status = 'invoiced' then 'Shipped' when order_status = 'created' then null else order_status end",
         "order_approved_at": "case when order_status = 'shipped' then order_purchase_timestamp + interval '2' day else order_approved_at end",
         "order_delivered_carrier_date": "case when order_status = 'delivered' and order_approved_at is null then null else order_delivered_carrier_date end",
-        "order_delivered_customer_date": "case when order_status in ('shipped','unavailable') then timestamp '2024-06-01 00:00:00' when order_estimated_delivery_date < order_delivered_customer_date then order_estimated_delivery_date else order_delivered_customer_date end",
+        "order_delivered_customer_date": "case when order_status in ('shipped','unavailable') then order_estimated_delivery_date + interval '1' day when order_estimated_delivery_date < order_delivered_customer_date then order_estimated_delivery_date else order_delivered_customer_date end",
     },
     "geolocation": {
         "geolocation_zip_code_prefix": "case when geolocation_state = 'SB' then '99999' else geolocation_zip_code_prefix end",
@@ -197,7 +197,7 @@ _UPDATE_NEW = {
         "review_score": "case when review_score = 1 then 777 when review_score = 3 then null else review_score end",
         "review_comment_title": "case when review_score = 1 then '777' else review_comment_title end",
         "review_comment_message": "case when review_score in (1,2) then '777' else review_comment_message end",
-        "review_creation_date": "case when review_score in (1,4) then timestamp '2024-06-01 00:00:00' else review_creation_date end",
+        "review_creation_date": "case when review_score in (1,4) then review_creation_date + interval '90' minute else review_creation_date end",
         "review_answer_timestamp": "case when review_score = 1 then review_answer_timestamp + interval '1' hour else review_answer_timestamp end",
     },
     "product_category_name_translation": {"product_category_name_english": "'888'"},
