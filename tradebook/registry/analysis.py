@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from tradebook.functions import delivery_delay, order_total, review_sentiment
 from tradebook.operators import delivery, payments, revenue, sentiment
 from tradebook.plans import follow_ups
@@ -27,6 +25,18 @@ def _query(build, *tables):
     return lambda spark, sf_dir: build(load_tables(spark, sf_dir, *tables))
 
 
+def _slow_categories(tables):
+    return follow_ups.slow_categories(revenue.category_revenue(tables), SLOW_UNITS)
+
+
+def _category_avg_item_value(tables):
+    return follow_ups.average_item_value(revenue.category_revenue(tables))
+
+
+def _delays(tables):
+    return delivery.shipping_delays(tables, MIN_DELAY_DAYS)
+
+
 def _fn_order_total(tables):
     total = order_total("price", "freight_value").alias("order_total")
     return tables.order_items.select("order_id", "order_item_id", total)
@@ -51,15 +61,15 @@ QUERIES = {
     "location_revenue_city": _query(lambda t: revenue.location_revenue(t, STATE, CITY), *_LOCATION),
     "seller_revenue": _query(revenue.seller_revenue, *_SELLER),
     "seller_revenue_one": _query(lambda t: revenue.seller_revenue(t, SELLER_ID), *_SELLER),
-    "shipping_delays": _query(lambda t: delivery.shipping_delays(t, MIN_DELAY_DAYS), *_DELAY_TABLES),
+    "shipping_delays": _query(_delays, *_DELAY_TABLES),
     "sentiment_metrics": _query(lambda t: sentiment.sentiment_metrics(t, MIN_REVIEWS), *_SENTIMENT_TABLES),
     "top_categories_10": _query(lambda t: follow_ups.top_categories(revenue.category_revenue(t)), *_CATEGORY),
-    "slow_categories": _query(lambda t: follow_ups.slow_categories(revenue.category_revenue(t), SLOW_UNITS), *_CATEGORY),
-    "category_avg_item_value": _query(lambda t: follow_ups.average_item_value(revenue.category_revenue(t)), *_CATEGORY),
+    "slow_categories": _query(_slow_categories, *_CATEGORY),
+    "category_avg_item_value": _query(_category_avg_item_value, *_CATEGORY),
     "payment_popularity": _query(lambda t: follow_ups.payment_popularity(payments.payment_metrics(t)), "order_payments"),
     "payment_cash_flow": _query(lambda t: follow_ups.payment_cash_flow(payments.payment_metrics(t)), "order_payments"),
-    "delays_by_state": _query(lambda t: follow_ups.delays_by_state(delivery.shipping_delays(t, MIN_DELAY_DAYS)), *_DELAY_TABLES),
-    "delays_by_city": _query(lambda t: follow_ups.delays_by_city(delivery.shipping_delays(t, MIN_DELAY_DAYS)), *_DELAY_TABLES),
+    "delays_by_state": _query(lambda t: follow_ups.delays_by_state(_delays(t)), *_DELAY_TABLES),
+    "delays_by_city": _query(lambda t: follow_ups.delays_by_city(_delays(t)), *_DELAY_TABLES),
     "sentiment_best": _query(lambda t: follow_ups.best_reviewed(sentiment.sentiment_metrics(t, 20)), *_SENTIMENT_TABLES),
     "sentiment_worst": _query(lambda t: follow_ups.worst_reviewed(sentiment.sentiment_metrics(t, 20)), *_SENTIMENT_TABLES),
     "report_top_categories": _query(lambda t: revenue.report_top_categories(t, 10), *_CATEGORY),
