@@ -3,14 +3,25 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tradebook.llm import quality_rules
+from tradebook.llm import quality_rules, simhash, substring_dedup
 from tradebook.llm.columns import read
 
 
+def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(read(spark, sf_dir, "documents"))
+
+
+def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substring_dedup.dedup(read(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-QUERIES = {"op10_quality_rules": op10_quality_rules}
+_OPERATORS = (op7_simhash_near_duplicates, op9_substring_dedup, op10_quality_rules)
+QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
