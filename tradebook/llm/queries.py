@@ -5,8 +5,21 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import quality_rules, simhash, substring_dedup
+from tradebook.llm import quality_rules, simhash, substring_dedup, token_shards
 from tradebook.llm.columns import read
+from tradebook.sources.files import scratch_path
+
+
+def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch_path(spark, "tokens")
+    token_shards.write(read(spark, sf_dir, "documents"), path, public_tokenizer())
+    return token_shards.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
 def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +35,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-_OPERATORS = (op7_simhash_near_duplicates, op9_substring_dedup, op10_quality_rules)
+_OPERATORS = (op2_token_shards, op7_simhash_near_duplicates, op9_substring_dedup, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
