@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import quality_rules, simhash, substring_dedup, token_shards
+from tradebook.llm import kneser_ney, quality_rules, simhash, substring_dedup, token_shards
 from tradebook.llm.columns import read
 from tradebook.sources.files import scratch_path
 
@@ -26,6 +26,17 @@ def op7_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(read(spark, sf_dir, "documents"))
 
 
+def op8_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 1, F.lit(False))
+    model = kneser_ney.train(docs.filter(~held_out))
+    found = kneser_ney.score(docs, model)
+    return found.select(
+        "doc_id", held_out.alias("held_out"), "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
+        "base_score", "score", "perplexity",
+    )
+
+
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = substring_dedup.dedup(read(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -35,6 +46,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-_OPERATORS = (op2_token_shards, op7_simhash_near_duplicates, op9_substring_dedup, op10_quality_rules)
+_OPERATORS = (op2_token_shards, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {}
