@@ -27,12 +27,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tradebook.llm.columns import written
-from tradebook.llm.words import Words, chunks, groups, rolling, whole
+from tradebook.llm.words import Words, chunks, groups, mixed, rolling, whole
 
 BLOCK = 25
 WINDOW = 2 * BLOCK
 #: Words that a bucket gets on average, beyond the number of shuffle partitions.
-BUCKET_WORDS = 8_000_000
+BUCKET_WORDS = 4_000_000
 #: Documents with spans up to which these are broadcast; a span takes eight bytes.
 BROADCAST_ROWS = 1_000_000
 _HASH_BYTES = 6
@@ -51,35 +51,65 @@ def _own_bucket(ids: np.ndarray, count: int) -> int:
     return -1 - int(ids[0]) % count
 
 
-def _runs(docs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """First place and length of each run of one document."""
-    if not len(docs):
-        return np.empty(0, np.int64), np.empty(0, np.int64)
-    begin = groups(docs)
-    return begin, np.diff(np.append(begin, len(docs)))
+_PACKED = pa.schema([("bucket", pa.int32()), *((c, pa.binary()) for c in ("ids", "keys", "lengths", "places", "one", "two"))])
+_PACKED_SQL = "bucket int, ids binary, keys binary, lengths binary, places binary, one binary, two binary"
+_SPANS = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("spans", pa.binary())])
+
+
+def _row(bucket: int, ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, one: bytes = b"", two: bytes = b"") -> dict:
+    """Places in several documents as one row; ``doc``, in runs, says which of ``ids`` each is in."""
+    begin = groups(doc) if len(doc) else np.empty(0, np.int64)
+    place = place.astype("<u4")
+    return {
+        "bucket": bucket,
+        "ids": ids[doc[begin]].astype("<i8").tobytes(),
+        "keys": keys[doc[begin]].astype("<i8").tobytes(),
+        "lengths": np.diff(np.append(begin, len(doc))).astype("<u4").tobytes() if len(doc) else b"",
+        # Low and high halves apart: the high ones are nearly all zero and compress to nothing.
+        "places": (place & 0xFFFF).astype("<u2").tobytes() + (place >> 16).astype("<u2").tobytes(),
+        "one": one,
+        "two": two,
+    }
+
+
+def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """ids and keys of the documents of several rows, and for each place its document and the place."""
+    rows = table.select(["ids", "keys", "lengths", "places"]).to_pylist()
+    ids = np.concatenate([np.frombuffer(r["ids"], "<i8") for r in rows])
+    keys = np.concatenate([np.frombuffer(r["keys"], "<i8") for r in rows])
+    lengths = np.concatenate([np.frombuffer(r["lengths"], "<u4") for r in rows])
+    halves = [np.frombuffer(r["places"], "<u2").reshape(2, -1) for r in rows]
+    places = np.concatenate([h[0] | (h[1].astype(np.uint32) << np.uint32(16)) for h in halves])
+    return ids, keys, np.repeat(np.arange(len(ids), dtype=np.int32), lengths), places
+
+
+def _to_documents(ids: np.ndarray, keys: np.ndarray, doc: np.ndarray, place: np.ndarray, buckets: int) -> pa.Table:
+    """Found places, one row for each bucket of documents."""
+    home = (mixed(ids.astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)[doc]
+    rows = [_row(b, ids, keys, doc[take], place[take]) for b, take in _packed(np.arange(len(doc)), home, buckets)]
+    return pa.Table.from_batches([pa.RecordBatch.from_pylist(rows, _PACKED)])
 
 
 def _anchor_records(buckets: int):
     """Packs the 25-word windows of a chunk of texts by bucket of their hash.
 
-    Rows: bucket, ids (documents), lengths (windows of each), places, hashes; a row with a bucket below
-    zero has anchors that the chunk has found by itself.
+    A row with a bucket below zero has anchors that the chunk has found by itself.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks(batches):
             words = Words(chunk.column("text"))
-            ids = chunk.column("doc_id").to_numpy()
+            ids, keys = chunk.column("doc_id").to_numpy(), chunk.column("key").to_numpy()
             at_word = np.flatnonzero(whole(words.starts, BLOCK))
             if not len(at_word):
                 continue
             hashes = rolling(words.hashes(), BLOCK)[at_word]
-            row = words.text_of_word()[at_word]
-            place = at_word - words.starts[row]
+            doc = words.text_of_word()[at_word]
+            place = at_word - words.starts[doc]
             block = place % BLOCK == 0
             order = np.argsort(hashes, kind="stable")
             begin = groups(hashes[order])
-            own = ids[row][order]
+            own = ids[doc][order]
             shared = (np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)) & np.logical_or.reduceat(block[order], begin)
             sizes = np.diff(np.append(begin, len(order)))
             proven = np.empty(len(order), bool)
@@ -91,105 +121,41 @@ def _anchor_records(buckets: int):
             first_block[group_of[blocks[::-1]]] = order[blocks[::-1]]
             sent = ~proven
             sent[first_block[shared]] = True
-            for bucket, take in ((_own_bucket(ids, buckets), np.flatnonzero(proven)), *_packed(np.flatnonzero(sent), (hashes[sent] % np.uint64(buckets)).astype(np.int64), buckets)):
-                start, length = _runs(row[take])
-                low = place[take].astype("<u4")
-                yield pa.record_batch(
-                    [
-                        pa.array([bucket], pa.int32()),
-                        pa.array([ids[row[take[start]]].astype("<i8").tobytes()], pa.binary()),
-                        pa.array([length.astype("<u4").tobytes()], pa.binary()),
-                        # Low and high halves apart: the high ones are nearly all zero and compress to nothing.
-                        pa.array([(low & 0xFFFF).astype("<u2").tobytes() + (low >> 16).astype("<u2").tobytes()], pa.binary()),
-                        pa.array([(hashes[take] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES].tobytes() if bucket >= 0 else b""], pa.binary()),
-                    ],
-                    ["bucket", "ids", "lengths", "places", "hashes"],
-                )
+            rows = [_row(_own_bucket(ids, buckets), ids, keys, doc[proven], place[proven])]
+            for bucket, take in _packed(np.flatnonzero(sent), (hashes[sent] % np.uint64(buckets)).astype(np.int64), buckets):
+                # The bucket says the rest of the hash.
+                rest = (hashes[take] // np.uint64(buckets)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :_HASH_BYTES]
+                rows.append(_row(bucket, ids, keys, doc[take], place[take], rest.tobytes()))
+            yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
     return run
 
 
-_ANCHORS = "bucket int, ids binary, lengths binary, places binary, hashes binary"
-_HITS = pa.schema([("doc_id", pa.int64()), ("at", pa.binary())])
-
-
-def _unpacked(places: bytes) -> np.ndarray:
-    halves = np.frombuffer(places, "<u2").reshape(2, -1).astype(np.uint32)
-    return halves[0] | (halves[1] << np.uint32(16))
-
-
-def _hits(ids: np.ndarray, docs: np.ndarray, at: np.ndarray) -> pa.RecordBatch:
-    begin, length = _runs(docs)
-    return pa.record_batch(
-        [
-            pa.array(ids[docs[begin]], pa.int64()),
-            pa.array([at[b : b + n].astype("<u4").tobytes() for b, n in zip(begin.tolist(), length.tolist(), strict=True)], pa.binary()),
-        ],
-        schema=_HITS,
-    )
-
-
-def _proven(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for ids, lengths, places in zip(*(batch.column(c).to_pylist() for c in ("ids", "lengths", "places")), strict=True):
-            ids, lengths = np.frombuffer(ids, "<i8"), np.frombuffer(lengths, "<u4")
-            yield _hits(ids, np.repeat(np.arange(len(ids)), lengths), _unpacked(places))
-
-
-def _probe(table: pa.Table) -> pa.Table:
-    """Anchors among the windows of one bucket: their hash is in several chunks, and a block in one."""
-    columns = [table.column(c).to_pylist() for c in ("ids", "lengths", "places", "hashes")]
-    ids = np.concatenate([np.frombuffer(x, "<i8") for x in columns[0]])
-    lengths = np.concatenate([np.frombuffer(x, "<u4") for x in columns[1]])
-    places = np.concatenate([_unpacked(x) for x in columns[2]])
-    hashes = np.zeros((len(places), 8), np.uint8)
-    hashes[:, :_HASH_BYTES] = np.frombuffer(b"".join(columns[3]), np.uint8).reshape(-1, _HASH_BYTES)
-    hashes = hashes.view("<u8").ravel()
-    doc = np.repeat(np.arange(len(ids)), lengths)
-    order = np.argsort(hashes, kind="stable")
-    begin = groups(hashes[order])
-    own = ids[doc][order]
-    shared = (np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)) & np.logical_or.reduceat(places[order] % BLOCK == 0, begin)
-    found = np.sort(order[np.repeat(shared, np.diff(np.append(begin, len(order))))])
-    return pa.Table.from_batches([_hits(ids, doc[found], places[found])])
-
-
-def _merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Union of the ranges [begin, end), which come in ascending order."""
-    if not len(begin):
-        return begin, end
-    top = np.maximum.accumulate(end)
-    new = np.concatenate(([True], begin[1:] > top[:-1]))
-    last = np.append(np.flatnonzero(new)[1:] - 1, len(begin) - 1)
-    return begin[new], top[last]
-
-
-def _spans(before: int, after: int):
-    """The places of each document as merged ranges [place - before, place + after)."""
-
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            spans = []
-            for lists in batch.column("at").to_pylist():
-                at = np.unique(np.frombuffer(b"".join(lists), "<u4")).astype(np.int64)
-                begin, end = _merged(np.maximum(at - before, 0), at + after)
-                spans.append(np.stack([begin, end], axis=1).astype("<u4").tobytes())
-            names = [n for n in batch.schema.names if n != "at"]
-            yield pa.record_batch([*(batch.column(n) for n in names), pa.array(spans, pa.binary())], [*names, "spans"])
+def _probe(buckets: int):
+    """Anchors among the windows of one bucket: their hash is in several documents, and a block in one."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, keys, doc, place = _unpacked(table)
+        if table.column("bucket")[0].as_py() < 0:
+            return _to_documents(ids, keys, doc, place, buckets)
+        hashes = np.zeros((len(place), 8), np.uint8)
+        hashes[:, :_HASH_BYTES] = np.frombuffer(b"".join(table.column("one").to_pylist()), np.uint8).reshape(-1, _HASH_BYTES)
+        hashes = hashes.view("<u8").ravel()
+        order = np.argsort(hashes, kind="stable")
+        begin = groups(hashes[order])
+        own = ids[doc][order]
+        several = np.minimum.reduceat(own, begin) != np.maximum.reduceat(own, begin)
+        shared = several & np.logical_or.reduceat(place[order] % BLOCK == 0, begin)
+        found = np.sort(order[np.repeat(shared, np.diff(np.append(begin, len(order))))])
+        return _to_documents(ids, keys, doc[found], place[found], buckets)
 
     return run
 
 
-def _of_documents(spans: DataFrame) -> DataFrame:
-    """``spans`` to be joined with the texts: broadcast while it is proven to be small."""
-    return F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-
-
 def _candidate_records(buckets: int):
     """50-word windows that start in the spans of a text, one for all copies that a chunk has.
 
-    Rows: bucket, doc_id, key, at, first and second hash of each; a row with a bucket below zero has
-    places that the chunk itself proves to be repeats.
+    A row with a bucket below zero has places that the chunk itself proves to be repeats.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,34 +172,22 @@ def _candidate_records(buckets: int):
             if not len(at_word):
                 continue
             one, two = (rolling(words.hashes(seed), WINDOW)[at_word] for seed in (1, 2))
-            row = words.text_of_word()[at_word]
+            doc = words.text_of_word()[at_word]
             ids, keys = chunk.column("doc_id").to_numpy(), chunk.column("key").to_numpy()
-            place = at_word - words.starts[row]
-            least = _least_ids(one, two, ids[row])
-            repeat = ids[row] > least
-            for bucket, take in ((_own_bucket(ids, buckets), np.flatnonzero(repeat)), *_packed(np.flatnonzero(~repeat), (one[~repeat] % np.uint64(buckets)).astype(np.int64), buckets)):
-                begin, length = _runs(row[take])
-                pieces = [take[b : b + n] for b, n in zip(begin.tolist(), length.tolist(), strict=True)]
-                yield pa.record_batch(
-                    [
-                        pa.array([bucket] * len(pieces), pa.int32()),
-                        pa.array(ids[row[take[begin]]], pa.int64()),
-                        pa.array(keys[row[take[begin]]], pa.int64()),
-                        pa.array([place[p].astype("<u4").tobytes() for p in pieces], pa.binary()),
-                        pa.array([one[p].astype("<u8").tobytes() if bucket >= 0 else b"" for p in pieces], pa.binary()),
-                        pa.array([two[p].astype("<u8").tobytes() if bucket >= 0 else b"" for p in pieces], pa.binary()),
-                    ],
-                    ["bucket", "doc_id", "key", "at", "one", "two"],
-                )
+            place = at_word - words.starts[doc]
+            repeat = ids[doc] > _least_ids(one, two, ids[doc])
+            rows = [_row(_own_bucket(ids, buckets), ids, keys, doc[repeat], place[repeat])]
+            for bucket, take in _packed(np.flatnonzero(~repeat), (one[~repeat] % np.uint64(buckets)).astype(np.int64), buckets):
+                rows.append(_row(bucket, ids, keys, doc[take], place[take], one[take].astype("<u8").tobytes(), two[take].astype("<u8").tobytes()))
+            yield pa.RecordBatch.from_pylist(rows, _PACKED)
 
     return run
 
 
-_CANDIDATES = "bucket int, doc_id long, key long, at binary, one binary, two binary"
-
-
 def _least_ids(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
     """The smallest id with the same two hashes, for each place."""
+    if not len(one):
+        return np.empty(0, np.int64)
     order = np.lexsort((two, one))
     new = np.ones(len(order), bool)
     new[1:] = (one[order][1:] != one[order][:-1]) | (two[order][1:] != two[order][:-1])
@@ -243,22 +197,50 @@ def _least_ids(one: np.ndarray, two: np.ndarray, ids: np.ndarray) -> np.ndarray:
     return out
 
 
-def _repeats(table: pa.Table) -> pa.Table:
+def _repeats(buckets: int):
     """Places of one bucket whose window is also in a document with a smaller id."""
-    lists = {c: table.column(c).to_pylist() for c in ("at", "one", "two")}
-    at = np.frombuffer(b"".join(lists["at"]), "<u4")
-    one, two = (np.frombuffer(b"".join(lists[c]), "<u8") for c in ("one", "two"))
-    row = np.repeat(np.arange(table.num_rows), [len(x) // 4 for x in lists["at"]])
-    ids, keys = table.column("doc_id").to_numpy(), table.column("key").to_numpy()
-    found = np.flatnonzero(ids[row] > _least_ids(one, two, ids[row]))
-    begin, length = _runs(row[found])
-    return pa.table(
-        {
-            "doc_id": pa.array(ids[row[found[begin]]], pa.int64()),
-            "key": pa.array(keys[row[found[begin]]], pa.int64()),
-            "at": pa.array([at[found[b : b + n]].tobytes() for b, n in zip(begin.tolist(), length.tolist(), strict=True)], pa.binary()),
-        }
-    )
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, keys, doc, place = _unpacked(table)
+        if table.column("bucket")[0].as_py() < 0:
+            return _to_documents(ids, keys, doc, place, buckets)
+        one, two = (np.frombuffer(b"".join(table.column(c).to_pylist()), "<u8") for c in ("one", "two"))
+        found = np.flatnonzero(ids[doc] > _least_ids(one, two, ids[doc]))
+        return _to_documents(ids, keys, doc[found], place[found], buckets)
+
+    return run
+
+
+def _spans(before: int, after: int):
+    """The places of each document of a bucket as merged ranges [place - before, place + after)."""
+
+    def run(table: pa.Table) -> pa.Table:
+        ids, keys, doc, place = _unpacked(table)
+        if not len(place):
+            return _SPANS.empty_table()
+        own, key, at = ids[doc], keys[doc], place.astype(np.int64)
+        order = np.lexsort((at, key, own))
+        own, key, at = own[order], key[order], at[order]
+        first, end = np.maximum(at - before, 0), at + after
+        document = np.ones(len(at), bool)
+        document[1:] = (own[1:] != own[:-1]) | (key[1:] != key[:-1])
+        # Ranges of one document have one length, but for those cut at its start, so their ends ascend.
+        new = document.copy()
+        new[1:] |= first[1:] > end[:-1]
+        begin = np.flatnonzero(new)
+        spans = np.stack([first[begin], end[np.append(begin[1:], len(at)) - 1]], axis=1).astype("<u4")
+        rows = np.flatnonzero(document[begin])
+        bounds = np.append(rows, len(begin)).tolist()
+        heads = begin[rows]
+        data = [spans[a:b].tobytes() for a, b in zip(bounds, bounds[1:], strict=False)]
+        return pa.table([pa.array(own[heads]), pa.array(key[heads]), pa.array(data, pa.binary())], schema=_SPANS)
+
+    return run
+
+
+def _of_documents(spans: DataFrame) -> DataFrame:
+    """``spans`` to be joined with the texts: broadcast while it is proven to be small."""
+    return F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
@@ -267,32 +249,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     Spans are pairs of little-endian 32-bit word places, first and one past the last.
     """
     docs = docs.filter("doc_id is not null")
-    session = docs.sparkSession
     n_words = (docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // 6
-    buckets = max(int(session.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS)
-    packed = docs.select("doc_id", "text").mapInArrow(_anchor_records(buckets), _ANCHORS)
-    # What a chunk has proven and what goes to buckets takes one way through the shuffle: texts are read once.
-    hits = packed.groupBy("bucket").applyInArrow(_anchors_of, "doc_id long, at binary")
-    candidates = written(
-        hits.groupBy("doc_id").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(BLOCK, 1), "doc_id long, spans binary"), "spans"
-    )
-    near = docs.join(_of_documents(candidates), "doc_id").select("doc_id", "key", "text", "spans")
-    records = near.mapInArrow(_candidate_records(buckets), _CANDIDATES)
-    repeats = records.groupBy("bucket").applyInArrow(_repeats_of, "doc_id long, key long, at binary")
-    return written(
-        repeats.groupBy("doc_id", "key").agg(F.collect_list("at").alias("at")).mapInArrow(_spans(0, WINDOW), "doc_id long, key long, spans binary"),
-        "spans",
-    )
-
-
-def _anchors_of(table: pa.Table) -> pa.Table:
-    if table.column("bucket")[0].as_py() < 0:
-        return pa.Table.from_batches(list(_proven(table.to_batches())), _HITS)
-    return _probe(table)
-
-
-def _repeats_of(table: pa.Table) -> pa.Table:
-    return table.select(["doc_id", "key", "at"]) if table.column("bucket")[0].as_py() < 0 else _repeats(table)
+    buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), n_words // BUCKET_WORDS)
+
+    def spans(texts: DataFrame, records, found, before: int, after: int) -> DataFrame:
+        packed = texts.mapInArrow(records(buckets), _PACKED_SQL)
+        places = packed.groupBy("bucket").applyInArrow(found(buckets), _PACKED_SQL)
+        merged = places.groupBy("bucket").applyInArrow(_spans(before, after), "doc_id long, key long, spans binary")
+        return written(merged, "spans")
+
+    candidates = spans(docs, _anchor_records, _probe, BLOCK, 1)
+    near = docs.join(_of_documents(candidates), ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
+    return spans(near, _candidate_records, _repeats, 0, WINDOW)
 
 
 def dedup(docs: DataFrame) -> DataFrame:

@@ -20,7 +20,7 @@ _LOWER[65:91] += 32
 _BASE = 0x9E3779B97F4A7C15
 _MASK = (1 << 64) - 1
 #: Bytes of text that a task works on at a time; a longer text is taken alone.
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 4 << 20
 
 
 def chunks(batches: Iterable[pa.RecordBatch], column: str = "text", size: int = CHUNK_BYTES) -> Iterator[pa.Table]:
