@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import html_extraction, kneser_ney, quality_rules, simhash, substring_dedup, token_shards, url_filter
+from tradebook.llm import html_extraction, kneser_ney, license_scan, quality_rules, simhash, substring_dedup, token_shards, url_filter
 from tradebook.llm.columns import read
 from tradebook.sources.files import scratch_path
 
@@ -16,6 +16,10 @@ def public_tokenizer(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(read(spark, sf_dir, "documents"))
+
+
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_shards.write(read(spark, sf_dir, "documents"), path, public_tokenizer())
@@ -54,6 +58,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-_OPERATORS = (op2_token_shards, op4_url_filter, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
+_OPERATORS = (op1_license_scan, op2_token_shards, op4_url_filter, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _OPERATORS}
-ORACLES: dict[str, str] = {"op4_url_filter": url_filter.oracle_sql()}
+ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op4_url_filter": url_filter.oracle_sql()}
