@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import html_extraction, kneser_ney, license_scan, quality_rules, simhash, substring_dedup, token_shards, url_filter
+from tradebook.llm import decontamination, html_extraction, kneser_ney, license_scan, quality_rules, simhash, substring_dedup, token_shards, url_filter
 from tradebook.llm.columns import read
 from tradebook.sources.files import scratch_path
 
@@ -26,6 +26,10 @@ def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_shards.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
 
 
+def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.leaks(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
@@ -58,6 +62,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-_OPERATORS = (op1_license_scan, op2_token_shards, op4_url_filter, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
+_OPERATORS = (op1_license_scan, op2_token_shards, op3_benchmark_decontamination, op4_url_filter, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op4_url_filter": url_filter.oracle_sql()}
