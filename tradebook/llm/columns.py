@@ -39,3 +39,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+#: Bytes up to which one side of a join is broadcast; measured before it is done.
+BROADCAST_BYTES = 64 << 20
+
+
+def bounded(df: DataFrame) -> DataFrame:
+    """``df``, a written table to be joined, marked for broadcast while its measured size allows it."""
+    wide = [F.sum(F.octet_length(c)) for c, kind in df.dtypes if kind in ("binary", "string")]
+    rows, *sizes = df.agg(F.count("*"), *wide).first()
+    return F.broadcast(df) if 16 * len(df.columns) * rows + sum(x or 0 for x in sizes) <= BROADCAST_BYTES else df

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import decontamination, html_extraction, kneser_ney, license_scan, quality_rules, simhash, substring_dedup, token_shards, url_filter
+from tradebook.llm import decontamination, html_extraction, kneser_ney, license_scan, mixing, quality_rules, simhash, substring_dedup, token_shards, url_filter
 from tradebook.llm.columns import read
 from tradebook.sources.files import scratch_path
 
@@ -34,6 +34,10 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read(spark, sf_dir, "pages"))
 
 
+def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.schedule(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
 def op6_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract(read(spark, sf_dir, "pages"))
 
@@ -62,6 +66,6 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
-_OPERATORS = (op1_license_scan, op2_token_shards, op3_benchmark_decontamination, op4_url_filter, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
+_OPERATORS = (op1_license_scan, op2_token_shards, op3_benchmark_decontamination, op4_url_filter, op5_mixing, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op4_url_filter": url_filter.oracle_sql()}

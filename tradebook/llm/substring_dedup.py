@@ -10,7 +10,7 @@ meet by two 64-bit hashes, and a window is a repeat if the smallest document wit
 Windows are never listed in pairs: what a bucket works out is one smallest id per hash. A task
 settles by itself what its own texts prove, and sends one window for all its copies, so a passage in
 a third of all documents arrives once per task and not once per document. Spans are given to the texts
-by a broadcast only below ``BROADCAST_ROWS`` documents with repeats, else by a join on the id.
+by a broadcast only while their measured size allows it, else by a join on the id.
 
 Defined results: a null text has no words; documents with fewer than 50 words lose none; rows with a
 null doc_id neither lose words nor cause others to; rows that share an id are judged each by its own
@@ -26,15 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.llm.columns import written
+from tradebook.llm.columns import bounded, written
 from tradebook.llm.words import Words, chunks, groups, mixed, rolling, whole
 
 BLOCK = 25
 WINDOW = 2 * BLOCK
 #: Words that a bucket gets on average, beyond the number of shuffle partitions.
 BUCKET_WORDS = 4_000_000
-#: Documents with spans up to which these are broadcast; a span takes eight bytes.
-BROADCAST_ROWS = 1_000_000
 _HASH_BYTES = 6
 
 
@@ -238,11 +236,6 @@ def _spans(before: int, after: int):
     return run
 
 
-def _of_documents(spans: DataFrame) -> DataFrame:
-    """``spans`` to be joined with the texts: broadcast while it is proven to be small."""
-    return F.broadcast(spans) if spans.count() <= BROADCAST_ROWS else spans
-
-
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """doc_id, key and spans of each document with repeats; ``docs`` has doc_id, key and text.
 
@@ -259,7 +252,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         return written(merged, "spans")
 
     candidates = spans(docs, _anchor_records, _probe, BLOCK, 1)
-    near = docs.join(_of_documents(candidates), ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
+    near = docs.join(bounded(candidates), ["doc_id", "key"]).select("doc_id", "key", "text", "spans")
     return spans(near, _candidate_records, _repeats, 0, WINDOW)
 
 
@@ -285,5 +278,5 @@ def dedup(docs: DataFrame) -> DataFrame:
                 ["doc_id", "n_words", "n_removed", "kept"],
             )
 
-    found = keyed.join(_of_documents(spans), ["doc_id", "key"], "left")
+    found = keyed.join(bounded(spans), ["doc_id", "key"], "left")
     return found.select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept string")
