@@ -82,8 +82,9 @@ def _attributes(source: str) -> dict[str, str]:
     return found
 
 
-def _is_outer(tag: str, attributes: dict[str, str], in_article: bool) -> bool:
-    if tag in _OUTER_TAGS or (tag in ("header", "article") and (tag == "article") == in_article):
+def _is_outer(tag: str, attributes: dict[str, str], declared: bool, in_article: bool) -> bool:
+    # An article within an article is a reader's comment; a header within one has its title.
+    if tag in _OUTER_TAGS or (tag == "header" and not declared) or (tag == "article" and in_article):
         return True
     if "hidden" in attributes or attributes.get("aria-hidden", "").lower() == "true" or attributes.get("role", "").lower() in _OUTER_ROLES:
         return True
@@ -98,8 +99,8 @@ def blocks(source: str) -> list[Block]:
     found: list[Block] = []
     pieces: list[str] = []
     linked = 0
-    # Open containers: tag, whether the text in it is boilerplate, whether it is in the article.
-    stack: list[tuple[str, bool, bool]] = [("", False, False)]
+    # Open containers: tag, whether the text in it is boilerplate, declared as main text, in an article tag.
+    stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
     tag_of_block, in_link, at = "", False, 0
 
     def end_block() -> None:
@@ -144,13 +145,14 @@ def blocks(source: str) -> list[Block]:
                             break
                 else:
                     attributes = _attributes(rest) if rest else {}
-                    article = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"
-                    if article and not stack[-1][2] and not _is_outer(tag, attributes, False):
+                    declared = tag in ("article", "main") or attributes.get("role", "").lower() == "main" or attributes.get("itemprop") == "articleBody"
+                    if declared and not stack[-1][2] and not _is_outer(tag, attributes, False, False):
                         # An article doesn't begin inside a menu or an advert: that one was never closed.
                         while stack[-1][1]:
                             stack.pop()
-                    outer = stack[-1][1] or _is_outer(tag, attributes, stack[-1][2])
-                    stack.append((tag, outer, stack[-1][2] or article))
+                    _, outer, inside, in_article = stack[-1]
+                    outer = outer or _is_outer(tag, attributes, inside, in_article)
+                    stack.append((tag, outer, inside or declared, in_article or tag == "article"))
     add(source[at:])
     end_block()
     return found

@@ -165,9 +165,7 @@ def schedule(
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
     """The rows of ``docs``, with their columns, sorted by the mixture over ranges of slots."""
-    places = schedule(docs, weights, **options).groupBy("doc_id", "text_hash").agg(F.min(F.struct("slot", "offset")).alias("mixture_place"))
-    places = places.withColumnsRenamed({"doc_id": "place_id", "text_hash": "place_hash"})
-    hashed = docs.withColumn("mixture_hash", F.xxhash64("text"))
-    same = hashed["doc_id"].eqNullSafe(places["place_id"]) & (hashed["mixture_hash"] == places["place_hash"])
-    ordered = hashed.join(places, same).repartitionByRange("mixture_place").sortWithinPartitions("mixture_place")
-    return ordered.select(*docs.columns)
+    places = schedule(docs, weights, **options).groupBy("doc_id", "text_hash").agg(F.min(F.struct("slot", "offset")).alias("place"))
+    rows = docs.select(F.struct("*").alias("row"))
+    same = rows["row"]["doc_id"].eqNullSafe(places["doc_id"]) & (F.xxhash64(rows["row"]["text"]) == places["text_hash"])
+    return rows.join(places, same).select("row", "place").repartitionByRange("place").sortWithinPartitions("place").select("row.*")
