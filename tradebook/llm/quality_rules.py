@@ -118,12 +118,13 @@ def statistics(docs: DataFrame) -> DataFrame:
 
 
 def _vector() -> dict[str, Column]:
+    """Transformed statistics; null without a word."""
     words = F.col("n_words").cast("double")
     return {
-        "x_word_length": F.log(F.col("word_chars") / words) - math.log(5),
-        "x_symbols": F.sqrt(F.col("n_symbols") / F.col("word_chars").cast("double")),
-        "x_repeats": F.sqrt(F.col("n_repeat_words") / words),
-        "x_lines": F.sqrt(F.col("n_dup_lines") / F.col("n_lines").cast("double")),
+        "x_word_length": F.log(F.try_divide("word_chars", words)) - math.log(5),
+        "x_symbols": F.sqrt(F.try_divide("n_symbols", F.col("word_chars").cast("double"))),
+        "x_repeats": F.sqrt(F.try_divide("n_repeat_words", words)),
+        "x_lines": F.sqrt(F.try_divide("n_dup_lines", F.col("n_lines").cast("double"))),
     }
 
 
@@ -223,7 +224,7 @@ def _starts(rows: DataFrame) -> DataFrame:
     """Two starts: medians with quartile ranges, and plain means with the plain covariance."""
     p = len(FEATURES)
     plain = _estimate(rows.groupBy("grp").agg(*_sums()), ["grp"], 1.0).withColumn("start", F.lit("plain"))
-    quartiles = rows.groupBy("grp").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(x) for x in FEATURES))
+    quartiles = rows.groupBy("grp").agg(*(F.percentile_approx(x, [0.25, 0.5, 0.75], 10_000).alias(x) for x in FEATURES))
     ranges = quartiles.select(
         "grp",
         *(F.col(x)[1].alias(f"m_{i}") for i, x in enumerate(FEATURES)),
