@@ -25,15 +25,16 @@ def _last_images(accepted: DataFrame, keys: tuple[str, ...], order: tuple[str, .
 
     An update that moves a row to another key removes the old key and sets the new one.
     """
+    none = F.when(F.lit(False), F.col("new"))
     touched = F.array(
-        F.struct(F.lit(0).alias("step"), *[F.col("old")[k].alias(k) for k in keys], F.lit(False).alias("kept")),
-        F.struct(F.lit(1).alias("step"), *[F.col("new")[k].alias(k) for k in keys], F.lit(True).alias("kept")),
+        F.struct(F.lit(0).alias("step"), *[F.col("old")[k].alias(k) for k in keys], none.alias("image")),
+        F.struct(F.lit(1).alias("step"), *[F.col("new")[k].alias(k) for k in keys], F.col("new").alias("image")),
     )
     present = F.when(F.col("op") == "I", F.slice(touched, 2, 1)).when(F.col("op") == "D", F.slice(touched, 1, 1))
-    events = accepted.select(*order, "new", F.explode(F.coalesce(present, touched)).alias("event")).select(
+    events = accepted.select(*order, F.explode(F.coalesce(present, touched)).alias("event")).select(
         *[F.col("event")[k].alias(k) for k in keys],
         F.struct(*order, F.col("event.step").alias("step")).alias("position"),
-        F.when(F.col("event.kept"), F.col("new")).alias("image"),
+        F.col("event.image").alias("image"),
     )
     return events.groupBy(*keys).agg(F.max_by("image", "position").alias("image"))
 

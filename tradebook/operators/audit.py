@@ -26,11 +26,11 @@ _TOO_LONG = "Data too long for column 'action_desc'"
 
 
 def _text(table: str, reference: str) -> Column:
-    """A column of an image as text; coordinates are written with six decimals."""
+    """A column of an image as text; a coordinate in the shortest decimals that give it whole."""
     image, name = reference.split(".")
     value = F.col(image)[name]
     if isinstance(SCHEMAS[table][name].dataType, T.DoubleType):
-        value = value.cast("decimal(18,6)")
+        value = F.regexp_replace(value.cast("string").cast("decimal(38,18)").cast("string"), r"\.?0+$", "")
     return value.cast("string")
 
 
@@ -61,11 +61,11 @@ def _update_text(table: str) -> tuple[Column, Column]:
     return text, F.coalesce(*filled).isNotNull()
 
 
-def describe_changes(changes: DataFrame, table: str, limit: int | None = fixed.ACTION_DESC_LIMIT) -> DataFrame:
+def describe_changes(changes: DataFrame, table: str, limit: int | None = None) -> DataFrame:
     """Add ``action_desc`` and ``logged`` to checked changes.
 
-    A change whose text does not fit the audit column is refused like one that breaks a rule;
-    the text is never cut.
+    Texts may have any length. With a ``limit``, such as that of a store's column, a change whose text is longer is
+    refused like one that breaks a rule; the text is never cut.
     """
     update_text, update_logged = _update_text(table)
     is_update = F.col("op") == UPDATE
@@ -104,6 +104,9 @@ def audit_of_table(audit_log: DataFrame, table: str) -> DataFrame:
 
 
 def latest_audit_row(audit_log: DataFrame, table: str) -> DataFrame:
-    """The last audit row of a table; the text decides between rows of one change number."""
-    order = [F.desc(c) for c in ("action_date", "batch_id", "seq", "action_desc")]
+    """The last audit row of a table's log as its store keeps it, by the number of the batch and of the change.
+
+    The text decides between rows of one change number.
+    """
+    order = [F.desc(c) for c in ("version", "seq", "action_desc")]
     return audit_of_table(audit_log, table).orderBy(*order).limit(1)

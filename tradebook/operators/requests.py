@@ -1,7 +1,8 @@
 """Create, find, update and delete for sellers and orders, on whole batches of requests.
 
 A request frame has a ``seq`` that is unique in its batch. Each operator splits the requests
-into accepted and refused ones, says which rows change and gives the table's next contents.
+into accepted and refused ones and says which rows change. What a table holds afterwards comes from
+putting these changes through the row rules and applying them, in a batch or with ``plans.batch.settle``.
 """
 
 from __future__ import annotations
@@ -23,8 +24,6 @@ class Outcome:
     rejected: DataFrame
     # Change frames (op, seq, old, new) by table, for row rules and audit.
     changes: dict[str, DataFrame] = field(default_factory=dict)
-    # Next contents by table.
-    tables: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _split(requests: DataFrame, *checks: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:
@@ -58,34 +57,27 @@ def _last_given(values: dict[str, str], key: Column, requests: DataFrame) -> Dat
     return requests.groupBy(key.alias("target")).agg(F.max("seq").alias("seq"), *given)
 
 
-def _patch(
-    contents: DataFrame, table: str, key: str, patch: DataFrame, columns: list[str]
-) -> tuple[DataFrame, DataFrame]:
-    """Replace the named columns by the patch's values where these are given."""
+def _patch(contents: DataFrame, table: str, key: str, patch: DataFrame, columns: list[str]) -> DataFrame:
+    """Change frame that puts the patch's values into the named columns where they are given."""
     patch = patch.select("target", "seq", *[F.col(c).alias(f"patch_{c}") for c in columns])
     names = SCHEMAS[table].fieldNames()
     patched = [
         (F.coalesce(F.col(f"patch_{c}"), F.col(c)) if c in columns else F.col(c)).alias(c) for c in names
     ]
     found = contents.join(patch, contents[key] == patch["target"])
-    changes = found.select(*_change("U", F.struct(*names), F.struct(*patched)))
-    after = contents.join(patch, contents[key] == patch["target"], "left").select(*patched)
-    return changes, after
+    return found.select(*_change("U", F.struct(*names), F.struct(*patched)))
 
 
-def _remove(contents: DataFrame, table: str, key: str, targets: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Change frame and remaining rows after removing the rows of the target ids.
+def _remove(contents: DataFrame, table: str, key: str, targets: DataFrame) -> DataFrame:
+    """Change frame that removes the rows of the target ids.
 
     An id may hold very many rows. AQE splits such an id in a join whose inputs both come
-    straight from a shuffle. That is so in the anti join, which needs no distinct targets, and
-    in the lookup of the first request for an id, since the first requests pass a shuffle of
-    their own before it.
+    straight from a shuffle, so the first requests pass a shuffle of their own before it.
     """
     first = targets.groupBy("target").agg(F.min("seq").alias("seq")).repartition("seq")
     removed = contents.join(first, contents[key] == first["target"])
     old = F.struct(*[contents[c] for c in SCHEMAS[table].fieldNames()])
-    left = contents.join(targets, contents[key] == targets["target"], "left_anti")
-    return removed.select(*_change("D", old, _nothing(table))), left
+    return removed.select(*_change("D", old, _nothing(table)))
 
 
 def _filters_or_raise(blank_text: str, *values: str | None) -> None:
@@ -96,7 +88,7 @@ def _filters_or_raise(blank_text: str, *values: str | None) -> None:
 # --- sellers
 
 
-def create_sellers(sellers: DataFrame, requests: DataFrame, batch_id: str) -> Outcome:
+def create_sellers(requests: DataFrame, batch_id: str) -> Outcome:
     """Add sellers from requests (seq, zip_code, city, state)."""
     accepted, rejected = _split(
         requests,
@@ -114,9 +106,7 @@ def create_sellers(sellers: DataFrame, requests: DataFrame, batch_id: str) -> Ou
             "seller_state": F.upper(F.trim("state")),
         },
     )
-    changes = accepted.select(*_change("I", _nothing("sellers"), image))
-    after = sellers.unionByName(changes.select("new.*"))
-    return Outcome(accepted, rejected, {"sellers": changes}, {"sellers": after})
+    return Outcome(accepted, rejected, {"sellers": accepted.select(*_change("I", _nothing("sellers"), image))})
 
 
 def find_sellers(sellers: DataFrame, partial_id: str | None = None, state: str | None = None) -> DataFrame:
@@ -151,8 +141,7 @@ def update_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
     )
     columns = dict(zip(("seller_zip_code_prefix", "seller_city", "seller_state"), new_values))
     patch = _last_given(columns, F.trim("seller_id"), trimmed)
-    changes, after = _patch(sellers, "sellers", "seller_id", patch, list(columns))
-    return Outcome(accepted, rejected, {"sellers": changes}, {"sellers": after})
+    return Outcome(accepted, rejected, {"sellers": _patch(sellers, "sellers", "seller_id", patch, list(columns))})
 
 
 def delete_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
@@ -162,31 +151,31 @@ def delete_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
     )
     accepted = accepted.withColumn("status", F.format_string(fixed.SELLER_REMOVED, F.trim("seller_id")))
     targets = accepted.select(F.trim("seller_id").alias("target"), "seq")
-    changes, after = _remove(sellers, "sellers", "seller_id", targets)
-    return Outcome(accepted, rejected, {"sellers": changes}, {"sellers": after})
+    return Outcome(accepted, rejected, {"sellers": _remove(sellers, "sellers", "seller_id", targets)})
 
 
 # --- orders
 
 
-def create_orders(
-    orders: DataFrame, customers: DataFrame, requests: DataFrame, as_of: Column, batch_id: str
-) -> Outcome:
+def create_orders(customers: DataFrame, requests: DataFrame, as_of: Column, batch_id: str) -> Outcome:
     """Open orders from requests (seq, customer_id, estimated_delivery DATE)."""
-    # The asked-for ids go to the customer table, not the other way round: its rows are not
-    # shuffled while the ids are few enough to be broadcast. The requests then only meet the
-    # unknown ids, which stay few however many requests name one customer.
-    asked = requests.select(F.trim("customer_id").alias("asked_id")).distinct()
-    known = customers.select("customer_id").join(asked, F.col("customer_id") == F.col("asked_id"), "left_semi")
-    unknown = asked.join(known, F.col("asked_id") == F.col("customer_id"), "left_anti")
     estimate = F.col("estimated_delivery")
-    accepted, rejected = _split(
-        requests.join(unknown, F.trim("customer_id") == F.col("asked_id"), "left"),
+    # Only requests that pass the checks on the row, which leaves out missing ids, ask for their customer.
+    passing, rejected = _split(
+        requests,
         (byte_length_is_not(F.col("customer_id"), fixed.ID_BYTES), fixed.ORDER_CUSTOMER_ID),
         (estimate.isNull() | (estimate < F.to_date(as_of)), fixed.ORDER_ESTIMATE),
-        (F.col("asked_id").isNotNull(), fixed.ORDER_CUSTOMER_UNKNOWN),
     )
-    accepted = accepted.drop("asked_id").withColumn("order_id", _new_id(batch_id))
+    # The asked-for ids go to the customer table, not the other way round: its rows are not
+    # shuffled while the ids are few enough to be broadcast. The requests then only meet the
+    # unknown ids, which pass a shuffle of their own, so that AQE can split the requests of one id.
+    asked = passing.select(F.trim("customer_id").alias("asked_id")).distinct()
+    known = customers.select("customer_id").join(asked, F.col("customer_id") == F.col("asked_id"), "left_semi")
+    unknown = asked.join(known, F.col("asked_id") == F.col("customer_id"), "left_anti").repartition(F.xxhash64("asked_id"))
+    same = F.trim("customer_id") == F.col("asked_id")
+    stranger = passing.join(unknown, same, "left_semi").withColumn("reason", F.lit(fixed.ORDER_CUSTOMER_UNKNOWN))
+    rejected = rejected.unionByName(stranger)
+    accepted = passing.join(unknown, same, "left_anti").withColumn("order_id", _new_id(batch_id))
     image = _image(
         "orders",
         {
@@ -197,15 +186,16 @@ def create_orders(
             "order_estimated_delivery_date": estimate,
         },
     )
-    changes = accepted.select(*_change("I", _nothing("orders"), image))
-    after = orders.unionByName(changes.select("new.*"))
-    return Outcome(accepted, rejected.drop("asked_id"), {"orders": changes}, {"orders": after})
+    return Outcome(accepted, rejected, {"orders": accepted.select(*_change("I", _nothing("orders"), image))})
 
 
 def find_orders(
-    orders: DataFrame, order_id: str | None = None, status: str | None = None, limit: int = fixed.FIND_ORDERS_LIMIT
+    orders: DataFrame,
+    order_id: str | None = None,
+    status: str | None = None,
+    limit: int | None = fixed.FIND_ORDERS_LIMIT,
 ) -> DataFrame:
-    """Orders by id and status, both optional; the first ones by id when there are many."""
+    """Orders by id and status, both optional; the first ones by id when there are many, all with ``limit=None``."""
     _filters_or_raise(fixed.ORDER_SEARCH_BLANK, order_id, status)
     found = orders.select(
         "order_id",
@@ -218,7 +208,7 @@ def find_orders(
     for column, value in (("order_id", order_id), ("order_status", status)):
         if value is not None:
             found = found.where(F.col(column) == value.strip(" "))
-    return found.orderBy("order_id").limit(limit)
+    return found.orderBy("order_id") if limit is None else found.orderBy("order_id").limit(limit)
 
 
 def update_orders(orders: DataFrame, requests: DataFrame) -> Outcome:
@@ -229,8 +219,7 @@ def update_orders(orders: DataFrame, requests: DataFrame) -> Outcome:
     trimmed = accepted.select("seq", "order_id", F.trim("new_status").alias("new_status"), "delivered_date")
     columns = {"order_status": "new_status", "order_delivered_customer_date": "delivered_date"}
     patch = _last_given(columns, F.trim("order_id"), trimmed)
-    changes, after = _patch(orders, "orders", "order_id", patch, list(columns))
-    return Outcome(accepted, rejected, {"orders": changes}, {"orders": after})
+    return Outcome(accepted, rejected, {"orders": _patch(orders, "orders", "order_id", patch, list(columns))})
 
 
 CASCADE = ("order_reviews", "order_payments", "order_items", "orders")
@@ -243,7 +232,4 @@ def delete_orders_cascade(tables: Tables, requests: DataFrame) -> Outcome:
     )
     accepted = accepted.withColumn("status", F.format_string(fixed.ORDER_REMOVED, F.trim("order_id")))
     targets = accepted.select(F.trim("order_id").alias("target"), "seq")
-    changes, after = {}, {}
-    for table in CASCADE:
-        changes[table], after[table] = _remove(getattr(tables, table), table, "order_id", targets)
-    return Outcome(accepted, rejected, changes, after)
+    return Outcome(accepted, rejected, {t: _remove(getattr(tables, t), t, "order_id", targets) for t in CASCADE})

@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook import fixed
 from tradebook.operators.apply import apply_changes
 from tradebook.operators.audit import audit_rows, describe_changes
-from tradebook.operators.rules import QUARANTINE, RuleOptions, apply_rules
+from tradebook.operators.rules import QUARANTINE, RuleOptions, accepted_changes, apply_rules
 from tradebook.sources.files import write_table
-from tradebook.sources.versions import NEW_TABLE, TableVersions
+from tradebook.sources.versions import TableState, TableVersions
 
 
 def now(spark: SparkSession) -> Column:
@@ -25,55 +24,62 @@ def check_changes(
     as_of: Column,
     options: RuleOptions = RuleOptions(),
     mode: str = QUARANTINE,
-    audit_limit: int | None = fixed.ACTION_DESC_LIMIT,
+    audit_limit: int | None = None,
 ) -> DataFrame:
     """Cleansed changes with ``reason``, ``action_desc`` and ``logged``."""
     return describe_changes(apply_rules(changes, table, as_of, options, mode), table, audit_limit)
 
 
+def settle(
+    contents: DataFrame, changes: DataFrame, table: str, as_of: Column, options: RuleOptions = RuleOptions()
+) -> tuple[DataFrame, DataFrame]:
+    """A table after a change frame, as a batch would leave it, and the checked changes."""
+    checked = check_changes(changes, table, as_of, options)
+    return apply_changes(contents, accepted_changes(checked), table), checked
+
+
 def run_batch(
     versions: TableVersions,
     changes: dict[str, DataFrame],
     batch_id: str,
     as_of: Column | None = None,
-    rewrite: bool = True,
+    rewrite: bool = False,
     options: RuleOptions = RuleOptions(),
     mode: str = QUARANTINE,
+    audit_limit: int | None = None,
 ) -> bool:
-    """Check, log, audit and apply the changes of some tables; False if the batch was done before.
+    """Check, log and audit the changes of some tables; False if the batch was done before.
 
     The checked changes are written once and everything after reads them from there, so the
-    rules run once and a lost executor costs no more than its own tasks. With ``rewrite=False``
-    the tables are left as they are: readers see the logged changes on top, and a later
-    rewriting batch takes them along.
+    rules run once and a lost executor costs no more than its own tasks. The tables are left as they are:
+    readers see the logged changes on top. With ``rewrite`` the changed tables are written anew,
+    with all that was logged before.
     """
-    done, states = versions.state(batch_id)
-    if done:
+    if versions.is_done(batch_id):
         return False
     if as_of is None:
         as_of = now(versions.spark)
-    paths: dict[str, str | None] = {}
+    states: dict[str, TableState] = {}
     for table, df in changes.items():
-        write_table(check_changes(df, table, as_of, options, mode), versions.log_path(table, batch_id))
-        checked = versions.logged_batch(table, batch_id)
-        paths[table] = None
+        state = versions.state(table)
+        number = state.last + 1
+        checked = check_changes(df, table, as_of, options, mode, audit_limit).withColumn("batch_id", F.lit(batch_id))
+        write_table(checked, versions.log_path(table, number))
+        checked = versions.logged_batch(table, number)
         if rewrite:
             accepted = checked.where(F.col("reason").isNull())
-            contents = apply_changes(versions.contents(table, states.get(table, NEW_TABLE)), accepted, table)
-            paths[table] = versions.version_path(table, batch_id)
-            write_table(contents, paths[table])
-        audit = audit_rows(checked, table, as_of, batch_id).drop("at_table", "batch_id")
-        write_table(audit, versions.audit_path(table, batch_id))
-    versions.publish(batch_id, paths, states)
+            write_table(apply_changes(versions.contents(table), accepted, table), versions.version_path(table, number))
+        write_table(audit_rows(checked, table, as_of, batch_id).drop("at_table"), versions.audit_path(table, number))
+        states[table] = TableState(number if rewrite else state.base, number)
+    versions.publish(batch_id, states)
     return True
 
 
 def rewrite_table(versions: TableVersions, table: str, batch_id: str) -> bool:
     """Write a new whole version of a table that takes in all logged batches."""
-    done, states = versions.state(batch_id)
-    if done:
+    if versions.is_done(batch_id):
         return False
-    path = versions.version_path(table, batch_id)
-    write_table(versions.contents(table, states.get(table, NEW_TABLE)), path)
-    versions.publish(batch_id, {table: path}, states)
+    number = versions.state(table).last + 1
+    write_table(versions.contents(table), versions.version_path(table, number))
+    versions.publish(batch_id, {table: TableState(number, number)})
     return True

@@ -10,6 +10,8 @@ from tradebook.schema import Tables
 from tradebook.sources.files import checkpoint_dir
 
 LAZY, CACHED, DURABLE = "lazy", "cached", "durable"
+#: Cached metrics by session and view, to be released when the view is replaced.
+_HELD: dict[tuple[str, str], DataFrame] = {}
 
 
 def publish_view(metric: DataFrame, name: str, keep: str = LAZY) -> DataFrame:
@@ -19,6 +21,7 @@ def publish_view(metric: DataFrame, name: str, keep: str = LAZY) -> DataFrame:
     can rebuild lost parts from the tables; ``durable`` is a snapshot written to the shared
     checkpoint folder, which later changes and lost executors leave as it is.
     """
+    here = (metric.sparkSession.sparkContext.applicationId, name)
     if keep == CACHED:
         metric = metric.persist()
     elif keep == DURABLE:
@@ -27,6 +30,11 @@ def publish_view(metric: DataFrame, name: str, keep: str = LAZY) -> DataFrame:
     elif keep != LAZY:
         raise ValueError(f"keep must be {LAZY}, {CACHED} or {DURABLE}, not {keep!r}")
     metric.createOrReplaceTempView(name)
+    replaced = _HELD.pop(here, None)
+    if replaced is not None and replaced is not metric:
+        replaced.unpersist()
+    if keep == CACHED:
+        _HELD[here] = metric
     return metric
 
 

@@ -7,10 +7,13 @@ from functools import reduce
 from pyspark.sql import DataFrame
 
 from tradebook.operators.audit import audit_of_table, audit_rows, describe_changes, latest_audit_row
+from tradebook.plans.batch import run_batch
 from tradebook.operators.rules import apply_rules
 from tradebook.registry.rows import as_of, insert_sql, update_sql
 from tradebook.schema import SCHEMAS
+from tradebook.sources.files import scratch_path
 from tradebook.sources.testdata import AS_OF, all_changes, delete_batch, insert_batch, oracle, update_batch
+from tradebook.sources.versions import TableVersions
 
 BATCH_ID = "b1"
 _BATCHES = {"insert": insert_batch, "update": update_batch, "delete": delete_batch}
@@ -25,14 +28,21 @@ def _query(table, kind):
     return lambda spark, sf_dir: _audit(_BATCHES[kind](spark, sf_dir, table), table)
 
 
+def written_log(spark, sf_dir) -> DataFrame:
+    """The log that a store keeps after a batch with all changes of all tables and a later one of insertions."""
+    versions = TableVersions(spark, scratch_path(spark, "audit"))
+    run_batch(versions, {t: all_changes(spark, sf_dir, t) for t in SCHEMAS}, "b9", as_of())
+    run_batch(versions, {t: insert_batch(spark, sf_dir, t) for t in SCHEMAS}, "b10", as_of())
+    return versions.audit_log()
+
+
 def _audit_by_table(spark, sf_dir):
-    logs = [_audit(all_changes(spark, sf_dir, table), table) for table in ("sellers", "customers")]
-    return audit_of_table(reduce(DataFrame.unionByName, logs), "customers")
+    return audit_of_table(written_log(spark, sf_dir), "customers")
 
 
 def _audit_latest(spark, sf_dir):
-    log = reduce(DataFrame.unionByName, [_audit(all_changes(spark, sf_dir, t), t) for t in ("sellers", "products")])
-    return latest_audit_row(log, "products")
+    log = written_log(spark, sf_dir)
+    return reduce(DataFrame.unionByName, [latest_audit_row(log, table) for table in SCHEMAS])
 
 
 QUERIES = {f"audit_{t}_{kind}": _query(t, kind) for t in SCHEMAS for kind in _BATCHES}
@@ -41,7 +51,8 @@ QUERIES["audit_latest"] = _audit_latest
 
 
 def _coordinate(column: str) -> str:
-    return f"cast(cast({column} as decimal(18,6)) as varchar)"
+    whole = f"cast(cast(cast({column} as varchar) as decimal(38,18)) as varchar)"
+    return f"regexp_replace({whole}, '\\.?0+$', '')"
 
 
 def _changed(column: str, label: str) -> str:
@@ -184,15 +195,26 @@ def audit_sql(table: str, kind: str) -> str:
         where reason is null and {logged}"""
 
 
+def update_text_sql(table: str) -> tuple[str, str]:
+    """Text of an update and whether it is logged, for rows with ``old_`` columns."""
+    return _UPDATE_TEXT[table]
+
+
 def all_audit_sql(*tables: str) -> str:
     return " union all ".join(audit_sql(t, kind) for t in tables for kind in _BATCHES)
 
 
 ORACLES = {f"audit_{t}_{kind}": oracle(audit_sql(t, kind)) for t in SCHEMAS for kind in _BATCHES}
-ORACLES["audit_by_table"] = oracle(
-    f"select * from ({all_audit_sql('sellers', 'customers')}) log where at_table = 'customers'"
-)
+
+
+def _written_sql(*tables: str) -> str:
+    first, second = all_audit_sql(*tables), " union all ".join(audit_sql(t, "insert") for t in tables)
+    return f"""select * replace ('b9' as batch_id), cast(0 as bigint) as version from ({first}) f
+        union all select * replace ('b10' as batch_id), cast(1 as bigint) as version from ({second}) s"""
+
+
+ORACLES["audit_by_table"] = oracle(_written_sql("customers"))
 ORACLES["audit_latest"] = oracle(
-    f"""select * from ({all_audit_sql('sellers', 'products')}) log where at_table = 'products'
-        order by action_date desc, batch_id desc, seq desc, action_desc desc limit 1"""
+    f"""select * from ({_written_sql(*SCHEMAS)}) log
+        qualify row_number() over (partition by at_table order by version desc, seq desc, action_desc desc) = 1"""
 )

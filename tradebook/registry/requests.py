@@ -12,9 +12,12 @@ from pyspark.sql import functions as F
 
 from tradebook.operators import requests
 from tradebook.operators.apply import apply_changes
-from tradebook.operators.rules import accepted_changes, apply_rules
-from tradebook.registry.rows import as_of, update_sql
-from tradebook.schema import SCHEMAS
+from tradebook.operators.audit import audit_rows
+from tradebook.operators.rules import RuleOptions, accepted_changes, apply_rules
+from tradebook.plans.batch import settle
+from tradebook.registry.audits import update_text_sql
+from tradebook.registry.rows import ORDER_DATE_SQL, UPDATE_SQL, as_of, update_sql
+from tradebook.schema import KEYS, SCHEMAS
 from tradebook.sources.testdata import AS_OF, delete_batch, load_tables, oracle, update_batch, view
 
 BATCH_ID = "b1"
@@ -58,9 +61,10 @@ _DELETE_ORDERS = """
     from k_orders"""
 
 
-def _with_rejected(outcome: requests.Outcome, table: str, columns: dict[str, str | None]) -> DataFrame:
-    """Rows after the batch, then refused requests, under common column names."""
-    kept = outcome.tables[table].select(*columns, F.lit(None).cast("string").alias("reason"))
+def _with_rejected(outcome: requests.Outcome, contents: DataFrame, table: str, columns: dict[str, str | None]) -> DataFrame:
+    """Rows after all changes that were asked for, then refused requests, under common column names."""
+    after = apply_changes(contents, outcome.changes[table], table)
+    kept = after.select(*columns, F.lit(None).cast("string").alias("reason"))
     types = dict(kept.dtypes)
     shown = [
         (F.lit(None) if source is None else F.col(source)).cast(types[name]).alias(name)
@@ -92,8 +96,8 @@ _ORDER_COLUMNS = {
 
 def _create_sellers(spark, sf_dir):
     sellers = load_tables(spark, sf_dir, "sellers").sellers
-    outcome = requests.create_sellers(sellers, view(spark, sf_dir, _CREATE_SELLERS), BATCH_ID)
-    return _with_rejected(outcome, "sellers", _SELLER_COLUMNS)
+    outcome = requests.create_sellers(view(spark, sf_dir, _CREATE_SELLERS), BATCH_ID)
+    return _with_rejected(outcome, sellers, "sellers", _SELLER_COLUMNS)
 
 
 def _find_sellers(spark, sf_dir):
@@ -103,20 +107,20 @@ def _find_sellers(spark, sf_dir):
 def _update_sellers(spark, sf_dir):
     sellers = load_tables(spark, sf_dir, "sellers").sellers
     outcome = requests.update_sellers(sellers, view(spark, sf_dir, _UPDATE_SELLERS))
-    return _with_rejected(outcome, "sellers", _PATCH_COLUMNS)
+    return _with_rejected(outcome, sellers, "sellers", _PATCH_COLUMNS)
 
 
 def _delete_sellers(spark, sf_dir):
     sellers = load_tables(spark, sf_dir, "sellers").sellers
     outcome = requests.delete_sellers(sellers, view(spark, sf_dir, _DELETE_SELLERS))
-    return _with_rejected(outcome, "sellers", {"seller_id": "seller_id", "seller_state": None})
+    return _with_rejected(outcome, sellers, "sellers", {"seller_id": "seller_id", "seller_state": None})
 
 
 def _create_orders(spark, sf_dir):
     tables = load_tables(spark, sf_dir, "orders", "customers")
     wanted = view(spark, sf_dir, _CREATE_ORDERS)
-    outcome = requests.create_orders(tables.orders, tables.customers, wanted, as_of(), BATCH_ID)
-    return _with_rejected(outcome, "orders", _ORDER_COLUMNS)
+    outcome = requests.create_orders(tables.customers, wanted, as_of(), BATCH_ID)
+    return _with_rejected(outcome, tables.orders, "orders", _ORDER_COLUMNS)
 
 
 def _find_orders(spark, sf_dir):
@@ -131,7 +135,7 @@ def _update_orders(spark, sf_dir):
         "order_status": "new_status",
         "order_delivered_customer_date": "delivered_date",
     }
-    return _with_rejected(outcome, "orders", shown)
+    return _with_rejected(outcome, orders, "orders", shown)
 
 
 def _delete_orders_cascade(spark, sf_dir):
@@ -144,10 +148,61 @@ def _delete_orders_cascade(spark, sf_dir):
             for table, df in frames.items()
         ]
 
-    parts = counted("remaining", outcome.tables) + counted("removed", outcome.changes)
+    after = {t: apply_changes(getattr(tables, t), df, t) for t, df in outcome.changes.items()}
+    parts = counted("remaining", after) + counted("removed", outcome.changes)
     return reduce(DataFrame.unionByName, parts + counted("rejected", {"orders": outcome.rejected}))
 
 
+def _audited(outcome: requests.Outcome, contents: DataFrame, table: str, options: RuleOptions) -> DataFrame:
+    """What a batch of requests leaves: rows, audit texts, changes that break a rule, refused requests."""
+    after, checked = settle(contents, outcome.changes[table], table, as_of(), options)
+    key = KEYS[table][0]
+    logged = audit_rows(checked, table, as_of(), BATCH_ID)
+    broken = checked.where(F.col("reason").isNotNull())
+    shown = F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in _SHOWN[table]])
+    parts = [
+        ("row", after, key, shown),
+        ("audit", logged, F.col("seq").cast("string"), "action_desc"),
+        ("broken rule", broken, f"new.{key}", "reason"),
+        ("refused", outcome.rejected, key, "reason"),
+    ]
+    return reduce(
+        DataFrame.unionByName,
+        [
+            df.select(
+                F.lit(part).alias("part"),
+                (F.col(name) if isinstance(name, str) else name).alias("name"),
+                (F.col(text) if isinstance(text, str) else text).alias("text"),
+            )
+            for part, df, name, text in parts
+        ],
+    )
+
+
+_SHOWN = {
+    "sellers": ("seller_zip_code_prefix", "seller_city", "seller_state"),
+    "orders": ("order_status", "order_approved_at", "order_delivered_carrier_date", "order_delivered_customer_date"),
+}
+
+
+def _update_sellers_audited(image: str):
+    def query(spark, sf_dir):
+        sellers = load_tables(spark, sf_dir, "sellers").sellers
+        outcome = requests.update_sellers(sellers, view(spark, sf_dir, _UPDATE_SELLERS))
+        return _audited(outcome, sellers, "sellers", RuleOptions(seller_location_image=image))
+
+    return query
+
+
+def _update_orders_audited(check: bool):
+    def query(spark, sf_dir):
+        orders = load_tables(spark, sf_dir, "orders").orders
+        outcome = requests.update_orders(orders, view(spark, sf_dir, _UPDATE_ORDERS))
+        return _audited(outcome, orders, "orders", RuleOptions(order_status_check=check))
+
+    return query
+
+
 _LATER = 1_000_000_000_000
 
 
@@ -171,6 +226,9 @@ QUERIES = {
     "find_orders": _find_orders,
     "update_orders": _update_orders,
     "delete_orders_cascade": _delete_orders_cascade,
+    "update_sellers_audited": _update_sellers_audited("old"),
+    "update_orders_audited": _update_orders_audited(True),
+    "update_orders_audited_any_status": _update_orders_audited(False),
     "apply_changes_orders": _apply_changes("orders", "old.order_status = 'canceled'"),
     "apply_changes_geolocation": _apply_changes("geolocation", "old.geolocation_state = 'SC'"),
 }
@@ -230,6 +288,38 @@ _KEPT_GEO_COLUMNS = ", ".join(
     f"case when reason is null then {c} else old_{c} end as {c}" for c in SCHEMAS["geolocation"].fieldNames()
 )
 
+
+def _audited_sql(table: str, requests_sql: str, reason: str, patched: dict[str, str], rule: str | None = None) -> str:
+    """What a batch of updates leaves, in the shape of ``_audited``."""
+    key, names = KEYS[table][0], SCHEMAS[table].fieldNames()
+    values, rule_of_table = UPDATE_SQL[table]
+    text, logged = update_text_sql(table)
+    given = ", ".join(f"{value} as patch_{c}" for c, value in patched.items())
+    images = ", ".join(f"{c} as old_{c}, {f'ifnull(patch_{c}, {c})' if c in patched else c} as new_{c}" for c in names)
+    ruled = ", ".join(f"{values.get(c, 'new_' + c)} as {c}, old_{c}" for c in names)
+    shown = [f"case when r.{key} is not null and r.reason is null then r.{c} else t.{c} end" for c in _SHOWN[table]]
+    return f"""with checked as {_checked(requests_sql, reason)},
+        patch as (select trim({key}) target, max(seq) seq, {given} from checked where reason is null group by 1),
+        changed as (select seq, {images} from x_{table} join patch on {key} = target),
+        ruled as (select seq, {ruled}, {rule or rule_of_table} as reason from changed)
+        select 'row' as part, t.{key} as name,
+            concat_ws('|', {', '.join(f"ifnull(cast({c} as varchar), '-')" for c in shown)}) as text
+        from x_{table} t left join ruled r on t.{key} = r.{key}
+        union all select 'audit', cast(seq as varchar), {text} from ruled where reason is null and {logged}
+        union all select 'broken rule', {key}, reason from ruled where reason is not null
+        union all select 'refused', {key}, reason from checked where reason is not null"""
+
+
+_SELLER_PATCH = {
+    "seller_zip_code_prefix": _given("new_zip_code"),
+    "seller_city": _given("new_city"),
+    "seller_state": f"upper({_given('new_state')})",
+}
+_ORDER_PATCH = {
+    "order_status": _given("new_status"),
+    "order_delivered_customer_date": "arg_max(delivered_date, seq) filter (where delivered_date is not null)",
+}
+
 ORACLES = {
     name: oracle(text)
     for name, text in {
@@ -276,6 +366,11 @@ ORACLES = {
             union all select order_id, new_status, delivered_date, reason from checked where reason is not null""",
         "delete_orders_cascade": f"""{_COUNTS} union all select 'orders', 'rejected', cast(count(*) as bigint)
             from {_checked(_DELETE_ORDERS, _DELETE_ORDERS_REASON)} c where reason is not null""",
+        "update_sellers_audited": _audited_sql("sellers", _UPDATE_SELLERS, _UPDATE_SELLERS_REASON, _SELLER_PATCH),
+        "update_orders_audited": _audited_sql("orders", _UPDATE_ORDERS, _UPDATE_ORDERS_REASON, _ORDER_PATCH),
+        "update_orders_audited_any_status": _audited_sql(
+            "orders", _UPDATE_ORDERS, _UPDATE_ORDERS_REASON, _ORDER_PATCH, f"case {ORDER_DATE_SQL} end"
+        ),
         "apply_changes_orders": f"""select {_KEPT_ORDER_COLUMNS} from x_orders o
             join ({update_sql("orders")}) u on o.order_id = u.order_id where o.order_status <> 'canceled'""",
         "apply_changes_geolocation": f"""select {_KEPT_GEO_COLUMNS}

@@ -78,6 +78,10 @@ def _to_null(column: str) -> str:
     return f"(old_{column} is not null and new_{column} is null)"
 
 
+# When an update of an order sets a date to NULL.
+ORDER_DATE_SQL = f"""when {_to_null("order_approved_at")} or {_to_null("order_delivered_carrier_date")}
+    or {_to_null("order_delivered_customer_date")} then 'Cannot set date to null'"""
+
 UPDATE_SQL = {
     "customers": (
         {"customer_state": "upper(new_customer_state)"},
@@ -105,8 +109,7 @@ UPDATE_SQL = {
     "products": (_measures("new_"), _NO_REASON),
     "orders": (
         {},
-        f"""case when {_to_null("order_approved_at")} or {_to_null("order_delivered_carrier_date")}
-                or {_to_null("order_delivered_customer_date")} then 'Cannot set date to null'
+        f"""case {ORDER_DATE_SQL}
             when lower(new_order_status) not in ('delivered','shipped','cancelled','unavailable','invoiced')
             then 'Incorrect status message' end""",
     ),

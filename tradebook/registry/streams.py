@@ -5,13 +5,14 @@ from __future__ import annotations
 from tradebook.plans.batch import run_batch
 from tradebook.registry.audits import all_audit_sql
 from tradebook.registry.rows import as_of, update_sql
-from tradebook.schema import SCHEMAS
+from tradebook.schema import SCHEMAS, change_schema
 from tradebook.sources.files import scratch_path, write_table
 from tradebook.sources.testdata import all_changes, load_tables, oracle, update_batch
 from tradebook.sources.versions import TableVersions
 from tradebook.streaming import stream_changes
 
-FILES, FILES_PER_BATCH = 8, 4
+#: Of a table's change files, so many micro-batches are made.
+MICRO_BATCHES = 2
 
 
 def stream_all(spark, sf_dir) -> TableVersions:
@@ -21,11 +22,11 @@ def stream_all(spark, sf_dir) -> TableVersions:
     running = []
     for table in SCHEMAS:
         source = f"{root}/incoming/{table}"
-        write_table(all_changes(spark, sf_dir, table).repartition(FILES, "seq"), source)
+        write_table(all_changes(spark, sf_dir, table), source)
+        files = len(spark.read.schema(change_schema(table)).parquet(source).inputFiles())
+        progress = f"{root}/progress/{table}"
         running.append(
-            stream_changes(
-                versions, table, source, f"{root}/progress/{table}", as_of=as_of(), files_per_batch=FILES_PER_BATCH
-            )
+            stream_changes(versions, table, source, progress, as_of=as_of(), files_per_batch=-(-files // MICRO_BATCHES))
         )
     for query in running:
         query.awaitTermination()
@@ -40,7 +41,7 @@ def _batch_contents(spark, sf_dir):
     """The orders after a batch of updates of the whole table, read back from the store."""
     orders = load_tables(spark, sf_dir, "orders")
     versions = TableVersions.create(scratch_path(spark, "batch"), orders)
-    run_batch(versions, {"orders": update_batch(spark, sf_dir, "orders")}, "b1", as_of())
+    run_batch(versions, {"orders": update_batch(spark, sf_dir, "orders")}, "b1", as_of(), rewrite=True)
     return versions.contents("orders")
 
 
@@ -48,7 +49,7 @@ def _logged_contents(spark, sf_dir):
     """The sellers when a batch is logged on top of the last version but not yet written into it."""
     sellers = load_tables(spark, sf_dir, "sellers")
     versions = TableVersions.create(scratch_path(spark, "batch"), sellers)
-    run_batch(versions, {"sellers": update_batch(spark, sf_dir, "sellers")}, "b1", as_of(), rewrite=False)
+    run_batch(versions, {"sellers": update_batch(spark, sf_dir, "sellers")}, "b1", as_of())
     return versions.contents("sellers")
 
 

@@ -9,14 +9,22 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tradebook.schema import SCHEMAS, Tables
 
-CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "multiLine": "true", "escape": '"'}
+CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
+#: Tables whose text may have line ends. Their csv files can't be split, so other tables are read without.
+MULTI_LINE = ("order_reviews",)
 
 
-def read_table(spark: SparkSession, path: str, table: str, file_format: str = "parquet") -> DataFrame:
-    """One base table; csv columns are taken by position, whatever the header calls them."""
+def read_table(
+    spark: SparkSession, path: str, table: str, file_format: str = "parquet", multi_line: bool | None = None
+) -> DataFrame:
+    """One base table; csv columns are taken by position, whatever the header calls them.
+
+    ``multi_line`` says whether values in csv files may have line ends; such a file is read by one task.
+    """
     reader = spark.read.schema(SCHEMAS[table])
     if file_format == "csv":
-        reader = reader.options(**CSV_OPTIONS)
+        lines = table in MULTI_LINE if multi_line is None else multi_line
+        reader = reader.options(**CSV_OPTIONS, multiLine=str(lines).lower())
     return reader.format(file_format).load(path)
 
 

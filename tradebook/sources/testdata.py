@@ -98,8 +98,8 @@ _MODEL = {
         from {orders} where o_orderstatus <> 'P'""",
     "k_geolocation": """
         select c_custkey seq, lpad(cast(c_custkey as string),5,'0') geolocation_zip_code_prefix,
-               cast(c_custkey*37%18000 as double)/100-90 geolocation_lat,
-               cast(c_custkey*53%36000 as double)/100-180 geolocation_lng,
+               cast(c_custkey*37%18000 as double)/100.7-89 geolocation_lat,
+               cast(c_custkey*53%36000 as double)/100.3-179 geolocation_lng,
                lower(c_mktsegment) geolocation_city, 'S'||chr(65+c_nationkey) geolocation_state
         from {customer}""",
     "k_product_category_name_translation": """
@@ -196,7 +196,7 @@ _UPDATE_NEW = {
     "order_reviews": {
         "review_score": "case when review_score = 1 then 777 when review_score = 3 then null else review_score end",
         "review_comment_title": "case when review_score = 1 then '777' else review_comment_title end",
-        "review_comment_message": "case when review_score in (1,2) then '777' else review_comment_message end",
+        "review_comment_message": "case when review_score = 1 then '777' when review_score = 2 then repeat(review_comment_message||' ', 40) else review_comment_message end",
         "review_creation_date": "case when review_score in (1,4) then review_creation_date + interval '90' minute else review_creation_date end",
         "review_answer_timestamp": "case when review_score = 1 then review_answer_timestamp + interval '1' hour else review_answer_timestamp end",
     },

@@ -1,17 +1,22 @@
 """Versions of the base tables and the log of their changes, below one folder.
 
-Parquet files cannot be updated in place, so a batch of changes is first written to the change
-log. Applying it writes the table anew under the batch's own path. A batch becomes visible only
-when its marker, written last, is there; until then a repeated run simply overwrites its own
-output. Reading a table puts logged but not yet applied batches on top of its last version, so
-that frequent small batches need not rewrite a large table each time.
-
+Parquet files cannot be updated in place, so a batch of changes is first written to the change log of each
+table, under the table's next number. The table itself may be written anew under that number, or later:
+reading puts logged batches on top of the last whole version. A batch becomes visible with
+its marker, written last; until then a repeated run overwrites its own output under the same
+numbers. No number that a reader can see is ever written again.
+
+Folders are named by numbers and by a hash of the batch id, so an id may be any text. A table's
+state is one small file under its last number, found by looking a few numbers up, however long its history.
 There may be one writer per table at a time.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from functools import reduce
+from hashlib import sha256
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -23,38 +28,23 @@ from tradebook.schema import AUDIT_SCHEMA, SCHEMAS, Tables, change_schema
 from tradebook.sources.files import read_table, write_table
 
 INITIAL_BATCH = "initial"
-
-_MARKER_SCHEMA = T.StructType(
-    [
-        T.StructField("table_name", T.StringType()),
-        T.StructField("version", T.LongType()),
-        # Where the whole table was written; NULL when the batch was only logged.
-        T.StructField("path", T.StringType()),
-        T.StructField("batch_id", T.StringType()),
-    ]
-)
+_VERSION = T.StructField("version", T.LongType())
 
 
 def _log_schema(table: str) -> T.StructType:
-    outcome = [
-        T.StructField("reason", T.StringType()),
-        T.StructField("action_desc", T.StringType()),
-        T.StructField("logged", T.BooleanType()),
-    ]
-    return T.StructType([*change_schema(table).fields, *outcome])
+    text, flag = T.StringType(), T.BooleanType()
+    outcome = [("reason", text), ("action_desc", text), ("logged", flag), ("batch_id", text)]
+    return T.StructType([*change_schema(table).fields, *(T.StructField(n, t) for n, t in outcome), _VERSION])
 
 
 @dataclass(frozen=True)
 class TableState:
-    # Where the last whole version is, its number, and the number of the last published batch.
-    path: str | None
+    """Numbers of the last whole version and of the last published batch, -1 if there is none."""
+
     base: int
     last: int
 
 
-NEW_TABLE = TableState(None, -1, -1)
-
-
 class TableVersions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -66,100 +56,112 @@ class TableVersions:
         frames = tables.present()
         versions = cls(next(iter(frames.values())).sparkSession, root)
         for table, df in frames.items():
-            write_table(df, versions.version_path(table, INITIAL_BATCH))
-        versions.publish(INITIAL_BATCH, {t: versions.version_path(t, INITIAL_BATCH) for t in frames}, {})
+            write_table(df, versions.version_path(table, 0))
+        versions.publish(INITIAL_BATCH, dict.fromkeys(frames, TableState(0, 0)))
         return versions
 
-    # --- paths
-
-    def version_path(self, table: str, batch_id: str) -> str:
-        return f"{self.root}/tables/{table}/{batch_id}"
+    # --- paths and markers
+
+    def version_path(self, table: str, version: int) -> str:
+        return f"{self.root}/tables/{table}/{version}"
+
+    def log_path(self, table: str, version: int) -> str:
+        return f"{self.root}/changes/{table}/version={version}"
+
+    def audit_path(self, table: str, version: int) -> str:
+        return f"{self.root}/audit_log/at_table={table}/version={version}"
+
+    def _marker(self, table: str, version: int) -> str:
+        return f"{self.root}/published/{table}/{version}"
+
+    def _done_marker(self, batch_id: str) -> str:
+        return f"{self.root}/batches/{sha256(batch_id.encode()).hexdigest()}"
+
+    def _at(self, path: str):
+        """A path and its file system, whichever of Spark's it is in."""
+        found = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return found, found.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def _exists(self, path: str) -> bool:
+        found, files = self._at(path)
+        return files.exists(found)
+
+    def _put(self, path: str, text: str) -> None:
+        found, files = self._at(path)
+        out = files.create(found, True)
+        out.write(bytearray(text.encode()))
+        out.close()
+
+    def _get(self, path: str) -> str:
+        found, files = self._at(path)
+        stream = files.open(found)
+        text = self.spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+        stream.close()
+        return text
+
+    def is_done(self, batch_id: str) -> bool:
+        return self._exists(self._done_marker(batch_id))
+
+    def state(self, table: str) -> TableState:
+        """Where a table stands, from a number of lookups that grows with the logarithm of its history."""
+        low, high = -1, 0
+        while self._exists(self._marker(table, high)):
+            low, high = high, 2 * high + 1
+        while high - low > 1:
+            middle = (low + high) // 2
+            low, high = (middle, high) if self._exists(self._marker(table, middle)) else (low, middle)
+        # The last marker may be of a batch that was never finished.
+        for version in range(low, -1, -1):
+            marker = json.loads(self._get(self._marker(table, version)))
+            if self.is_done(marker["batch_id"]):
+                return TableState(marker["base"], version)
+        return TableState(-1, -1)
+
+    def publish(self, batch_id: str, states: dict[str, TableState]) -> None:
+        """Make a batch visible that leaves tables in the given states."""
+        for table, state in states.items():
+            self._put(self._marker(table, state.last), json.dumps({"base": state.base, "batch_id": batch_id}))
+        self._put(self._done_marker(batch_id), batch_id)
 
-    def log_path(self, table: str, batch_id: str) -> str:
-        return f"{self.root}/changes/{table}/batch_id={batch_id}"
-
-    def audit_path(self, table: str, batch_id: str) -> str:
-        return f"{self.root}/audit_log/at_table={table}/batch_id={batch_id}"
-
-    # --- markers
+    # --- reading
 
-    def markers(self) -> DataFrame:
-        """One row per published batch and table."""
+    def _read(self, schema: T.StructType, path: str) -> DataFrame:
         try:
-            return self.spark.read.schema(_MARKER_SCHEMA).parquet(f"{self.root}/published")
+            return self.spark.read.schema(schema).parquet(path)
         except AnalysisException as error:
             if error.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], _MARKER_SCHEMA)
-
-    def state(self, batch_id: str | None = None) -> tuple[bool, dict[str, TableState]]:
-        """Whether a batch is published, and where each table stands."""
-        written = F.when(F.col("path").isNotNull(), F.col("version"))
-        rows = (
-            self.markers()
-            .groupBy("table_name")
-            .agg(
-                F.max_by("path", written).alias("path"),
-                F.max(written).alias("base"),
-                F.max("version").alias("last"),
-                F.max(F.col("batch_id") == F.lit(batch_id)).alias("done"),
-            )
-            .collect()
-        )
-        states = {r["table_name"]: TableState(r["path"], -1 if r["base"] is None else r["base"], r["last"]) for r in rows}
-        return any(r["done"] for r in rows), states
-
-    def publish(self, batch_id: str, paths: dict[str, str | None], states: dict[str, TableState]) -> None:
-        """Make a batch visible: ``paths`` has each changed table, with the path if it was rewritten."""
-        rows = [
-            F.struct(
-                F.lit(table).alias("table_name"),
-                F.lit(states.get(table, NEW_TABLE).last + 1).cast("bigint").alias("version"),
-                F.lit(path).cast("string").alias("path"),
-            )
-            for table, path in paths.items()
-        ]
-        marker = self.spark.range(0, 1, 1, 1).select(F.inline(F.array(*rows)))
-        marker.write.mode("overwrite").parquet(f"{self.root}/published/batch_id={batch_id}")
+            return self.spark.createDataFrame([], schema)
 
-    # --- reading
-
-    def contents(self, table: str, state: TableState | None = None) -> DataFrame:
+    def contents(self, table: str) -> DataFrame:
         """The table with all published batches."""
-        if state is None:
-            state = self.state()[1].get(table, NEW_TABLE)
-        if state.path is None:
+        state = self.state(table)
+        if state.base < 0:
             contents = self.spark.createDataFrame([], SCHEMAS[table])
         else:
-            contents = read_table(self.spark, state.path, table)
+            contents = read_table(self.spark, self.version_path(table, state.base), table)
         if state.last == state.base:
             return contents
-        pending = self._accepted_since(table, state.base)
+        pending = self.change_log(table).where((F.col("version") > state.base) & F.col("reason").isNull())
         return apply_changes(contents, pending, table, order=("version", "seq"))
 
     def tables(self, *names: str) -> Tables:
-        states = self.state()[1]
-        return Tables(**{name: self.contents(name, states.get(name, NEW_TABLE)) for name in names or SCHEMAS})
+        return Tables(**{name: self.contents(name) for name in names or SCHEMAS})
 
-    def logged_batch(self, table: str, batch_id: str) -> DataFrame:
+    def logged_batch(self, table: str, version: int) -> DataFrame:
         """The checked changes of one batch, published or not."""
-        return self.spark.read.schema(_log_schema(table)).parquet(self.log_path(table, batch_id))
+        return self.spark.read.schema(_log_schema(table)).parquet(self.log_path(table, version))
 
     def change_log(self, table: str) -> DataFrame:
         """All published changes of a table with the reason of refused ones and the audit text."""
-        schema = _log_schema(table).add("batch_id", T.StringType())
-        log = self.spark.read.schema(schema).parquet(f"{self.root}/changes/{table}")
-        published = self.markers().where(F.col("table_name") == table).select("batch_id", "version")
-        return log.join(published, "batch_id")
-
-    def _accepted_since(self, table: str, version: int) -> DataFrame:
-        return self.change_log(table).where((F.col("version") > version) & F.col("reason").isNull())
+        log = self._read(_log_schema(table), f"{self.root}/changes/{table}")
+        return log.where(F.col("version") <= self.state(table).last)
 
     def rejected(self, table: str) -> DataFrame:
         return self.change_log(table).where(F.col("reason").isNotNull()).drop("action_desc", "logged")
 
-    def audit_log(self) -> DataFrame:
-        """The audit rows of all published batches."""
-        published = self.markers().select(F.col("table_name").alias("at_table"), "batch_id")
-        log = self.spark.read.schema(AUDIT_SCHEMA).parquet(f"{self.root}/audit_log")
-        return log.join(published, ["at_table", "batch_id"], "left_semi").select(*AUDIT_SCHEMA.fieldNames())
+    def audit_log(self, *tables: str) -> DataFrame:
+        """The audit rows of published batches, of some tables or all; ``version`` is the number of the table's batch."""
+        log = self._read(T.StructType([*AUDIT_SCHEMA.fields, _VERSION]), f"{self.root}/audit_log")
+        visible = [(F.col("at_table") == t) & (F.col("version") <= self.state(t).last) for t in tables or SCHEMAS]
+        return log.where(reduce(lambda a, b: a | b, visible))

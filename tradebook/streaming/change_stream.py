@@ -17,25 +17,34 @@ def stream_changes(
     source: str,
     checkpoint: str,
     as_of: Column | None = None,
-    rewrite: bool = False,
+    rewrite_every: int | None = 100,
     options: RuleOptions = RuleOptions(),
     files_per_batch: int | None = None,
+    bytes_per_batch: str | None = None,
     follow: bool = False,
+    trigger: str = "10 seconds",
+    audit_limit: int | None = None,
 ) -> StreamingQuery:
     """Process the change files that land in ``source``; one stream per table.
 
     Each micro-batch is one batch of the table's log, named after the table and its number, so
     a repeated micro-batch replaces its own output or does nothing. By default the stream ends
-    when all present files are done; ``follow=True`` keeps it waiting for more. Without ``as_of``
-    every micro-batch takes the time at which it runs.
+    when all present files are done; ``follow=True`` keeps it waiting for more, looking every
+    ``trigger``. Without ``as_of`` every micro-batch takes the time at which it runs. Each
+    ``rewrite_every``-th one writes the table anew, so that readers never have many logged batches
+    to put on top.
     """
     spark = versions.spark
     reader = spark.readStream.schema(change_schema(table))
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
+    if bytes_per_batch is not None:
+        reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
 
     def process(changes: DataFrame, number: int) -> None:
-        run_batch(versions, {table: changes}, f"{table}-{number:09d}", as_of, rewrite, options)
+        rewrite = rewrite_every is not None and (number + 1) % rewrite_every == 0
+        batch_id = f"{table}-{number:09d}"
+        run_batch(versions, {table: changes}, batch_id, as_of, rewrite, options, audit_limit=audit_limit)
 
     writer = (
         reader.parquet(source)
@@ -43,5 +52,5 @@ def stream_changes(
         .foreachBatch(process)
         .option("checkpointLocation", checkpoint)
     )
-    trigger = {"processingTime": "10 seconds"} if follow else {"availableNow": True}
-    return writer.trigger(**trigger).start()
+    when = {"processingTime": trigger} if follow else {"availableNow": True}
+    return writer.trigger(**when).start()
