@@ -36,7 +36,8 @@ _MODEL = {
         select c_custkey seq, lpad(cast(c_custkey as string),32,'C') customer_id,
                lpad(cast(c_custkey as string),32,'U') customer_unique_id,
                lpad(cast(c_custkey as string),5,'0') customer_zip_code_prefix,
-               lower(c_mktsegment) customer_city, 'S'||chr(65+c_nationkey) customer_state
+               case when c_custkey%31<>0 then lower(c_mktsegment) end customer_city,
+               case when c_custkey%29<>0 then 'S'||chr(65+c_nationkey) end customer_state
         from {customer}""",
     "k_sellers": """
         select s_suppkey seq, lpad(cast(s_suppkey as string),32,'S') seller_id,
@@ -53,8 +54,8 @@ _MODEL = {
         from {part}""",
     "k_order_items": """
         select l_orderkey*1000+order_item_id seq, lpad(cast(l_orderkey as string),32,'O') order_id,
-               order_item_id, lpad(cast(l_partkey as string),32,'P') product_id,
-               lpad(cast(l_suppkey as string),32,'S') seller_id, l_shipdate shipping_limit_date,
+               order_item_id, lpad(cast(l_partkey as string),32,case when l_partkey%41=0 then 'X' else 'P' end) product_id,
+               lpad(cast(l_suppkey as string),32,case when l_suppkey%37=0 then 'X' else 'S' end) seller_id, l_shipdate shipping_limit_date,
                cast(l_extendedprice as decimal(10,2)) price,
                case when l_tax > 0 then cast(cast(l_quantity as int) as decimal(10,2)) end freight_value
         from (select *, cast(row_number() over (partition by l_orderkey
@@ -63,7 +64,7 @@ _MODEL = {
               from {lineitem}) numbered""",
     "k_orders": """
         select o_orderkey seq, lpad(cast(o_orderkey as string),32,'O') order_id,
-               lpad(cast(o_custkey as string),32,'C') customer_id,
+               lpad(cast(o_custkey as string),32,case when o_custkey%43=0 then 'X' else 'C' end) customer_id,
                case when o_orderstatus='F' then 'delivered' when o_orderstatus='P' then 'shipped'
                     when o_orderpriority like '1%' then 'canceled' when o_orderpriority like '2%' then 'created'
                     when o_orderpriority like '3%' then 'processing' when o_orderpriority like '4%' then 'invoiced'
@@ -88,14 +89,16 @@ _MODEL = {
                cast(o_orderkey%5000 as decimal(10,2))
         from {orders} where o_orderpriority = '1-URGENT'""",
     "k_order_reviews": """
-        select o_orderkey seq, lpad(cast(o_orderkey as string),32,'R') review_id,
-               lpad(cast(o_orderkey as string),32,'O') order_id,
-               case when o_orderkey%23=0 then null else cast(1+(o_orderkey*7+o_custkey)%5 as int) end review_score,
+        select o_orderkey*10+number seq, lpad(cast(o_orderkey*10+number as string),32,'R') review_id,
+               lpad(cast(o_orderkey as string),32,case when o_orderkey%59=0 then 'X' else 'O' end) order_id,
+               case when o_orderkey%23=0 then null else cast(1+(o_orderkey*7+o_custkey+number)%5 as int) end review_score,
                case when o_orderpriority = '5-LOW' then null
                     else 'title '||cast(o_orderkey%9 as string) end review_comment_title,
                o_orderpriority review_comment_message, o_orderdate + interval '25' day review_creation_date,
                o_orderdate + interval '28' day review_answer_timestamp
-        from {orders} where o_orderstatus <> 'P'""",
+        from (select *, 1 number from {orders} where o_orderstatus <> 'P' union all
+              select *, 2 number from {orders} where o_orderstatus <> 'P' and o_orderkey%6=0 union all
+              select *, 3 number from {orders} where o_orderkey%30=0) reviewed""",
     "k_geolocation": """
         select c_custkey seq, lpad(cast(c_custkey as string),5,'0') geolocation_zip_code_prefix,
                cast(c_custkey*37%18000 as double)/100.7-89 geolocation_lat,
