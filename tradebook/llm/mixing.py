@@ -34,7 +34,7 @@ from tradebook.llm.columns import text_of, written
 
 BLOCK_CHARS = 1 << 16
 PERIOD = 1024
-MOST_SOURCES = 256
+MOST_SOURCES = 1000
 #: Documents of one source that are numbered in one task, on average.
 NUMBERED = 100_000
 
