@@ -38,7 +38,10 @@ from tradebook.sources.files import scratch_path
 
 ORDER = 2
 #: Words that a bucket gets on average, beyond the number of shuffle partitions.
-BUCKET_WORDS = 8_000_000
+BUCKET_WORDS = 1_000_000
+#: Bytes of text that a task counts, and scores, at a time; lookups need about a hundred times as many.
+COUNTED_BYTES = 2 << 20
+SCORED_BYTES = 1 << 20
 #: Files that a worker holds open at a time.
 MAPPED = 400
 _BEGIN, _END = (xxhash.xxh64_intdigest(name, 7) for name in (b"begin of text", b"end of text"))
@@ -106,7 +109,7 @@ def _planes(values: np.ndarray) -> bytes:
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
-def _numbers(planes: bytes) -> np.ndarray:
+def _numbers(planes: bytes | pa.Buffer) -> np.ndarray:
     flat = np.frombuffer(planes, np.uint8).reshape(5, -1)
     out = np.zeros((flat.shape[1], 8), np.uint8)
     out[:, :5] = flat.T
@@ -148,7 +151,7 @@ def _sent(columns: np.ndarray, raw: np.ndarray, links: np.ndarray, buckets: int)
 
 def _counted(order: int, buckets: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, size=COUNTED_BYTES):
             tokens, starts = _tokens(chunk.column("text"))
             columns = _grams(tokens, starts, order)
             columns, _, raw = _summed(columns, np.ones(columns.shape[1], np.int64))
@@ -160,11 +163,13 @@ def _counted(order: int, buckets: int):
 def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = table.column("order")[0].as_py()
     parts = []
-    for row in table.select(["context", "runs", "last", "raw", "links"]).to_pylist():
-        last = np.frombuffer(row["last"], "<u8")[None, :]
-        runs = _numbers(row["runs"])
-        context = np.frombuffer(row["context"], "<u8").reshape(order - 1, -1) if order > 1 else np.empty((0, last.shape[1]), np.uint64)
-        parts.append((np.concatenate((np.repeat(context, runs, axis=1) if order > 1 else context, last)), _numbers(row["raw"]), _numbers(row["links"])))
+    for row in zip(*(table.column(c) for c in ("context", "runs", "last", "raw", "links")), strict=True):
+        context, runs, last, raw, links = (x.as_buffer() for x in row)  # without copies
+        last = np.frombuffer(last, "<u8")[None, :]
+        if order > 1:
+            context = np.repeat(np.frombuffer(context, "<u8").reshape(order - 1, -1), _numbers(runs), axis=1)
+            last = np.concatenate((context, last))
+        parts.append((last, _numbers(raw), _numbers(links)))
     return tuple(np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
 
 
@@ -345,7 +350,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model)
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, size=SCORED_BYTES):
             tokens, starts = _tokens(chunk.column("text"))
             columns = _grams(tokens, starts, model.order)
             links, raw = lookup.words(columns[-1:])
