@@ -23,7 +23,7 @@ def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "tokens")
     token_shards.write(read(spark, sf_dir, "documents"), path, public_tokenizer())
-    return token_shards.read(spark, path).select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+    return token_shards.digests(spark, path)
 
 
 def op3_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,9 +5,9 @@ Documents are dealt out by ranges of their order, and each task writes its range
 writer, so that a lost task leaves nothing behind and any store that Spark writes to will do. The
 number of ids before a shard comes from sums per task and within a task, not from one long scan.
 
-The tokenizer splits a text before every space that a non-space follows, so pieces between such spaces
-have ids of their own. Each distinct piece of a few megabytes of text is encoded once; texts in which
-a space is followed by white space or ends the text are encoded whole.
+The tokenizer splits a text before every space that a non-space follows, and between letters and
+punctuation, so that parts between such places have ids of their own. Each distinct part is encoded once, as long
+as a worker remembers it; texts in which a space is followed by white space or ends the text are encoded whole.
 
 Defined results: a null text counts as empty, which leaves only the end id; null ids come first; rows with the
 same id follow each other in the order of a hash of their text; an empty table gives no shard.
@@ -16,7 +16,10 @@ same id follow each other in the order of a hash of their text; an empty table g
 from __future__ import annotations
 
 import os
-from collections.abc import Iterable, Iterator, Sequence
+import re
+import zlib
+from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import accumulate, chain, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -30,13 +33,45 @@ from tradebook.llm.words import chunks
 
 END_ID = 2
 SHARD_TOKENS = 1 << 21
-#: Distinct pieces that a task remembers the ids of; beyond them it starts anew.
-REMEMBERED = 400_000
+#: Bytes of text that a task encodes at a time, so that a word that is frequent in them is looked up once.
+ENCODED_BYTES = 4 << 20
+#: Distinct pieces, and distinct parts, in each of the two generations that a worker remembers the ids of.
+REMEMBERED = 250_000
+#: Punctuation that never begins a contraction.
+_AFTER = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
 _NOT_CUT = " (?:[\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 
 
+class _Memory:
+    """Ids of what was used of late: two generations, of which the older one goes when the newer one is full."""
+
+    def __init__(self) -> None:
+        self._new: dict[str, bytes] = {}
+        self._old: dict[str, bytes] = {}
+
+    def ids_of(self, wanted: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+        """Ids of what is ``wanted``, all different."""
+        found = list(map(self._new.get, wanted))
+        absent = [i for i, x in enumerate(found) if x is None]
+        unknown = []
+        for i in absent:
+            found[i] = self._old.get(wanted[i])
+            if found[i] is None:
+                unknown.append(i)
+        for i, x in zip(unknown, encode([wanted[i] for i in unknown]) if unknown else [], strict=True):
+            found[i] = x
+        if len(self._new) + len(absent) > REMEMBERED:
+            self._new, self._old = {}, self._new
+        self._new.update((wanted[i], found[i]) for i in absent)
+        return found
+
+
 class Encoder:
-    """Ids of many texts at once with a byte-level tokenizer of the ``tokenizers`` library."""
+    """Ids of many texts at once with a tokenizer of the ``tokenizers`` library.
+
+    With a byte-level tokenizer that splits by its usual pattern, texts are cut into pieces whose ids don't
+    depend on their surroundings, and each distinct piece is encoded once; others encode whole texts.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -46,23 +81,42 @@ class Encoder:
         self._tokenizer.encode_special_tokens = True
         self.bits = max(1, (self._tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
-        self._known: dict[str, bytes] = {}
+        usual = re.fullmatch(r"ByteLevel\(add_prefix_space=False,.*use_regex=True\)", str(self._tokenizer.pre_tokenizer))
+        self._whole = not usual or self._tokenizer.normalizer is not None
+        self._known, self._known_parts = _Memory(), _Memory()
+
+    @staticmethod
+    def of_worker(path: str) -> Encoder:
+        """The encoder of this worker process, with what earlier tasks have learned."""
+        import tokenizers
+
+        # Code that is sent with a task goes with it; the library's module stays as long as the worker.
+        kept = vars(tokenizers).setdefault("_encoder_of_worker", {})
+        if path not in kept:
+            kept.clear()
+            kept[path] = Encoder(path)
+        return kept[path]
 
     def _plain(self, pieces: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        data = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
+        ends = [0, *accumulate(len(x) * self.kind.itemsize for x in found)]
+        return [data[a:b] for a, b in pairwise(ends)]
 
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of pieces that come after a space."""
-        missing = [p for p in pieces if p not in self._known]
-        if len(self._known) + len(missing) > REMEMBERED:
-            self._known, missing = {}, pieces
-        self._known.update(zip(missing, self._plain([" " + p for p in missing]), strict=True))
-        return [self._known[p] for p in pieces]
+        """Ids of distinct pieces that come after a space."""
+        return self._known.ids_of(pieces, self._new_pieces)
+
+    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
+        parts = [_parts(p) for p in pieces]
+        distinct = list({x for some in parts for x in some})
+        known = dict(zip(distinct, self._known_parts.ids_of(distinct, self._plain), strict=True))
+        return [known[some[0]] if len(some) == 1 else b"".join([known[x] for x in some]) for some in parts]
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         texts = texts.fill_null("").cast(pa.large_string())
-        whole = pc.match_substring_regex(texts, _NOT_CUT)
+        whole = pc.or_(pc.match_substring_regex(texts, _NOT_CUT), self._whole)
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         flat = cut.values.dictionary_encode()
         starts = cut.offsets.to_numpy()
@@ -80,6 +134,26 @@ class Encoder:
         return taken, np.diff(np.concatenate(([0], ends))[starts])
 
 
+def _parts(piece: str) -> list[str]:
+    """Parts of a piece after a space that the tokenizer keeps apart as well.
+
+    A run of letters ends before punctuation, and punctuation and single line ends stand alone.
+    """
+    lines = piece.split("\n")
+    if len(lines) > 1 and not all(line and line.isprintable() for line in lines):
+        return [" " + piece]
+    out: list[str] = []
+    for i, line in enumerate(lines):
+        letters = line.rstrip(_AFTER)
+        if i:
+            out.append("\n")
+        if len(letters) < len(line) and letters.isalpha():
+            out += (letters if i else " " + letters, line[len(letters) :])
+        else:
+            out.append(line if i else " " + line)
+    return out
+
+
 def _shards(path: str, end_id: int, shard_tokens: int):
     """Rows of part, shard, n_docs, n_tokens and data, for the documents of one task in order."""
 
@@ -98,9 +172,9 @@ def _shards(path: str, end_id: int, shard_tokens: int):
                 ["part", "shard", "n_docs", "n_tokens", "data"],
             )
 
-        for chunk in chunks(batches):
+        for chunk in chunks(batches, size=ENCODED_BYTES):
             if encoder is None:
-                encoder = Encoder(path)
+                encoder = Encoder.of_worker(path)
             found, sizes = encoder.encode(chunk.column("text").combine_chunks())
             begin = 0
             for doc_id, n in zip(chunk.column("doc_id").to_pylist(), sizes.tolist(), strict=True):
@@ -151,8 +225,8 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     return found.join(starts, ["part", "shard"])
 
 
-def read(spark: SparkSession, path: str) -> DataFrame:
-    """Every document of the shards: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit, as binary)."""
+def _documents(spark: SparkSession, path: str, name: str, kind: str, made: Callable[[bytes], object]) -> DataFrame:
+    """doc_id, start and n_tokens of every document of the shards, and what ``made`` makes of its ids' bytes."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,14 +235,21 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                 ids = shard.decode().astype("<u4")
                 ends = np.cumsum(shard.lengths)
                 begins = ends - shard.lengths
+                values = [made(ids[b:e].tobytes()) for b, e in zip(begins.tolist(), ends.tolist(), strict=True)]
                 yield pa.record_batch(
-                    [
-                        pa.array(shard.doc_ids, pa.int64()),
-                        pa.array(begins + start),
-                        pa.array(shard.lengths),
-                        pa.array([ids[b:e].tobytes() for b, e in zip(begins.tolist(), ends.tolist(), strict=True)], pa.binary()),
-                    ],
-                    ["doc_id", "start", "n_tokens", "ids"],
+                    [pa.array(shard.doc_ids, pa.int64()), pa.array(begins + start), pa.array(shard.lengths), pa.array(values, kinds[kind])],
+                    ["doc_id", "start", "n_tokens", name],
                 )
 
-    return shards(spark, path).select("start", "data").mapInArrow(run, "doc_id long, start long, n_tokens long, ids binary")
+    kinds = {"binary": pa.binary(), "long": pa.int64()}
+    return shards(spark, path).select("start", "data").mapInArrow(run, f"doc_id long, start long, n_tokens long, {name} {kind}")
+
+
+def read(spark: SparkSession, path: str) -> DataFrame:
+    """Every document of the shards: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit, as binary)."""
+    return _documents(spark, path, "ids", "binary", bytes)
+
+
+def digests(spark: SparkSession, path: str) -> DataFrame:
+    """As ``read``, with the CRC-32 of a document's ids in their place."""
+    return _documents(spark, path, "ids_crc32", "long", zlib.crc32)
