@@ -7,7 +7,8 @@ number of ids before a shard comes from sums per task and within a task, not fro
 
 The tokenizer splits a text before every space that a non-space follows, and between letters and
 punctuation, so that parts between such places have ids of their own. Each distinct part is encoded once, as long
-as a worker remembers it; texts in which a space is followed by white space or ends the text are encoded whole.
+as a worker remembers it; texts in which a space is followed by white space or ends the text, and texts with an added token
+of the tokenizer, such as <|endoftext|>, are encoded whole. Ids are those of the library's default encoding.
 
 Defined results: a null text counts as empty, which leaves only the end id; null ids come first; rows with the
 same id follow each other in the order of a hash of their text; an empty table gives no shard.
@@ -78,11 +79,13 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
         self.bits = max(1, (self._tokenizer.get_vocab_size() - 1).bit_length())
         self.kind = np.dtype("<u2" if self.bits <= 16 else "<u4")
         usual = re.fullmatch(r"ByteLevel\(add_prefix_space=False,.*use_regex=True\)", str(self._tokenizer.pre_tokenizer))
         self._whole = not usual or self._tokenizer.normalizer is not None
+        # The library looks for added tokens in the whole text before it splits it.
+        added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
+        self._not_cut = "|".join([_NOT_CUT, *map(re.escape, added)])
         self._known, self._known_parts = _Memory(), _Memory()
 
     @staticmethod
@@ -116,7 +119,7 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         texts = texts.fill_null("").cast(pa.large_string())
-        whole = pc.or_(pc.match_substring_regex(texts, _NOT_CUT), self._whole)
+        whole = pc.or_(pc.match_substring_regex(texts, self._not_cut), self._whole)
         cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
         flat = cut.values.dictionary_encode()
         starts = cut.offsets.to_numpy()
