@@ -28,8 +28,9 @@ from tradebook.llm.columns import BLANKS, let, text_of, words_of, written
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 #: Smallest standard deviation that a statistic is taken to have, so that one that is the same in
-#: most texts of a group doesn't turn the rest into outliers.
-FLOORS = {"x_word_length": 0.08, "x_symbols": 0.03, "x_repeats": 0.2, "x_lines": 0.2}
+#: most texts of a group doesn't turn the rest into outliers. Repeated lines can reject by themselves (from half of
+#: the lines on, in a group without any); repeated words, which the plain limit ends at 0.3, only together with others.
+FLOORS = {"x_word_length": 0.08, "x_symbols": 0.03, "x_repeats": 0.165, "x_lines": 0.165}
 FEATURES = tuple(FLOORS)
 CLASSES_PER_OCTAVE = 32
 PAIRS = tuple((i, j) for i in range(len(FEATURES)) for j in range(i + 1))
@@ -252,7 +253,7 @@ def estimates(rows: DataFrame, steps: int = 5) -> DataFrame:
     return written(again, "mcd")
 
 
-def judge(docs: DataFrame, min_group: int = 50, steps: int = 5, tail: float = 1e-6) -> DataFrame:
+def judge(docs: DataFrame, min_group: int = 50, steps: int = 5, tail: float = 1e-3) -> DataFrame:
     """One row for each document: its statistics, ``base_failed``, ``distance`` and ``kept``.
 
     ``docs`` has doc_id, text, lang and source; other columns are ignored. ``tail`` is the share of
