@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tradebook.llm import decontamination, html_extraction, kneser_ney, license_scan, mixing, quality_rules, simhash, spelling_variants, substring_dedup, token_shards, url_filter, warc
+from tradebook.llm import decontamination, html_extraction, kneser_ney, license_scan, mixing, quality_rules, simhash, spelling_variants, substring_dedup, token_shards, url_filter, warc, whitening
 from tradebook.llm.columns import read
 from tradebook.sources.files import scratch_path
 
@@ -66,6 +66,10 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.judge(read(spark, sf_dir, "documents")).drop("lang", "source")
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(read(spark, sf_dir, "embeddings"))
+
+
 def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling_variants.variants(read(spark, sf_dir, "documents"))
 
@@ -74,6 +78,6 @@ def op13_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archived(read(spark, sf_dir, "pages"), scratch_path(spark, "warc"))
 
 
-_OPERATORS = (op1_license_scan, op2_token_shards, op3_benchmark_decontamination, op4_url_filter, op5_mixing, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules, op12_spelling_variants, op13_warc)
+_OPERATORS = (op1_license_scan, op2_token_shards, op3_benchmark_decontamination, op4_url_filter, op5_mixing, op6_html_extraction, op7_simhash_near_duplicates, op8_kneser_ney, op9_substring_dedup, op10_quality_rules, op11_whitening, op12_spelling_variants, op13_warc)
 QUERIES = {f.__name__: f for f in _OPERATORS}
 ORACLES: dict[str, str] = {"op1_license_scan": license_scan.oracle_sql(), "op4_url_filter": url_filter.oracle_sql(), "op13_warc": warc.oracle_sql()}
