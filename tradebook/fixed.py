@@ -32,7 +32,6 @@ LATITUDE_LIMIT = 90
 LONGITUDE_LIMIT = 180
 DEFAULT_DELIVERY_DAYS = 7
 FIND_ORDERS_LIMIT = 100
-ACTION_DESC_LIMIT = 255
 
 # --- fixed values: reasons given by the request operators
 SELLER_ZIP_MISSING = "Input Validation Failed: Zip Code prefix cannot be null or empty."

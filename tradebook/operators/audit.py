@@ -5,6 +5,7 @@ The texts are templates, turned into one column expression per table.
 
 from __future__ import annotations
 
+from functools import reduce
 from string import Formatter
 
 from pyspark.sql import Column, DataFrame
@@ -103,10 +104,20 @@ def audit_of_table(audit_log: DataFrame, table: str) -> DataFrame:
     return audit_log.where(F.col("at_table") == table)
 
 
-def latest_audit_row(audit_log: DataFrame, table: str) -> DataFrame:
-    """The last audit row of a table's log as its store keeps it, by the number of the batch and of the change.
+def latest_audit_rows(audit_log: DataFrame) -> DataFrame:
+    """The last audit row of each table in a log as its store keeps it, by the number of the batch and of the change.
 
-    The text decides between rows of one change number.
+    The newest batch of a table comes from the values of the log's partitions; no other batch's rows are read. The text
+    decides between rows of one change number.
     """
-    order = [F.desc(c) for c in ("version", "seq", "action_desc")]
-    return audit_of_table(audit_log, table).orderBy(*order).limit(1)
+    newest = audit_log.groupBy("at_table").agg(F.max("version").alias("version")).collect()  # a row per table
+    wanted = [(F.col("at_table") == r.at_table) & (F.col("version") == r.version) for r in newest]
+    rows = audit_log.where(reduce(Column.__or__, wanted, F.lit(False)))
+    order = ["seq", "action_desc"]
+    last = F.max(F.struct(*order, *[c for c in audit_log.columns if c not in (*order, "at_table")])).alias("last")
+    return rows.groupBy("at_table").agg(last).select("at_table", "last.*").select(*audit_log.columns)
+
+
+def latest_audit_row(audit_log: DataFrame, table: str) -> DataFrame:
+    """The last audit row of one table."""
+    return latest_audit_rows(audit_of_table(audit_log, table))

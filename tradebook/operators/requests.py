@@ -2,7 +2,8 @@
 
 A request frame has a ``seq`` that is unique in its batch. Each operator splits the requests
 into accepted and refused ones and says which rows change. What a table holds afterwards comes from
-putting these changes through the row rules and applying them, in a batch or with ``plans.batch.settle``.
+putting these changes through the row rules and applying them, in a batch or with ``plans.batch.settle``; where no
+rule is wanted, ``Outcome.after`` has it in one pass over the table.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ class Outcome:
     rejected: DataFrame
     # Change frames (op, seq, old, new) by table, for row rules and audit.
     changes: dict[str, DataFrame] = field(default_factory=dict)
+    # The tables as the requests leave them, row rules aside, in one pass over each; not for new rows.
+    after: dict[str, DataFrame] = field(default_factory=dict)
 
 
 def _split(requests: DataFrame, *checks: tuple[Column, str]) -> tuple[DataFrame, DataFrame]:
@@ -57,15 +60,21 @@ def _last_given(values: dict[str, str], key: Column, requests: DataFrame) -> Dat
     return requests.groupBy(key.alias("target")).agg(F.max("seq").alias("seq"), *given)
 
 
-def _patch(contents: DataFrame, table: str, key: str, patch: DataFrame, columns: list[str]) -> DataFrame:
-    """Change frame that puts the patch's values into the named columns where they are given."""
+def _patch(contents: DataFrame, table: str, key: str, patch: DataFrame, columns: list[str]) -> tuple[DataFrame, DataFrame]:
+    """Change frame that puts the patch's values into the named columns where they are given, and the table after it."""
     patch = patch.select("target", "seq", *[F.col(c).alias(f"patch_{c}") for c in columns])
     names = SCHEMAS[table].fieldNames()
     patched = [
         (F.coalesce(F.col(f"patch_{c}"), F.col(c)) if c in columns else F.col(c)).alias(c) for c in names
     ]
-    found = contents.join(patch, contents[key] == patch["target"])
-    return found.select(*_change("U", F.struct(*names), F.struct(*patched)))
+    same = contents[key] == patch["target"]
+    changes = contents.join(patch, same).select(*_change("U", F.struct(*names), F.struct(*patched)))
+    return changes, contents.join(patch, same, "left").select(*patched)
+
+
+def _left(contents: DataFrame, table: str, key: str, targets: DataFrame) -> DataFrame:
+    """The table without the rows of the target ids."""
+    return contents.select(*SCHEMAS[table].fieldNames()).join(targets, contents[key] == targets["target"], "left_anti")
 
 
 def _remove(contents: DataFrame, table: str, key: str, targets: DataFrame) -> DataFrame:
@@ -141,7 +150,8 @@ def update_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
     )
     columns = dict(zip(("seller_zip_code_prefix", "seller_city", "seller_state"), new_values))
     patch = _last_given(columns, F.trim("seller_id"), trimmed)
-    return Outcome(accepted, rejected, {"sellers": _patch(sellers, "sellers", "seller_id", patch, list(columns))})
+    changes, after = _patch(sellers, "sellers", "seller_id", patch, list(columns))
+    return Outcome(accepted, rejected, {"sellers": changes}, {"sellers": after})
 
 
 def delete_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
@@ -151,7 +161,8 @@ def delete_sellers(sellers: DataFrame, requests: DataFrame) -> Outcome:
     )
     accepted = accepted.withColumn("status", F.format_string(fixed.SELLER_REMOVED, F.trim("seller_id")))
     targets = accepted.select(F.trim("seller_id").alias("target"), "seq")
-    return Outcome(accepted, rejected, {"sellers": _remove(sellers, "sellers", "seller_id", targets)})
+    removed, left = _remove(sellers, "sellers", "seller_id", targets), _left(sellers, "sellers", "seller_id", targets)
+    return Outcome(accepted, rejected, {"sellers": removed}, {"sellers": left})
 
 
 # --- orders
@@ -219,7 +230,8 @@ def update_orders(orders: DataFrame, requests: DataFrame) -> Outcome:
     trimmed = accepted.select("seq", "order_id", F.trim("new_status").alias("new_status"), "delivered_date")
     columns = {"order_status": "new_status", "order_delivered_customer_date": "delivered_date"}
     patch = _last_given(columns, F.trim("order_id"), trimmed)
-    return Outcome(accepted, rejected, {"orders": _patch(orders, "orders", "order_id", patch, list(columns))})
+    changes, after = _patch(orders, "orders", "order_id", patch, list(columns))
+    return Outcome(accepted, rejected, {"orders": changes}, {"orders": after})
 
 
 CASCADE = ("order_reviews", "order_payments", "order_items", "orders")
@@ -232,4 +244,5 @@ def delete_orders_cascade(tables: Tables, requests: DataFrame) -> Outcome:
     )
     accepted = accepted.withColumn("status", F.format_string(fixed.ORDER_REMOVED, F.trim("order_id")))
     targets = accepted.select(F.trim("order_id").alias("target"), "seq")
-    return Outcome(accepted, rejected, {t: _remove(getattr(tables, t), t, "order_id", targets) for t in CASCADE})
+    removed = {t: _remove(getattr(tables, t), t, "order_id", targets) for t in CASCADE}
+    return Outcome(accepted, rejected, removed, {t: _left(getattr(tables, t), t, "order_id", targets) for t in CASCADE})

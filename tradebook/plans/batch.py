@@ -1,4 +1,4 @@
-"""One batch of changes from end to end: row rules, change log, audit log, tables, marker."""
+"""One batch of changes from end to end: row rules, change log, audit log, tables, publication."""
 
 from __future__ import annotations
 
@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tradebook.operators.apply import apply_changes
-from tradebook.operators.audit import audit_rows, describe_changes
+from tradebook.operators.audit import describe_changes
 from tradebook.operators.rules import QUARANTINE, RuleOptions, accepted_changes, apply_rules
-from tradebook.sources.files import write_table
-from tradebook.sources.versions import TableState, TableVersions
+from tradebook.schema import combined
+from tradebook.sources.store import Store
 
 
 def now(spark: SparkSession) -> Column:
@@ -39,7 +39,7 @@ def settle(
 
 
 def run_batch(
-    versions: TableVersions,
+    store: Store,
     changes: dict[str, DataFrame],
     batch_id: str,
     as_of: Column | None = None,
@@ -50,36 +50,28 @@ def run_batch(
 ) -> bool:
     """Check, log and audit the changes of some tables; False if the batch was done before.
 
-    The checked changes are written once and everything after reads them from there, so the
-    rules run once and a lost executor costs no more than its own tasks. The tables are left as they are:
-    readers see the logged changes on top. With ``rewrite`` the changed tables are written anew,
-    with all that was logged before.
+    The checked changes of all tables are written by one job and everything after reads them from there, so the
+    rules run once and a lost executor costs no more than its own tasks. All tables show the batch at the same moment.
+    They are left as they are, and readers see the logged changes on top; with ``rewrite`` the buckets that
+    hold touched keys are read and written anew, with all that was logged for them before.
     """
-    if versions.is_done(batch_id):
+    if store.is_done(batch_id):
         return False
     if as_of is None:
-        as_of = now(versions.spark)
-    states: dict[str, TableState] = {}
-    for table, df in changes.items():
-        state = versions.state(table)
-        number = state.last + 1
-        checked = check_changes(df, table, as_of, options, mode, audit_limit).withColumn("batch_id", F.lit(batch_id))
-        write_table(checked, versions.log_path(table, number))
-        checked = versions.logged_batch(table, number)
-        if rewrite:
-            accepted = checked.where(F.col("reason").isNull())
-            write_table(apply_changes(versions.contents(table), accepted, table), versions.version_path(table, number))
-        write_table(audit_rows(checked, table, as_of, batch_id).drop("at_table"), versions.audit_path(table, number))
-        states[table] = TableState(number if rewrite else state.base, number)
-    versions.publish(batch_id, states)
+        as_of = now(store.spark)
+    batch = store.last() + 1
+    named = {"batch_id": F.lit(batch_id), "action_date": as_of}
+    checked = {t: check_changes(df, t, as_of, options, mode, audit_limit).withColumns(named) for t, df in changes.items()}
+    store.write_changes(combined(checked), batch)
+    buckets = {t: store.rewrite(t, batch, store.touched(t, batch)) if rewrite else [] for t in changes}
+    store.publish(batch, batch_id, buckets)
     return True
 
 
-def rewrite_table(versions: TableVersions, table: str, batch_id: str) -> bool:
-    """Write a new whole version of a table that takes in all logged batches."""
-    if versions.is_done(batch_id):
+def rewrite_table(store: Store, table: str, batch_id: str) -> bool:
+    """Write all of a table anew, with all logged batches."""
+    if store.is_done(batch_id):
         return False
-    number = versions.state(table).last + 1
-    write_table(versions.contents(table), versions.version_path(table, number))
-    versions.publish(batch_id, {table: TableState(number, number)})
+    batch = store.last() + 1
+    store.publish(batch, batch_id, {table: store.rewrite(table, batch)})
     return True

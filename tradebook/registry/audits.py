@@ -2,18 +2,14 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
-from pyspark.sql import DataFrame
-
-from tradebook.operators.audit import audit_of_table, audit_rows, describe_changes, latest_audit_row
+from tradebook.operators.audit import audit_rows, describe_changes, latest_audit_rows
 from tradebook.plans.batch import run_batch
 from tradebook.operators.rules import apply_rules
 from tradebook.registry.rows import as_of, insert_sql, update_sql
 from tradebook.schema import SCHEMAS
 from tradebook.sources.files import scratch_path
 from tradebook.sources.testdata import AS_OF, all_changes, delete_batch, insert_batch, oracle, update_batch
-from tradebook.sources.versions import TableVersions
+from tradebook.sources.store import Store
 
 BATCH_ID = "b1"
 _BATCHES = {"insert": insert_batch, "update": update_batch, "delete": delete_batch}
@@ -28,21 +24,27 @@ def _query(table, kind):
     return lambda spark, sf_dir: _audit(_BATCHES[kind](spark, sf_dir, table), table)
 
 
-def written_log(spark, sf_dir) -> DataFrame:
-    """The log that a store keeps after a batch with all changes of all tables and a later one of insertions."""
-    versions = TableVersions(spark, scratch_path(spark, "audit"))
-    run_batch(versions, {t: all_changes(spark, sf_dir, t) for t in SCHEMAS}, "b9", as_of())
-    run_batch(versions, {t: insert_batch(spark, sf_dir, t) for t in SCHEMAS}, "b10", as_of())
-    return versions.audit_log()
+#: Stores by session and folder: a store is there to be read many times.
+_STORES: dict[tuple[str, str], Store] = {}
+
+
+def written_store(spark, sf_dir) -> Store:
+    """A store after a batch with all changes of all tables and a later one of insertions, written once in a session."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _STORES:
+        store = Store(spark, scratch_path(spark, "audit"))
+        run_batch(store, {t: all_changes(spark, sf_dir, t) for t in SCHEMAS}, "b9", as_of())
+        run_batch(store, {t: insert_batch(spark, sf_dir, t) for t in SCHEMAS}, "b10", as_of())
+        _STORES[key] = store
+    return _STORES[key]
 
 
 def _audit_by_table(spark, sf_dir):
-    return audit_of_table(written_log(spark, sf_dir), "customers")
+    return written_store(spark, sf_dir).audit_log("customers")
 
 
 def _audit_latest(spark, sf_dir):
-    log = written_log(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [latest_audit_row(log, table) for table in SCHEMAS])
+    return latest_audit_rows(written_store(spark, sf_dir).audit_log())
 
 
 QUERIES = {f"audit_{t}_{kind}": _query(t, kind) for t in SCHEMAS for kind in _BATCHES}

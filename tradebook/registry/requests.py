@@ -63,8 +63,9 @@ _DELETE_ORDERS = """
 
 def _with_rejected(outcome: requests.Outcome, contents: DataFrame, table: str, columns: dict[str, str | None]) -> DataFrame:
     """Rows after all changes that were asked for, then refused requests, under common column names."""
-    after = apply_changes(contents, outcome.changes[table], table)
-    kept = after.select(*columns, F.lit(None).cast("string").alias("reason"))
+    # New rows have ids of their own, so they only follow the others.
+    added = contents.unionByName(outcome.changes[table].select("new.*")) if table not in outcome.after else None
+    kept = outcome.after.get(table, added).select(*columns, F.lit(None).cast("string").alias("reason"))
     types = dict(kept.dtypes)
     shown = [
         (F.lit(None) if source is None else F.col(source)).cast(types[name]).alias(name)
@@ -148,8 +149,7 @@ def _delete_orders_cascade(spark, sf_dir):
             for table, df in frames.items()
         ]
 
-    after = {t: apply_changes(getattr(tables, t), df, t) for t, df in outcome.changes.items()}
-    parts = counted("remaining", after) + counted("removed", outcome.changes)
+    parts = counted("remaining", outcome.after) + counted("removed", outcome.changes)
     return reduce(DataFrame.unionByName, parts + counted("rejected", {"orders": outcome.rejected}))
 
 

@@ -5,32 +5,24 @@ from __future__ import annotations
 from tradebook.plans.batch import run_batch
 from tradebook.registry.audits import all_audit_sql
 from tradebook.registry.rows import as_of, update_sql
-from tradebook.schema import SCHEMAS, change_schema
-from tradebook.sources.files import scratch_path, write_table
+from tradebook.schema import SCHEMAS, combined, combined_schema
+from tradebook.sources.files import scratch_path
+from tradebook.sources.store import Store
 from tradebook.sources.testdata import all_changes, load_tables, oracle, update_batch
-from tradebook.sources.versions import TableVersions
 from tradebook.streaming import stream_changes
 
-#: Of a table's change files, so many micro-batches are made.
+#: The change files are taken up in so many micro-batches.
 MICRO_BATCHES = 2
 
 
-def stream_all(spark, sf_dir) -> TableVersions:
-    """Write the change batches of every table as files and stream them into a change log."""
+def stream_all(spark, sf_dir) -> Store:
+    """Write the change batches of all tables as files and take them into a store by one stream."""
     root = scratch_path(spark, "stream")
-    versions = TableVersions(spark, f"{root}/store")
-    running = []
-    for table in SCHEMAS:
-        source = f"{root}/incoming/{table}"
-        write_table(all_changes(spark, sf_dir, table), source)
-        files = len(spark.read.schema(change_schema(table)).parquet(source).inputFiles())
-        progress = f"{root}/progress/{table}"
-        running.append(
-            stream_changes(versions, table, source, progress, as_of=as_of(), files_per_batch=-(-files // MICRO_BATCHES))
-        )
-    for query in running:
-        query.awaitTermination()
-    return versions
+    store, source = Store(spark, f"{root}/store"), f"{root}/incoming"
+    combined({t: all_changes(spark, sf_dir, t) for t in SCHEMAS}).write.parquet(source)
+    files = len(spark.read.schema(combined_schema()).parquet(source).inputFiles())
+    stream_changes(store, source, f"{root}/progress", as_of=as_of(), files_per_batch=-(-files // MICRO_BATCHES)).awaitTermination()
+    return store
 
 
 def _stream_audit_rows(spark, sf_dir):
@@ -39,18 +31,16 @@ def _stream_audit_rows(spark, sf_dir):
 
 def _batch_contents(spark, sf_dir):
     """The orders after a batch of updates of the whole table, read back from the store."""
-    orders = load_tables(spark, sf_dir, "orders")
-    versions = TableVersions.create(scratch_path(spark, "batch"), orders)
-    run_batch(versions, {"orders": update_batch(spark, sf_dir, "orders")}, "b1", as_of(), rewrite=True)
-    return versions.contents("orders")
+    store = Store.create(scratch_path(spark, "batch"), load_tables(spark, sf_dir, "orders"))
+    run_batch(store, {"orders": update_batch(spark, sf_dir, "orders")}, "b1", as_of(), rewrite=True)
+    return store.contents("orders")
 
 
 def _logged_contents(spark, sf_dir):
-    """The sellers when a batch is logged on top of the last version but not yet written into it."""
-    sellers = load_tables(spark, sf_dir, "sellers")
-    versions = TableVersions.create(scratch_path(spark, "batch"), sellers)
-    run_batch(versions, {"sellers": update_batch(spark, sf_dir, "sellers")}, "b1", as_of())
-    return versions.contents("sellers")
+    """The sellers when a batch is logged on top of their files but not yet written into them."""
+    store = Store.create(scratch_path(spark, "batch"), load_tables(spark, sf_dir, "sellers"))
+    run_batch(store, {"sellers": update_batch(spark, sf_dir, "sellers")}, "b1", as_of())
+    return store.contents("sellers")
 
 
 def _updated_sql(table: str, key: str) -> str:

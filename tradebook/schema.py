@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, fields
+from functools import reduce
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 MONEY = T.DecimalType(10, 2)
@@ -16,6 +18,7 @@ _TYPES = {
     "INT": T.IntegerType(),
     "BIGINT": T.LongType(),
     "DOUBLE": T.DoubleType(),
+    "BOOLEAN": T.BooleanType(),
     "MONEY": MONEY,
     "TIMESTAMP_NTZ": T.TimestampNTZType(),
 }
@@ -97,6 +100,30 @@ def change_schema(table: str) -> T.StructType:
     )
 
 
+def combined_schema(more: str = "") -> T.StructType:
+    """Schema of changes of any table in one frame: the table's name, ``more`` columns, and a pair of images for each table."""
+    added = _struct(more).fields if more else []
+    images = [T.StructField(t, T.StructType([T.StructField(i, s) for i in ("old", "new")])) for t, s in SCHEMAS.items()]
+    head = [T.StructField("at_table", T.StringType()), T.StructField("op", T.StringType()), T.StructField("seq", T.LongType())]
+    return T.StructType([*head, *added, *images])
+
+
+def combined(changes: dict[str, DataFrame]) -> DataFrame:
+    """Change frames of several tables as one; columns besides op, seq, old and new are kept."""
+
+    def wide(table: str, df: DataFrame) -> DataFrame:
+        more = [c for c in df.columns if c not in ("op", "seq", "old", "new")]
+        images = [F.struct("old", "new") if t == table else F.lit(None).cast(combined_schema()[t].dataType) for t in SCHEMAS]
+        return df.select(F.lit(table).alias("at_table"), "op", "seq", *more, *[i.alias(t) for i, t in zip(images, SCHEMAS)])
+
+    return reduce(DataFrame.unionByName, [wide(table, df) for table, df in changes.items()])
+
+
+def split(changes: DataFrame, *tables: str) -> dict[str, DataFrame]:
+    """The change frames of the named tables, out of a combined one."""
+    return {t: changes.where(F.col("at_table") == t).select("op", "seq", f"{t}.old", f"{t}.new") for t in tables}
+
+
 @dataclass(frozen=True)
 class Tables:
     """The base tables as DataFrames; leave out those a query does not use."""

@@ -12,6 +12,16 @@ from tradebook.schema import SCHEMAS, Tables
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
 #: Tables whose text may have line ends. Their csv files can't be split, so other tables are read without.
 MULTI_LINE = ("order_reviews",)
+#: Columns by which rows of a table are looked up.
+LOOKUP = {
+    "customers": ("customer_id",),
+    "sellers": ("seller_id",),
+    "orders": ("order_id", "customer_id"),
+    "order_items": ("order_id", "product_id"),
+    "order_payments": ("order_id",),
+    "order_reviews": ("order_id",),
+    "products": ("product_id",),
+}
 
 
 def read_table(
@@ -32,14 +42,34 @@ def read_tables(spark: SparkSession, paths: dict[str, str], file_format: str = "
     return Tables(**{table: read_table(spark, path, table, file_format) for table, path in paths.items()})
 
 
-def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = (), file_format: str = "parquet") -> None:
-    """Replace the files at ``path``, which must not be one that ``df`` reads."""
+def write_table(
+    df: DataFrame, path: str, partition_by: tuple[str, ...] = (), file_format: str = "parquet", lookup: tuple[str, ...] = ()
+) -> None:
+    """Replace the files at ``path``, which must not be one that ``df`` reads.
+
+    Parquet files written for ``lookup`` have their rows in the order of its first column, so that few row groups span a
+    given value, and a bloom filter on each of its columns, by which a reader skips row groups that lack the value.
+    """
+    if lookup:
+        df = df.sortWithinPartitions(*partition_by, *lookup)
     writer = df.write.mode("overwrite").format(file_format).partitionBy(*partition_by)
+    writer = writer.options(**{f"parquet.bloom.filter.enabled#{column}": "true" for column in lookup})
     if file_format == "csv":
         writer = writer.options(header="true", escape='"', timestampNTZFormat=CSV_OPTIONS["timestampNTZFormat"])
     writer.save(path)
 
 
+def converted(spark: SparkSession, path: str, table: str, to: str, file_format: str = "csv", records_per_file: int = 1_000_000) -> DataFrame:
+    """A table of text files once rewritten as Parquet at ``to``, and read from there.
+
+    A csv file whose values have line ends is read by one task, each time anew. The conversion deals its records over
+    all tasks, so that later reads are split over files and row groups, with column pruning and pushed filters.
+    """
+    records = read_table(spark, path, table, file_format)
+    records.repartition().write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(to)
+    return read_table(spark, to, table)
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 

@@ -2,18 +2,18 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame
 from pyspark.sql.streaming import StreamingQuery
 
 from tradebook.operators.rules import RuleOptions
 from tradebook.plans.batch import run_batch
-from tradebook.schema import change_schema
-from tradebook.sources.versions import TableVersions
+from tradebook.schema import SCHEMAS, combined_schema, split
+from tradebook.sources.store import Store
 
 
 def stream_changes(
-    versions: TableVersions,
-    table: str,
+    store: Store,
     source: str,
     checkpoint: str,
     as_of: Column | None = None,
@@ -24,31 +24,39 @@ def stream_changes(
     follow: bool = False,
     trigger: str = "10 seconds",
     audit_limit: int | None = None,
+    name: str = "changes",
 ) -> StreamingQuery:
-    """Process the change files that land in ``source``; one stream per table.
-
-    Each micro-batch is one batch of the table's log, named after the table and its number, so
-    a repeated micro-batch replaces its own output or does nothing. By default the stream ends
-    when all present files are done; ``follow=True`` keeps it waiting for more, looking every
-    ``trigger``. Without ``as_of`` every micro-batch takes the time at which it runs. Each
-    ``rewrite_every``-th one writes the table anew, so that readers never have many logged batches
-    to put on top.
+    """Process the files of combined changes (``schema.combined``) that land in ``source``, of all tables in one stream.
+
+    A micro-batch is held while its tables are split off it, and is one batch of the store: its changes are seen in all their tables and
+    in the audit log together, or not at all. The batch is named after the stream and its number, so a repeated micro-batch
+    replaces its own output or does nothing. By default the stream ends when all present files are done; ``follow=True`` keeps it
+    waiting for more, looking every ``trigger``. Without ``as_of`` every micro-batch takes the time at which it
+    runs. Each ``rewrite_every``-th one writes the touched buckets of its tables anew, so that readers never have
+    many logged batches to put on top. A change of a table that there is not ends the stream.
     """
-    spark = versions.spark
-    reader = spark.readStream.schema(change_schema(table))
+    reader = store.spark.readStream.schema(combined_schema())
     if files_per_batch is not None:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
     if bytes_per_batch is not None:
         reader = reader.option("maxBytesPerTrigger", bytes_per_batch)
 
     def process(changes: DataFrame, number: int) -> None:
-        rewrite = rewrite_every is not None and (number + 1) % rewrite_every == 0
-        batch_id = f"{table}-{number:09d}"
-        run_batch(versions, {table: changes}, batch_id, as_of, rewrite, options, audit_limit=audit_limit)
+        held = changes.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            present = [r[0] for r in held.select("at_table").distinct().limit(len(SCHEMAS) + 1).collect()]
+            if unknown := [t for t in present if t not in SCHEMAS]:
+                raise ValueError(f"changes of unknown tables: {unknown}")
+            rewrite = rewrite_every is not None and (number + 1) % rewrite_every == 0
+            tables = split(held, *sorted(present))
+            if tables:
+                run_batch(store, tables, f"{name}-{number:09d}", as_of, rewrite, options, audit_limit=audit_limit)
+        finally:
+            held.unpersist()
 
     writer = (
         reader.parquet(source)
-        .writeStream.queryName(f"changes of {table} from {source}")
+        .writeStream.queryName(f"{name} from {source}")
         .foreachBatch(process)
         .option("checkpointLocation", checkpoint)
     )
