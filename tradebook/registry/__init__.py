@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tradebook.registry import analysis, audits, requests, rows, session, streams
+from tradebook.registry import analysis, audits, layouts, requests, rows, session, streams
 
 Query = Callable[[SparkSession, str], DataFrame]
 
-_PARTS = (analysis, rows, audits, requests, streams, session)
+_PARTS = (analysis, rows, audits, requests, streams, session, layouts)
 
 
 def queries() -> dict[str, Query]:

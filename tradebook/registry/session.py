@@ -37,6 +37,16 @@ def _prepared_payment_metrics(spark, sf_dir):
     return spark.sql(f"select * from {fixed.VIEW_PAYMENT_METRICS}")
 
 
+def _prepared(view, prepare, *tables, keep=snapshots.CACHED):
+    """A prepared metric, read back from its view."""
+
+    def query(spark, sf_dir):
+        prepare(load_tables(spark, sf_dir, *tables), keep)
+        return spark.sql(f"select * from {view}")
+
+    return query
+
+
 def _function(table):
     def query(spark, sf_dir):
         register_sql_functions(spark)
@@ -69,6 +79,27 @@ def _city_without_accents(spark, sf_dir):
 QUERIES = {
     "prepared_category_revenue_sql": _prepared_category_revenue,
     "prepared_payment_metrics_sql": _prepared_payment_metrics,
+    "prepared_location_revenue_sql": _prepared(
+        fixed.VIEW_LOCATION_REVENUE, lambda t, keep: snapshots.prepare_location_revenue(t, keep=keep), "order_items", "orders", "customers"
+    ),
+    "prepared_seller_revenue_sql": _prepared(
+        fixed.VIEW_SELLER_REVENUE, lambda t, keep: snapshots.prepare_seller_revenue(t, keep=keep), "order_items", "sellers"
+    ),
+    "prepared_shipping_delays_sql": _prepared(
+        fixed.VIEW_SHIPPING_DELAYS,
+        lambda t, keep: snapshots.prepare_shipping_delays(t, analysis.MIN_DELAY_DAYS, keep=keep),
+        "orders",
+        "customers",
+        keep=snapshots.DURABLE,
+    ),
+    "prepared_sentiment_metrics_sql": _prepared(
+        fixed.VIEW_SENTIMENT_METRICS,
+        lambda t, keep: snapshots.prepare_sentiment_metrics(t, analysis.MIN_REVIEWS, keep=keep),
+        "order_reviews",
+        "order_items",
+        "products",
+        keep=snapshots.DURABLE,
+    ),
     "sql_function_order_total": _function("order_items"),
     "sql_function_delivery_delay": _function("orders"),
     "sql_function_review_sentiment": _function("order_reviews"),
@@ -81,6 +112,10 @@ ORACLES = {
     "prepared_category_revenue_sql": f"""with metrics as ({analysis.ORACLES["category_revenue"]})
         {_BELOW_AVERAGE.format(metrics="metrics")}""",
     "prepared_payment_metrics_sql": analysis.ORACLES["payment_metrics"],
+    "prepared_location_revenue_sql": analysis.ORACLES["location_revenue"],
+    "prepared_seller_revenue_sql": analysis.ORACLES["seller_revenue"],
+    "prepared_shipping_delays_sql": analysis.ORACLES["shipping_delays"],
+    "prepared_sentiment_metrics_sql": analysis.ORACLES["sentiment_metrics"],
     "sql_function_order_total": analysis.ORACLES["fn_order_total"],
     "sql_function_delivery_delay": analysis.ORACLES["fn_delivery_delay"],
     "sql_function_review_sentiment": analysis.ORACLES["fn_review_sentiment"],

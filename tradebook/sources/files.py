@@ -14,13 +14,13 @@ CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "e
 MULTI_LINE = ("order_reviews",)
 #: Columns by which rows of a table are looked up.
 LOOKUP = {
-    "customers": ("customer_id",),
+    "customers": ("customer_id", "customer_city"),
     "sellers": ("seller_id",),
     "orders": ("order_id", "customer_id"),
-    "order_items": ("order_id", "product_id"),
+    "order_items": ("order_id", "product_id", "seller_id"),
     "order_payments": ("order_id",),
-    "order_reviews": ("order_id",),
-    "products": ("product_id",),
+    "order_reviews": ("order_id", "review_id"),
+    "products": ("product_id", "product_category_name"),
 }
 
 
@@ -55,7 +55,9 @@ def write_table(
     writer = df.write.mode("overwrite").format(file_format).partitionBy(*partition_by)
     writer = writer.options(**{f"parquet.bloom.filter.enabled#{column}": "true" for column in lookup})
     if file_format == "csv":
-        writer = writer.options(header="true", escape='"', timestampNTZFormat=CSV_OPTIONS["timestampNTZFormat"])
+        # Values keep the blanks and line ends that they begin or end with.
+        blanks = {f"ignore{side}WhiteSpace": "false" for side in ("Leading", "Trailing")}
+        writer = writer.options(header="true", escape='"', timestampNTZFormat=CSV_OPTIONS["timestampNTZFormat"], **blanks)
     writer.save(path)
 
 
@@ -66,7 +68,7 @@ def converted(spark: SparkSession, path: str, table: str, to: str, file_format:
     all tasks, so that later reads are split over files and row groups, with column pruning and pushed filters.
     """
     records = read_table(spark, path, table, file_format)
-    records.repartition().write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(to)
+    records.hint("rebalance").write.mode("overwrite").option("maxRecordsPerFile", records_per_file).parquet(to)
     return read_table(spark, to, table)
 
 
