@@ -1,10 +1,13 @@
 """HTML extraction: blocks are classified by stop words, length and links, then by their neighbours.
 
 Mark-up is read in one pass into blocks of text. Blocks inside menus, headers, footers, sidebars, forms,
-adverts, notices or reader comments, known by tag, role, class or id, are boilerplate. The first
+adverts, notices or reader comments, known by tag, role, class or id, are boilerplate; within a declared article only by
+whole names, since parts of names there belong to the article's own layout. The first
 pass rules on each other block by itself: link density and stop-word density for blocks that are long
-enough, undecided for the rest. Where a page declares its article, blocks outside it are boilerplate,
-and those in it are only judged by their links, since low density is no reason to cut an article.
+enough, undecided for the rest. A long block counts by its words, and by its characters in writing without spaces between words. On a page
+none of whose long blocks reaches the stop-word density, in a language without a list here, length and link density decide alone.
+Where a page declares its article, blocks outside it are boilerplate, and those in it that the first pass does not find good are
+undecided, since low density by itself is no reason to cut an article.
 The second pass gives an undecided block the label of its nearest decided neighbours on either side: what both say,
 else what the nearer one says, and for a heading what the one below says.
 
@@ -42,7 +45,7 @@ _BLOCK_TAGS = frozenset(
 )
 _CONTAINERS = frozenset("article aside body center details dialog div dl fieldset figure footer form header main menu nav ol section table ul".split())
 _HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6"))
-_SKIPPED = frozenset("button canvas datalist head iframe math noframes noscript object script select style svg template textarea title".split())
+_SKIPPED = frozenset("button canvas datalist head iframe noframes noscript object script select style svg template textarea title".split())
 _OUTER_TAGS = frozenset(("aside", "dialog", "footer", "form", "menu", "nav"))
 _OUTER_ROLES = frozenset("alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar".split())
 _OUTER_NAMES = frozenset(
@@ -58,6 +61,10 @@ _TAG = re.compile(
 _ATTRIBUTE = re.compile(r"""([a-zA-Z_:][-\w:.]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z0-9]+")
+#: Chinese and Japanese characters, Thai, Lao, Khmer and Burmese letters: written without spaces between words.
+_UNSPACED = re.compile("[\u0e00-\u0eff\u1000-\u109f\u1780-\u17ff\u3040-\u30ff\u3400-\u4dbf\u4e00-\u9fff\uf900-\ufaff\U00020000-\U0003ffff]")
+#: So many of them count as a word.
+UNSPACED_PER_WORD = 2
 
 #: A block is judged by itself from this many words on.
 LONG_WORDS = 12
@@ -90,7 +97,11 @@ def _is_outer(tag: str, attributes: dict[str, str], declared: bool, in_article:
         return True
     if re.search(r"display\s*:\s*none", attributes.get("style", "")):
         return True
-    names = _NAME.findall(f"{attributes.get('class', '')} {attributes.get('id', '')}".lower())
+    names = f"{attributes.get('class', '')} {attributes.get('id', '')}".lower()
+    if declared:
+        # All parts of a name, as in social-share, or the whole of it.
+        return any(_OUTER_NAMES.issuperset(_NAME.findall(name)) for name in names.split() if _NAME.search(name))
+    names = _NAME.findall(names)
     return tag != "body" and not _OUTER_NAMES.isdisjoint(names)
 
 
@@ -102,6 +113,8 @@ def blocks(source: str) -> list[Block]:
     # Open containers: tag, whether the text in it is boilerplate, declared as main text, in an article tag.
     stack: list[tuple[str, bool, bool, bool]] = [("", False, False, False)]
     tag_of_block, in_link, at = "", False, 0
+    # Tags without an end tag in the rest of the page, which is searched for each only once.
+    unclosed: set[str] = set()
 
     def end_block() -> None:
         nonlocal linked, in_link
@@ -128,7 +141,9 @@ def blocks(source: str) -> list[Block]:
         tag = name.lower()
         if tag in _SKIPPED:
             if not closing and not rest.rstrip().endswith("/"):
-                end = re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                end = None if tag in unclosed else re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I).search(source, at)
+                if end is None:
+                    unclosed.add(tag)
                 at = end.end() if end else len(source) if tag in ("script", "style", "textarea", "title") else at
         elif tag == "a":
             in_link = not closing
@@ -158,26 +173,41 @@ def blocks(source: str) -> list[Block]:
     return found
 
 
-def _alone(block: Block, declared: bool) -> str:
-    """First pass: the label that a block gets by itself."""
+def _size(block: Block, words: list[str]) -> int:
+    """Words of a block; characters of writing without spaces count by number."""
+    unspaced = len(_UNSPACED.findall(block.text))
+    return len(words) if not unspaced else sum(not _UNSPACED.search(w) for w in words) + unspaced // UNSPACED_PER_WORD
+
+
+def _dense(words: list[str]) -> bool:
+    """Whether stop words are as frequent as they are in running text."""
+    return sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words)
+
+
+def _alone(block: Block, words: list[str], size: int, declared: bool, listed: bool) -> str:
+    """First pass: the label that a block gets by itself; ``listed`` is whether the page's stop words are known."""
     if block.outer or (declared and not block.article):
         return BAD
-    words = [w.lower() for w in _WORD.findall(block.text)]
     if block.linked > LINK_SHARE:
-        return OPEN if declared and len(words) >= LONG_WORDS else BAD
-    if len(words) < LONG_WORDS or block.tag in _HEADINGS:
+        return OPEN if declared and size >= LONG_WORDS else BAD
+    if size < LONG_WORDS or block.tag in _HEADINGS:
         return OPEN
-    if declared:
-        return GOOD
-    if block.text.startswith("©"):
+    if block.text.startswith("©") and not declared:
         return BAD
-    return GOOD if sum(w in STOP_WORDS for w in words) >= STOP_SHARE * len(words) else OPEN if block.linked == 0 else BAD
+    if not listed or _dense(words):
+        return GOOD
+    return OPEN if declared or block.linked == 0 else BAD
 
 
 def labels(found: list[Block]) -> list[str]:
     """GOOD or BAD for each block."""
     declared = any(b.article and not b.outer for b in found)
-    alone = [_alone(b, declared) for b in found]
+    words = [[w.lower() for w in _WORD.findall(b.text)] for b in found]
+    sizes = [_size(b, w) for b, w in zip(found, words, strict=True)]
+    listed = any(
+        _dense(w) for b, w, n in zip(found, words, sizes, strict=True) if n >= LONG_WORDS and not b.outer and b.linked <= LINK_SHARE and (b.article or not declared)
+    )
+    alone = [_alone(b, w, n, declared, listed) for b, w, n in zip(found, words, sizes, strict=True)]
     # In a declared article only its own blocks are neighbours.
     decided = [label != OPEN and not (declared and (b.outer or not b.article)) for b, label in zip(found, alone, strict=True)]
     before, after = [-1] * len(found), [-1] * len(found)
