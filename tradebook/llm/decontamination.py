@@ -1,17 +1,20 @@
 """Benchmark decontamination by templates: numbers, names and units become typed placeholders.
 
-Texts and benchmark items become canonical tokens: a word that holds a digit is a number, a capitalised word that
-is no function word is a name, a word for a measure after a number is a unit; anything else is the
-word in lower case without punctuation around it. Windows of ``WINDOW`` tokens with enough literal ones are hash-joined.
-Hits of one document and item that lie on one diagonal (same shift between both texts) belong together. Their
-slots must be consistent: one value of the item always stands for one value of the document and
-the other way round. Windows that break this with more support against than for them are left out, and an item
-counts as leaked when the rest covers ``LEAST`` of its tokens. So an item asked again with other numbers and names
-is caught, and text that only shares a pattern is not.
+Texts and benchmark items become canonical tokens: a word that holds a digit is a number, together with the word for a
+measure that follows it or the currency sign before it; capitalised words in a row that are no function words are one name; anything
+else is the word in lower case without punctuation around it. So a value may have another number of words. Windows of
+``WINDOW`` tokens with enough literal ones are hash-joined.
+
+Hits of one document and item belong together where the item would begin at about the same place of the document. Words put
+in or left out move that place, so hits are taken in bands of half the item's length, of which there are two sets, one half a band
+further on: places that are a quarter of the item apart or less are in one band. The slots of a band must be consistent: one value of
+the item always stands for one value of the document and the other way round. Windows that break this with more support against than
+for them are left out, and an item counts as leaked when the rest covers ``LEAST`` of its tokens. So an item asked again with other
+numbers and names is caught, and text that only shares a pattern is not.
 
 The benchmark's windows are counted first. Up to ``BROADCAST_WINDOWS`` their hashes go to all tasks, which then send on
 only windows that hit. Beyond, all windows are joined by hash; Spark can split that join's
-hot hashes. The hits of one document, item and diagonal are at most as many as the item's windows.
+hot hashes. The hits of one document, item and band are bounded by the item's length.
 
 Defined results: null or empty texts and items, and items of fewer than ``WINDOW`` tokens, never match; rows that share a
 doc_id or item_id count as one text given several times; a null id is an id like any other; an empty table
@@ -47,6 +50,7 @@ UNITS = frozenset(
     "months mph ms ounce ounces oz percent pound pounds prozent s sec second seconds stunden stück t tag tage ton tons v volt volts w "
     "watt watts week weeks yard yards yd year years € £ $ ¥".split()
 )
+_CURRENCY = frozenset("$€£¥")
 _LITERAL, _NUMBER, _NAME, _UNIT, _NONE = range(5)
 _AROUND = re.compile(r"^[\W_]+|[\W_]+$")
 _DIGIT = re.compile(r"\d")
@@ -77,13 +81,15 @@ class _Tokens:
         tokens = [_token(w.decode()) for w in words.distinct]
         kinds = np.fromiter((k for k, _ in tokens), np.int8, len(tokens))
         hashes = np.fromiter((xxhash.xxh64_intdigest(v, 3) for _, v in tokens), np.uint64, len(tokens))
-        kept = kinds[words.codes] != _NONE
-        self.codes = words.codes[kept]
-        self.starts = np.concatenate(([0], np.cumsum(kept)))[words.starts]
-        self.kinds = kinds[self.codes]
-        before = np.concatenate(([_NONE], self.kinds[:-1]))
-        before[self.starts[:-1][self.starts[:-1] < len(before)]] = _NONE
-        self.kinds = np.where((self.kinds == _UNIT) & (before != _NUMBER), _LITERAL, self.kinds)
+        signs = np.fromiter((v in _CURRENCY for _, v in tokens), bool, len(tokens))
+        self.codes, self.starts = words.codes, words.starts
+        self._keep(kinds[self.codes] != _NONE)
+        kind = kinds[self.codes]
+        before, after = self._beside(kind)
+        unit = (kind == _UNIT) & ((before == _NUMBER) | (signs[self.codes] & (after == _NUMBER)))
+        again = (kind == _NAME) & (before == _NAME)
+        self.kinds = np.where((kind == _UNIT) & ~unit, _LITERAL, kind)
+        self.kinds = self.kinds[self._keep(~(unit | again))]
         self._values = tokens
         marks = np.array([0, *(xxhash.xxh64_intdigest(f"<{k}>", 5) for k in ("number", "name", "unit")), 0], np.uint64)
         canonical = np.where(self.kinds == _LITERAL, hashes[self.codes], marks[self.kinds])
@@ -93,6 +99,20 @@ class _Tokens:
         literal = np.concatenate(([0], np.cumsum(self.kinds == _LITERAL)))
         self.good = (np.arange(n) + WINDOW <= ends) & (literal[WINDOW:] - literal[:n] >= LITERALS) if n else np.empty(0, bool)
 
+    def _keep(self, kept: np.ndarray) -> np.ndarray:
+        self.codes = self.codes[kept]
+        self.starts = np.concatenate(([0], np.cumsum(kept)))[self.starts]
+        return kept
+
+    def _beside(self, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Kinds of the tokens before and after each one in its text."""
+        before, after = np.full_like(kind, _NONE), np.full_like(kind, _NONE)
+        before[1:], after[:-1] = kind[:-1], kind[1:]
+        heads = self.starts[:-1][self.starts[:-1] < len(kind)]
+        before[heads] = _NONE
+        after[heads[heads > 0] - 1] = _NONE
+        return before, after
+
     def slots(self, at: int) -> list[str]:
         """Kind and value of each slot of a window, in order."""
         return [f"{self.kinds[i]}{self._values[self.codes[i]][1]}" for i in range(at, at + WINDOW) if self.kinds[i] != _LITERAL]
@@ -130,7 +150,7 @@ def windows(texts: DataFrame, name: str, wanted: np.ndarray | None = None) -> Da
 
 
 def consistent(windows: list[tuple[int, list[str], list[str]]]) -> list[int]:
-    """Places of the windows whose slots agree with what most windows of the same diagonal say.
+    """Places of the windows whose slots agree with what most windows of the same band say.
 
     A window is (place, slots of the item, slots of the document).
     """
@@ -144,8 +164,9 @@ def consistent(windows: list[tuple[int, list[str], list[str]]]) -> list[int]:
 
 
 def _covered(places: list[int]) -> int:
+    """Tokens of the item in windows at these places."""
     total, end = 0, 0
-    for p in sorted(places):
+    for p in sorted(set(places)):
         total += p + WINDOW - max(p, end)
         end = p + WINDOW
     return total
@@ -155,7 +176,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast
     """One row for each document (doc_id, text) and benchmark item (item_id, text) that it has.
 
     Columns: doc_id, item_id, coverage (share of the item's tokens), n_windows, first_token (in the document, of the best
-    diagonal) and contaminated, which is true in all of them.
+    band) and contaminated, which is true in all of them.
     """
     asked = written(windows(benchmark, "item_id"), "templates")
     hashes = asked.select("hash").distinct()
@@ -166,19 +187,23 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: float = LEAST, broadcast
         found = windows(docs, "doc_id")
     item = asked.select("hash", "item_id", F.col("at").alias("item_at"), F.col("size").alias("item_size"), F.col("slots").alias("item_slots")).distinct()
     hits = found.join(item, "hash").withColumn("shift", F.col("at") - F.col("item_at"))
-    # A document repeated under one id adds nothing, so this is at most one window per token of the item.
-    lines = hits.groupBy("doc_id", "item_id", "shift").agg(
-        F.first("item_size").alias("size"), F.collect_set(F.struct("item_at", "item_slots", "slots")).alias("hits")
+    width = F.greatest(F.lit(8), F.expr("item_size div 2"))
+    sets = [F.struct(F.lit(half).alias("half"), F.floor((F.col("shift") + width * half / 2) / width).alias("band")) for half in (0, 1)]
+    # A document repeated under one id adds nothing.
+    lines = hits.select("*", F.explode(F.array(*sets)).alias("line")).groupBy("doc_id", "item_id", "line").agg(
+        F.first("item_size").alias("size"), F.collect_set(F.struct("item_at", "item_slots", "slots", "at")).alias("hits")
     )
     ids = {n: t for n, t in lines.dtypes if n in ("doc_id", "item_id")}
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            kept = [consistent([(h["item_at"], h["item_slots"], h["slots"]) for h in hits]) for hits in batch.column("hits").to_pylist()]
+            hits = batch.column("hits").to_pylist()
+            kept = [consistent([(h["item_at"], h["item_slots"], h["slots"]) for h in some]) for some in hits]
             covered = [_covered(k) / n for k, n in zip(kept, batch.column("size").to_pylist(), strict=True)]
-            first = [s + min(k, default=0) for k, s in zip(kept, batch.column("shift").to_pylist(), strict=True)]
+            windows = [len(set(k)) for k in kept]
+            first = [min((h["at"] for h in some if h["item_at"] in k), default=0) for some, k in zip(hits, map(set, kept), strict=True)]
             yield pa.record_batch(
-                [batch.column("doc_id"), batch.column("item_id"), pa.array(covered, pa.float64()), pa.array(map(len, kept), pa.int64()), pa.array(first, pa.int64())],
+                [batch.column("doc_id"), batch.column("item_id"), pa.array(covered, pa.float64()), pa.array(windows, pa.int64()), pa.array(first, pa.int64())],
                 ["doc_id", "item_id", "coverage", "n_windows", "first_token"],
             )
 
