@@ -5,10 +5,12 @@ Documents are dealt out by ranges of their order, and each task writes its range
 writer, so that a lost task leaves nothing behind and any store that Spark writes to will do. The
 number of ids before a shard comes from sums per task and within a task, not from one long scan.
 
-The tokenizer splits a text before every space that a non-space follows, and between letters and
-punctuation, so that parts between such places have ids of their own. Each distinct part is encoded once, as long
-as a worker remembers it; texts in which a space is followed by white space or ends the text, and texts with an added token
-of the tokenizer, such as <|endoftext|>, are encoded whole. Ids are those of the library's default encoding.
+The tokenizer splits a text before every space that a non-space follows, and inside such pieces between letters, digits,
+punctuation and white space, so that parts between such places have ids of their own. A task finds the parts of its texts by the
+kinds of their bytes, and encodes each distinct part once, as long as its worker remembers it. Pieces with an apostrophe, with
+two white spaces in a row or with characters other than ASCII and Latin letters are parts as they are; texts in which a space is followed
+by white space or ends the text, and texts with an added token of the tokenizer, such as <|endoftext|>, are encoded
+whole. Ids are those of the library's default encoding.
 
 Defined results: a null text counts as empty, which leaves only the end id; null ids come first; rows with the
 same id follow each other in the order of a hash of their text; an empty table gives no shard.
@@ -36,11 +38,24 @@ END_ID = 2
 SHARD_TOKENS = 1 << 21
 #: Bytes of text that a task encodes at a time, so that a word that is frequent in them is looked up once.
 ENCODED_BYTES = 4 << 20
-#: Distinct pieces, and distinct parts, in each of the two generations that a worker remembers the ids of.
-REMEMBERED = 250_000
-#: Punctuation that never begins a contraction.
-_AFTER = "!#$%&()*+,-./:;<=>?@[]^_`{|}~"
+#: Distinct parts in each of the two generations that a worker remembers the ids of.
+REMEMBERED = 500_000
 _NOT_CUT = " (?:[\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
+_LETTER, _DIGIT, _BLANK, _SIGN, _ROUGH = range(1, 6)
+
+
+def _kinds() -> np.ndarray:
+    """What a byte of UTF-8 belongs to. Two bytes that begin with C3 to C9 are Latin letters, but for two signs."""
+    kinds = np.full(256, _ROUGH, np.uint8)
+    kinds[:128] = _SIGN
+    kinds[9:14] = _BLANK
+    kinds[48:58] = _DIGIT
+    kinds[65:91] = kinds[97:123] = kinds[0x80:0xC0] = kinds[0xC3:0xCA] = _LETTER
+    kinds[ord("'")] = _ROUGH
+    return kinds
+
+
+_KINDS = _kinds()
 
 
 class _Memory:
@@ -70,8 +85,8 @@ class _Memory:
 class Encoder:
     """Ids of many texts at once with a tokenizer of the ``tokenizers`` library.
 
-    With a byte-level tokenizer that splits by its usual pattern, texts are cut into pieces whose ids don't
-    depend on their surroundings, and each distinct piece is encoded once; others encode whole texts.
+    With a byte-level tokenizer that splits by its usual pattern, texts are cut into parts whose ids don't
+    depend on their surroundings, and each distinct part is encoded once; others encode whole texts.
     """
 
     def __init__(self, path: str):
@@ -86,7 +101,7 @@ class Encoder:
         # The library looks for added tokens in the whole text before it splits it.
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
         self._not_cut = "|".join([_NOT_CUT, *map(re.escape, added)])
-        self._known, self._known_parts = _Memory(), _Memory()
+        self._known = _Memory()
 
     @staticmethod
     def of_worker(path: str) -> Encoder:
@@ -100,61 +115,73 @@ class Encoder:
             kept[path] = Encoder(path)
         return kept[path]
 
-    def _plain(self, pieces: list[str]) -> list[bytes]:
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
         data = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
         ends = [0, *accumulate(len(x) * self.kind.itemsize for x in found)]
         return [data[a:b] for a, b in pairwise(ends)]
 
-    def _pieces(self, pieces: list[str]) -> list[bytes]:
-        """Ids of distinct pieces that come after a space."""
-        return self._known.ids_of(pieces, self._new_pieces)
-
-    def _new_pieces(self, pieces: list[str]) -> list[bytes]:
-        parts = [_parts(p) for p in pieces]
-        distinct = list({x for some in parts for x in some})
-        known = dict(zip(distinct, self._known_parts.ids_of(distinct, self._plain), strict=True))
-        return [known[some[0]] if len(some) == 1 else b"".join([known[x] for x in some]) for some in parts]
-
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         texts = texts.fill_null("").cast(pa.large_string())
         whole = pc.or_(pc.match_substring_regex(texts, self._not_cut), self._whole)
-        cut = pc.split_pattern(pc.if_else(whole, "", texts), " ")
-        flat = cut.values.dictionary_encode()
-        starts = cut.offsets.to_numpy()
-        codes = flat.indices.to_numpy(zero_copy_only=False).astype(np.int64)
-        # The first piece of a text has no space before it; texts that are not cut are their own first piece.
-        firsts = pc.if_else(whole, texts, pc.list_element(cut, 0)).to_pylist()
-        codes[starts[:-1]] = len(flat.dictionary) + np.arange(len(texts))
-        ids = self._pieces(flat.dictionary.to_pylist()) + self._plain(firsts)
+        parts, numbers = _parts(pc.if_else(whole, "", texts))
+        parts = parts.dictionary_encode()
+        ids, place, sizes = self._laid(self._known.ids_of(parts.dictionary.to_pylist(), self._plain))
+        codes = parts.indices.to_numpy(zero_copy_only=False)
+        if pc.any(whole).as_py():
+            # A whole text stands as one part where it has none.
+            more, more_place, more_sizes = self._laid(self._plain(texts.filter(whole).to_pylist()))
+            at = np.flatnonzero(whole.to_numpy(zero_copy_only=False))
+            codes = np.insert(codes.astype(np.int64), np.cumsum(numbers)[at], len(sizes) + np.arange(len(at)))
+            numbers[at] += 1
+            ids, place, sizes = np.concatenate((ids, more)), np.concatenate((place, more_place + len(ids))), np.concatenate((sizes, more_sizes))
+        taken, lengths = _gathered(ids, place, sizes, codes)
+        return taken, np.diff(np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(numbers)))])
+
+    def _laid(self, ids: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Ids one after the other, with the place and the number of each."""
         sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // self.kind.itemsize
-        place = np.concatenate(([0], np.cumsum(sizes)))
-        every = np.frombuffer(b"".join(ids), self.kind)
-        lengths = sizes[codes]
-        ends = np.cumsum(lengths)
-        taken = every[np.repeat(place[codes] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
-        return taken, np.diff(np.concatenate(([0], ends))[starts])
-
-
-def _parts(piece: str) -> list[str]:
-    """Parts of a piece after a space that the tokenizer keeps apart as well.
-
-    A run of letters ends before punctuation, and punctuation and single line ends stand alone.
-    """
-    lines = piece.split("\n")
-    if len(lines) > 1 and not all(line and line.isprintable() for line in lines):
-        return [" " + piece]
-    out: list[str] = []
-    for i, line in enumerate(lines):
-        letters = line.rstrip(_AFTER)
-        if i:
-            out.append("\n")
-        if len(letters) < len(line) and letters.isalpha():
-            out += (letters if i else " " + letters, line[len(letters) :])
-        else:
-            out.append(line if i else " " + line)
-    return out
+        return np.frombuffer(b"".join(ids), self.kind), np.cumsum(sizes) - sizes, sizes
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The parts of all texts, in which every space is followed by something else, and the number of each text's parts."""
+    _, offsets, content = texts.buffers()
+    offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
+    data = np.frombuffer(content, np.uint8)[offsets[0] : offsets[-1]] if content is not None else np.empty(0, np.uint8)
+    offsets = offsets - offsets[0]
+    if not len(data):
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+    begins = np.zeros(len(data) + 1, dtype=bool)
+    begins[offsets] = True
+    begins = begins[:-1] | (data == 32)
+    kinds = _KINDS[data]
+    spaces = np.flatnonzero(data == 32)
+    kinds[spaces] = kinds[spaces + 1]
+    after = np.empty_like(begins)
+    after[0], after[1:] = True, (kinds[1:] != kinds[:-1]) | (kinds[1:] == _BLANK)
+    rough = kinds == _ROUGH
+    # Two signs amid the Latin letters, and white space after white space.
+    rough[1:] |= (data[:-1] == 0xC3) & ((data[1:] == 0x97) | (data[1:] == 0xB7))
+    rough[1:] |= (kinds[1:] == _BLANK) & (kinds[:-1] == _BLANK)
+    pieces = np.flatnonzero(begins)
+    rough = np.repeat(np.logical_or.reduceat(rough, pieces), np.diff(np.append(pieces, len(data))))
+    cuts = np.flatnonzero(begins | (after & ~rough))
+    bounds = np.append(cuts, len(data))
+    parts = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
+    return parts, np.diff(np.searchsorted(cuts, offsets))
+
+
+def _gathered(values: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Runs of values that ``codes`` name by their place and size, one after the other, and the length of each."""
+    lengths = sizes[codes]
+    ends = np.cumsum(lengths)
+    total = int(ends[-1]) if len(ends) else 0
+    # Steps of one inside a run, and from run to run the way to its first value.
+    steps = np.repeat(place[codes] - (ends - lengths), lengths)
+    steps += np.arange(total)
+    return values[steps], lengths
 
 
 def _shards(path: str, end_id: int, shard_tokens: int):
