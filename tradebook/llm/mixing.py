@@ -3,19 +3,15 @@
 The texts of a source, in an order given by a hash, are laid end to end and cut into blocks of ``block_chars``
 characters; a document belongs to the block that it starts in. Slots take one block each. With
 weight w, the j-th block of a source is released at slot floor(j / w) and due at ceil((j + 1) / w); each
-slot goes to the released block that is due first. As weights add up to one, every block meets its due
-slot, so after any number of slots a source has had its share to within less than one block.
+slot goes to the released block that is due first. Weights are taken exactly, as ratios of whole numbers that add up to one, so
+every block meets its due slot, and after any number of slots a source has had its share to within less than one
+block. When a source runs out, a new phase begins with the others' weights scaled up, and the bound holds from there:
+nothing is dropped or repeated, and no source waits for another. Sources without a target weight come after all others.
 
-Weights are rounded to whole slots of a period, after which the schedule repeats. So one period is all
-that is ever scheduled in one place; a block's slot follows from its number by arithmetic, in Spark. When a source
-runs out, a shortened period finishes it and the others go on with their weights scaled up: nothing is
-dropped or repeated, and no source waits for another. Sources without a target weight come
-after all others.
-
-The plan is one row per source, of at most ``MOST_SOURCES``, with two phases per source of one period each: it
-fits in ``MOST_SOURCES * 2 * period`` numbers, and is broadcast within this bound. More sources are refused;
-group them first. Numbering the documents of a source is split over ranges of the hash, so a source
-that holds most rows is many tasks.
+Slots are dealt to blocks on the driver, which takes a step for each block, and a pass over the sources for each that runs out. Blocks
+grow with the corpus so that there are about ``MOST_BLOCKS`` at most, besides one for each source. The plan is a table of
+(source, block, slot); it is broadcast up to that number of rows, and joined by shuffle beyond. Numbering the
+documents of a source is split over ranges of the hash, so a source that holds most rows is many tasks.
 
 Defined results: a null source is a source; null and empty texts count as one character; rows that
 share id and text share a slot; an empty table gives an empty one.
@@ -25,88 +21,62 @@ from __future__ import annotations
 
 import heapq
 from collections.abc import Mapping
-from dataclasses import dataclass
+from fractions import Fraction
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tradebook.llm.columns import text_of, written
 
 BLOCK_CHARS = 1 << 16
-PERIOD = 1024
-MOST_SOURCES = 1000
+#: Blocks beyond one for each source; a larger corpus has larger blocks.
+MOST_BLOCKS = 1 << 20
 #: Documents of one source that are numbered in one task, on average.
-NUMBERED = 100_000
-
-
-@dataclass(frozen=True)
-class Phase:
-    """Periods of one allotment: blocks of each source per period, and the slots they get in it."""
+NUMBERED = 4096
 
-    first_slot: int
-    repeats: int
-    first_block: dict[int, int]
-    slots: dict[int, list[int]]
 
-    @property
-    def length(self) -> int:
-        return sum(map(len, self.slots.values()))
+def whole_weights(weights: Mapping[int, float]) -> dict[int, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(w) for s, w in weights.items()}
+    scale = max((x.denominator for x in exact.values()), default=1)  # powers of two
+    return {s: int(x * scale) for s, x in exact.items()}
 
 
-def earliest_due(allotted: Mapping[int, int]) -> dict[int, list[int]]:
-    """Slots of each source's blocks in one period of as many slots as blocks."""
-    length = sum(allotted.values())
-    out: dict[int, list[int]] = {s: [] for s in allotted}
-
-    def window(s: int, j: int) -> tuple[int, int]:
-        return j * length // allotted[s], -(-(j + 1) * length // allotted[s])
-
-    waiting = [(0, s) for s, n in sorted(allotted.items()) if n]
+def phase(weights: Mapping[int, int], blocks: Mapping[int, int]) -> list[int]:
+    """The source of each slot, up to the one in which a source runs out of blocks."""
+    total = sum(weights.values())
+    done = dict.fromkeys(weights, 0)
+    waiting = [(0, s) for s in sorted(weights)]
     ready: list[tuple[int, int]] = []
-    heapq.heapify(waiting)
-    for slot in range(length):
+    out: list[int] = []
+    while True:
+        slot = len(out)
         while waiting and waiting[0][0] <= slot:
             s = heapq.heappop(waiting)[1]
-            heapq.heappush(ready, (window(s, len(out[s]))[1], s))
+            heapq.heappush(ready, (-(-(done[s] + 1) * total // weights[s]), s))
         s = heapq.heappop(ready)[1]
-        out[s].append(slot)
-        if len(out[s]) < allotted[s]:
-            heapq.heappush(waiting, (window(s, len(out[s]))[0], s))
-    return out
-
-
-def allot(weights: Mapping[int, float], period: int) -> dict[int, int]:
-    """Whole slots of a period by weight, one at least, by largest remainders."""
-    total = sum(weights.values())
-    free = period - len(weights)
-    ideal = {s: max(0.0, w / total * period - 1) for s, w in weights.items()}
-    scale = free / sum(ideal.values()) if sum(ideal.values()) > 0 else 0.0
-    out = {s: 1 + int(x * scale) for s, x in ideal.items()}
-    rest = sorted(weights, key=lambda s: (-(ideal[s] * scale - int(ideal[s] * scale)), s))
-    for i in range(period - sum(out.values())):
-        out[rest[i % len(rest)]] += 1
-    return out
+        out.append(s)
+        done[s] += 1
+        if done[s] == blocks[s]:
+            return out
+        heapq.heappush(waiting, (max(done[s] * total // weights[s], slot + 1), s))
 
 
-def phases(blocks: Mapping[int, int], weights: Mapping[int, float], period: int) -> list[Phase]:
-    """All phases until every block has a slot; two at most for each source that runs out."""
+def slots(blocks: Mapping[int, int], weights: Mapping[int, float]) -> list[int]:
+    """The source of each slot until every block has one; phase after phase, as sources run out."""
     left = {s: n for s, n in blocks.items() if n}
-    done = dict.fromkeys(left, 0)
-    out: list[Phase] = []
-    slot = 0
+    whole = whole_weights({s: weights.get(s, 0.0) for s in left})
+    out: list[int] = []
     while left:
-        wanted = {s: weights.get(s, 0.0) for s in left}
-        now = {s: w for s, w in wanted.items() if w > 0} or dict.fromkeys(left, 1.0)
-        allotted = allot(now, period)
-        repeats = min(left[s] // n for s, n in allotted.items())
-        if not repeats:
-            allotted, repeats = {s: min(n, left[s]) for s, n in allotted.items()}, 1
-        out.append(Phase(slot, repeats, {s: done[s] for s in allotted}, earliest_due(allotted)))
-        slot += repeats * sum(allotted.values())
-        for s, n in allotted.items():
-            done[s] += repeats * n
-            left[s] -= repeats * n
-        left = {s: n for s, n in left.items() if n}
+        now = {s: whole[s] for s in left if whole[s] > 0} or dict.fromkeys(left, 1)
+        taken = phase(now, left)
+        out += taken
+        for s, n in zip(*map(np.ndarray.tolist, np.unique(taken, return_counts=True)), strict=True):
+            left[s] -= n
+            if not left[s]:
+                del left[s]
     return out
 
 
@@ -115,7 +85,6 @@ def schedule(
     weights: Mapping[str | None, float] | None = None,
     power: float = 0.5,
     block_chars: int = BLOCK_CHARS,
-    period: int = PERIOD,
     seed: int = 42,
 ) -> DataFrame:
     """Where each row of ``docs`` (doc_id, text, source) comes in the mixture.
@@ -130,9 +99,8 @@ def schedule(
     splits = max(1, rows.count() // NUMBERED)
     split = rows.withColumn("split", F.shiftright((F.shiftright("place", 32) + (1 << 31)) * splits, 32).cast("int"))
     sizes = split.groupBy("source", "split").agg(F.sum("size").alias("chars"))
-    totals = sizes.groupBy("source").agg(F.sum("chars").alias("chars")).limit(MOST_SOURCES + 1).collect()
-    if len(totals) > MOST_SOURCES:
-        raise ValueError(f"more than {MOST_SOURCES} sources; group them first")
+    sizes = written(sizes, "splits")
+    totals = sizes.groupBy("source").agg(F.sum("chars").alias("chars")).collect()
     earlier = Window.partitionBy("source").orderBy("split").rowsBetween(Window.unboundedPreceding, -1)
     before = sizes.select("source", "split", F.coalesce(F.sum("chars").over(earlier), F.lit(0)).alias("before"))
     inside = Window.partitionBy("source", "split").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
@@ -143,24 +111,21 @@ def schedule(
     )
     names = sorted((r["source"] for r in totals), key=lambda s: (s is not None, s or ""))
     chars = {r["source"]: r["chars"] for r in totals}
+    block_chars = max(block_chars, -(-sum(chars.values()) // MOST_BLOCKS))
     # The last document may start up to the last character, so these are all blocks that one can start in.
     blocks = {i: (chars[s] - 1) // block_chars + 1 for i, s in enumerate(names)}
     share = {i: float(chars[s]) ** power if weights is None else float(weights.get(s, 0.0)) for i, s in enumerate(names)}
-    plan = phases(blocks, share, max(period, 4 * len(names)))
-    per_source = [
-        (s, [(p.first_block[i], p.first_slot, p.repeats, p.length, p.slots[i]) for p in plan if i in p.slots]) for i, s in enumerate(names)
-    ]
-    kind = "name string, phases array<struct<first_block:long,first_slot:long,repeats:long,length:long,slots:array<int>>>"
-    plans = F.broadcast(spark.createDataFrame(per_source, kind))
-    block = F.floor(F.col("offset") / block_chars).cast("long")  # exact below 2**53 characters a source
-    joined = placed.withColumn("block", block).join(plans, F.col("source").eqNullSafe(F.col("name")))
-    own = F.filter(
-        "phases", lambda p: (p["first_block"] <= F.col("block")) & (F.col("block") < p["first_block"] + p["repeats"] * F.size(p["slots"]))
-    )[0]
-    number = F.col("block") - F.col("own.first_block")
-    n = F.size("own.slots")
-    slot = F.col("own.first_slot") + F.floor(number / n) * F.col("own.length") + F.get("own.slots", (number % n).cast("int"))
-    return joined.withColumn("own", own).select("doc_id", "source", "text_hash", "size", "offset", "block", slot.cast("long").alias("slot"))
+    sources = np.array(slots(blocks, share), np.int64)
+    by_source = np.argsort(sources, kind="stable")
+    firsts = np.cumsum([0, *(blocks[i] for i in range(len(names)))])[:-1]
+    numbers = np.arange(len(sources)) - firsts[sources[by_source]] if len(sources) else sources
+    named = pa.DictionaryArray.from_arrays(pa.array(sources[by_source]), pa.array(names, pa.string())).cast(pa.string())
+    plan = pa.table({"name": named, "number": pa.array(numbers, pa.int64()), "slot": pa.array(by_source, pa.int64())})
+    plan = spark.createDataFrame(plan, "name string, number long, slot long")
+    plan = F.broadcast(plan) if len(sources) <= MOST_BLOCKS else plan
+    block = F.expr(f"offset div {block_chars}")
+    joined = placed.withColumn("block", block).join(plan, F.col("source").eqNullSafe(F.col("name")) & (F.col("block") == F.col("number")))
+    return joined.select("doc_id", "source", "text_hash", "size", "offset", "block", "slot")
 
 
 def mixed(docs: DataFrame, weights: Mapping[str | None, float] | None = None, **options) -> DataFrame:
