@@ -1,6 +1,8 @@
-"""Licence scan: sentences and lines of a text compared with licence statements by shared word pairs.
+"""Licence scan: sentences, lines and paragraphs of a text compared with licence statements by shared word pairs.
 
-A text is cut at line ends and after sentences. A piece is normalised (A-Z lower-cased, all but letters and
+A text is cut at line ends and after sentences, and once more into paragraphs, whose lines belong together however they are
+wrapped or begun: a paragraph ends at a line without letters or digits, such as an empty one or one of comment signs. Paragraphs of
+one line are lines already. Templates are short statements and the paragraphs of common licence files and headers. A piece is normalised (A-Z lower-cased, all but letters and
 digits made a space) and turned into its set of word bigrams. Similarity is the Dice coefficient, twice
 the shared bigrams over all of both. It can only reach ``LEAST`` if the sizes of both sets are
 within a factor of ``(2 - LEAST) / LEAST`` of each other, so templates of other sizes are never compared.
@@ -72,6 +74,82 @@ _SENTENCES = {
 }
 
 
+#: Paragraphs of licence files and headers, as they are published.
+_PARAGRAPHS = {
+    "Apache-2.0": (
+        'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. '
+        "You may obtain a copy of the License at",
+        'Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, '
+        "WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+    ),
+    "BSD": (
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer.",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution.",
+        'THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT '
+        "LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE "
+        "COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES "
+        "(INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) "
+        "HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) "
+        "ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    "BSD-3-Clause": (
+        "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from "
+        "this software without specific prior written permission.",
+    ),
+    "BSL-1.0": (
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying "
+        'documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and '
+        "to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to "
+        "the following:",
+    ),
+    "ISC": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that "
+        "the above copyright notice and this permission notice appear in all copies.",
+        'THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES '
+        "OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR "
+        "ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS "
+        "ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.",
+    ),
+    "MIT": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "
+        '"Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, '
+        "distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject "
+        "to the following conditions:",
+        'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF '
+        "MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR "
+        "ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH "
+        "THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
+    "MPL-2.0": (
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this "
+        "file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+    ),
+    "Unlicense": (
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled "
+        "binary, for any purpose, commercial or non-commercial, and by any means.",
+    ),
+    "Zlib": (
+        "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages "
+        "arising from the use of this software.",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and "
+        "redistribute it freely, subject to the following restrictions:",
+    ),
+}
+#: Headers that the GNU licences share but for their names and versions.
+_GNU = {"AGPL-3.0": ("Affero ", 3), "GPL-2.0": ("", 2), "GPL-3.0": ("", 3), "LGPL-2.1": ("Lesser ", 2.1), "LGPL-3.0": ("Lesser ", 3)}
+_GNU_HEADER = (
+    "This program is free software: you can redistribute it and/or modify it under the terms of the GNU {0}General Public License as published by "
+    "the Free Software Foundation, either version {1} of the License, or (at your option) any later version.",
+)
+_GNU_REST = (
+    "This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of "
+    "MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {0}General Public License for more details.",
+    "You should have received a copy of the GNU {0}General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+)
+
+
 def normalised(text: str) -> list[str]:
     return re.sub("[^a-z0-9]+", " ", text.lower()).split()
 
@@ -89,7 +167,9 @@ def _statements() -> list[tuple[str, str]]:
         for name in names
         for lead in _LEADS
     ]
-    given += [(k, s) for k, sentences in _SENTENCES.items() for s in sentences]
+    given += [(k, s) for known in (_SENTENCES, _PARAGRAPHS) for k, sentences in known.items() for s in sentences]
+    given += [(k, s.format(*filled)) for k, filled in _GNU.items() for s in _GNU_HEADER]
+    given += [(f"{kind}GPL", s.format(name)) for kind, name in (("A", "Affero "), ("", ""), ("L", "Lesser ")) for s in _GNU_REST]
     return list({tuple(normalised(s)): (k, s) for k, s in sorted(given)}.values())
 
 
@@ -131,8 +211,8 @@ def _words(text: Column) -> Column:
 def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> DataFrame:
     """One row for each piece of a text that is a licence statement.
 
-    ``docs`` has doc_id and text. The result has doc_id, piece (its number in the text, from 0), license,
-    dice and statement (the piece as it stands).
+    ``docs`` has doc_id and text. The result has doc_id, part (line or paragraph), piece (its number among the text's
+    lines and sentences or among its paragraphs, from 0), license, dice and statement (the piece as it stands).
     """
     literal = F.array(
         *(
@@ -157,17 +237,24 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
         )
         return F.array_max(rated)
 
-    pieces = F.transform(F.split(text_of("text"), PIECE_END), lambda p, i: F.struct(i.alias("piece"), F.btrim(p).alias("statement")))
-    gated = F.filter(pieces, lambda p: F.regexp_like(p["statement"], gate))
+    def cut(part: str, end: str) -> Column:
+        return F.transform(F.split(text_of("text"), end), lambda p, i: F.struct(F.lit(part).alias("part"), i.alias("piece"), F.btrim(p, F.lit(" \n")).alias("statement")))
+
+    paragraphs = F.filter(cut("paragraph", PARAGRAPH_END), lambda p: F.contains(p["statement"], F.lit("\n")))
+    gated = F.filter(F.concat(cut("line", PIECE_END), paragraphs), lambda p: F.regexp_like(p["statement"], gate))
     with_gate = docs.select("doc_id", "text").filter(F.regexp_like(text_of("text"), gate))
-    found = with_gate.select("doc_id", F.inline(gated)).select("doc_id", "piece", "statement", let(_bigrams(_words(F.col("statement"))), best).alias("best"))
+    found = with_gate.select("doc_id", F.inline(gated)).select(
+        "doc_id", "part", "piece", "statement", let(_words(F.col("statement")), lambda w: let(_bigrams(w), best)).alias("best")
+    )
     return found.filter(F.col("best.dice") >= least).select(
-        "doc_id", F.col("piece").cast("long").alias("piece"), F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "statement"
+        "doc_id", "part", F.col("piece").cast("long").alias("piece"), F.col("best.license").alias("license"), F.col("best.dice").alias("dice"), "statement"
     )
 
 
 #: Line ends, and white space after the end of a sentence.
 PIECE_END = "\\n|(?<=[.;:!?]) +"
+#: Lines without letters or digits.
+PARAGRAPH_END = "\\n(?:[^A-Za-z0-9\\n]*\\n)+"
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> str:
@@ -179,11 +266,13 @@ def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAS
     marked = "regexp_replace(coalesce(text, ''), '([.;:!?]) +', '\\1\n', 'g')"
     return f"""
 with templates(i, license, pairs) as (values {rows}),
-cut as (select doc_id, string_split({marked}, chr(10)) as parts from documents),
-pieces as (select doc_id, unnest(range(len(parts))) as piece, trim(unnest(parts), ' ') as statement from cut),
+cut as (select doc_id, 'line' as part, string_split({marked}, chr(10)) as parts from documents
+    union all select doc_id, 'paragraph', regexp_split_to_array(coalesce(text, ''), '{PARAGRAPH_END}') from documents),
+pieces as (select * from (select doc_id, part, unnest(range(len(parts))) as piece, trim(unnest(parts), ' ' || chr(10)) as statement from cut)
+    where part = 'line' or contains(statement, chr(10))),
 worded as (select *, list_filter(regexp_split_to_array(translate(statement, {letters}), '[^a-z0-9]+'), lambda x: x <> '') as words from pieces),
 paired as (select *, list_distinct(list_transform(range(1, len(words)), lambda k: words[k] || ' ' || words[k + 1])) as own from worded where len(words) > 1),
-rated as (select doc_id, piece, statement, t.license, t.i, 2.0 * len(list_intersect(t.pairs, own)) / (len(own) + len(t.pairs)) as dice
+rated as (select doc_id, part, piece, statement, t.license, t.i, 2.0 * len(list_intersect(t.pairs, own)) / (len(own) + len(t.pairs)) as dice
     from paired, templates t where len(t.pairs) * {least} <= len(own) * (2 - {least}) and len(own) * {least} <= len(t.pairs) * (2 - {least}))
-select doc_id, piece, license, cast(dice as double) as dice, statement from rated where dice >= {least}
-qualify row_number() over (partition by doc_id, piece order by dice desc, i) = 1"""
+select doc_id, part, piece, license, cast(dice as double) as dice, statement from rated where dice >= {least}
+qualify row_number() over (partition by doc_id, part, piece order by dice desc, i) = 1"""
