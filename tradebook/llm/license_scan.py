@@ -183,7 +183,7 @@ def gate_words(templates: list[tuple[str, str]], least: float = LEAST) -> list[s
     gate word if those bigrams of the template that have none are fewer than that.
     """
     sets = [bigrams(normalised(s)) for _, s in templates]
-    common = {"this", "is", "the", "to", "of", "and", "or", "in", "at", "a", "by", "for", "be", "are", "with", "that", "not", "you", "may", "all", "use", *"0123456789"}
+    common = {*"a all an and any are as at be but by do for from has have if in is it may no not of on or other shall should so such that the this to use was will with you".split(), *"0123456789"}
     chosen: set[str] = set()
     for pairs in sets:
         allowed = math.ceil(least / (2 - least) * len(pairs) - 1e-9) - 1
@@ -254,7 +254,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, least: f
 #: Line ends, and white space after the end of a sentence.
 PIECE_END = "\\n|(?<=[.;:!?]) +"
 #: Lines without letters or digits.
-PARAGRAPH_END = "\\n(?:[^A-Za-z0-9\\n]*\\n)+"
+PARAGRAPH_END = "\\n[^A-Za-z0-9]*\\n"
 
 
 def oracle_sql(templates: list[tuple[str, str]] = TEMPLATES, least: float = LEAST) -> str:
