@@ -48,14 +48,14 @@ def run_batch(
     mode: str = QUARANTINE,
     audit_limit: int | None = None,
 ) -> bool:
-    """Check, log and audit the changes of some tables; False if the batch was done before.
+    """Check, log and audit the changes of some tables; False if the batch was done before or names no table.
 
     The checked changes of all tables are written by one job and everything after reads them from there, so the
     rules run once and a lost executor costs no more than its own tasks. All tables show the batch at the same moment.
     They are left as they are, and readers see the logged changes on top; with ``rewrite`` the buckets that
     hold touched keys are read and written anew, with all that was logged for them before.
     """
-    if store.is_done(batch_id):
+    if not changes or store.is_done(batch_id):
         return False
     if as_of is None:
         as_of = now(store.spark)
