@@ -1,20 +1,26 @@
 """Interpolated modified Kneser-Ney language model: counted by Spark, kept as sorted hash arrays, mapped by workers.
 
-A text is its words and one end token, with begin tokens before them. Tasks count the n-grams of a few
-megabytes of text and send them, packed, to buckets by the hash of their context, so that a bucket
-has all that follows a context. It writes one file: sorted 64-bit hashes of its n-grams with
-their counts (those seen once are hashes only) and of its contexts with their sums. Each distinct n-gram
+A text is its words and one end token, with begin tokens before them. A first job counts the words and writes a
+vocabulary: by hash of the word one file per bucket, with a number for each word that is the smaller the more
+frequent the word is. Tasks then count the n-grams of a few megabytes of text as such numbers and send them, sorted and
+compressed, to buckets by the hash of their context. A bucket writes one file: sorted hashes of its n-grams with their
+counts (those seen once are hashes only) and of its contexts with their sums. Each distinct n-gram
 then counts once for its shorter n-gram without the first word (the continuation count), and so
 on down to single words. Files go below the shared folder, under a passing name until they are whole,
 so a repeated task only replaces a file by the same one. To score, workers map the files and
-look up the sorted hashes of their texts; nothing is loaded, broadcast or sent through the driver but
-a few sums.
+look up the hashes of their texts; nothing is loaded, broadcast or sent through the driver but a few sums.
+
+Of a sorted 64-bit hash a file keeps where its first bits begin and the next 32 bits. With the bucket, a million hashes
+are told apart by more than 56 bits.
 
 The shared folder must be one that workers can open as files (a path or a ``file:`` URI, such as a mounted
 store), since they map them; any other scheme is refused.
 
-What a bucket gets from one task is at most one entry per distinct follower, however common the
-context. Defined results: a null text counts as empty, which is one end token; a null doc_id counts
+Hot contexts: what a bucket gets from one task is at most one entry per distinct follower. A context all of whose words
+are more frequent than ``hot_words`` is dealt, by follower, to as many buckets next to each other as the
+rarest of its words calls for; each has sums of its own, which scoring adds.
+
+Defined results: a null text counts as empty, which is one end token; a null doc_id counts
 as training; repeated rows are counted and scored each; without any training text every token has
 probability one; an empty table gives an empty one.
 """
@@ -24,7 +30,7 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from urllib.parse import urlparse
 
 import numpy as np
@@ -36,15 +42,22 @@ from pyspark.sql import functions as F
 from tradebook.llm.words import Words, chunks, groups, mixed, rolling
 from tradebook.sources.files import scratch_path
 
-ORDER = 2
+ORDER = 3
 #: Words that a bucket gets on average, beyond the number of shuffle partitions.
 BUCKET_WORDS = 1_000_000
-#: Bytes of text that a task counts, and scores, at a time; lookups need about a hundred times as many.
-COUNTED_BYTES = 2 << 20
-SCORED_BYTES = 1 << 20
+#: Occurrences of a word from which on its followers are dealt to several buckets.
+HOT_WORDS = 1_000_000
+#: Bytes of text that a task counts, and scores, at a time.
+COUNTED_BYTES = 4 << 20
+SCORED_BYTES = 3 << 20
+#: Distinct words that a task gathers before it sends their counts.
+GATHERED = 2_000_000
 #: Files that a worker holds open at a time.
-MAPPED = 400
-_BEGIN, _END = (xxhash.xxh64_intdigest(name, 7) for name in (b"begin of text", b"end of text"))
+MAPPED = 600
+_END = xxhash.xxh64_intdigest(b"end of text", 7)
+#: Number of the token before a text; words are numbered from 1 on, unknown words have this bit.
+_BEGIN = 0
+_UNKNOWN = np.uint64(1 << 63)
 
 
 def local_folder(uri: str) -> str:
@@ -64,135 +77,327 @@ class Model:
     buckets: int
     tokens: int
     vocabulary: int
-    discounts: tuple[tuple[float, float, float], ...]
+    texts: int
+    hot_words: int = HOT_WORDS
+    discounts: tuple[tuple[float, float, float], ...] = ()
     #: Sums of the continuation counts of single words, and how many have 1, 2, 3 or more.
-    unigrams: tuple[int, int, int, int]
+    unigrams: tuple[int, int, int, int] = (0, 0, 0, 0)
 
 
-def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all tokens, end tokens included, and where each text starts."""
+def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct tokens, the place of each token among them, and where each text starts."""
     words = Words(texts, lower=True)
-    n = np.diff(words.starts)
-    starts = np.concatenate(([0], np.cumsum(n + 1)))
-    out = np.empty(starts[-1], np.uint64)
-    last = np.zeros(len(out), bool)
+    starts = np.concatenate(([0], np.cumsum(np.diff(words.starts) + 1)))
+    distinct = np.fromiter((xxhash.xxh64_intdigest(w) for w in words.distinct), np.uint64, len(words.distinct))
+    codes = np.empty(starts[-1], np.int64)
+    last = np.zeros(len(codes), bool)
     last[starts[1:] - 1] = True
-    out[last] = np.uint64(_END)
-    out[~last] = words.hashes(1)
-    return out, starts
+    codes[last] = len(distinct)
+    codes[~last] = words.codes
+    return np.append(distinct, np.uint64(_END)), codes, starts
 
 
 def _grams(tokens: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
     """The token before each token, ..., and itself, as ``order`` columns; begin tokens before a text."""
     place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
-    columns = []
-    for back in range(order - 1, -1, -1):
-        column = np.empty_like(tokens)
-        column[back:] = tokens[: len(tokens) - back]
-        column[place < back] = np.uint64(_BEGIN)
-        columns.append(column)
-    return np.stack(columns) if columns else np.empty((0, len(tokens)), np.uint64)
+    columns = np.empty((order, len(tokens)), tokens.dtype)
+    for row, back in enumerate(range(order - 1, -1, -1)):
+        columns[row, back:] = tokens[: len(tokens) - back]
+        columns[row, place < back] = _BEGIN
+    return columns
 
 
 def _key(columns: np.ndarray) -> np.ndarray:
     """One hash for the words of each column."""
-    if not len(columns):
-        return np.zeros(columns.shape[1], np.uint64)
     if len(columns) == 1:
-        return mixed(columns[0])
-    flat = np.ascontiguousarray(columns.T).ravel()
-    return rolling(flat, len(columns))[:: len(columns)]
+        return mixed(columns[0] + np.uint64(0x9E3779B97F4A7C15))
+    spread = mixed(columns + np.uint64(0x9E3779B97F4A7C15))
+    return rolling(np.ascontiguousarray(spread.T).ravel(), len(columns))[:: len(columns)]
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """Small numbers byte by byte, so that the high bytes, nearly all zero, compress to nothing."""
+    """Numbers below 2**40 byte by byte, so that the high bytes, nearly all zero, compress to nothing."""
+    if len(values) and int(values.max()) >> 40:
+        raise OverflowError("counts and word numbers must be below 2**40")
     return values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5].T.tobytes()
 
 
-def _numbers(planes: bytes | pa.Buffer) -> np.ndarray:
-    flat = np.frombuffer(planes, np.uint8).reshape(5, -1)
+def _numbers(planes: np.ndarray) -> np.ndarray:
+    flat = planes.reshape(5, -1)
     out = np.zeros((flat.shape[1], 8), np.uint8)
     out[:, :5] = flat.T
-    return out.view("<u8").ravel().astype(np.int64)
-
-
-def _summed(columns: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Distinct columns in the order of their hash, that hash, and the sums of ``values``."""
-    key = _key(columns)
-    by = np.argsort(key, kind="stable")
-    begin = groups(key[by])
-    return columns[:, by[begin]], key[by[begin]], *(np.add.reduceat(v[by], begin) for v in values)
-
-
-_PACKED = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), *((c, pa.binary()) for c in ("context", "runs", "last", "raw", "links"))])
-_PACKED_SQL = "order int, bucket int, context binary, runs binary, last binary, raw binary, links binary"
+    return out.view("<u8").ravel()
 
 
-def _sent(columns: np.ndarray, raw: np.ndarray, links: np.ndarray, buckets: int) -> Iterator[pa.RecordBatch]:
-    """Distinct n-grams with their counts, packed by the bucket of their context (single words: their own)."""
-    if not columns.shape[1]:
-        return
-    context = _key(columns[:-1] if len(columns) > 1 else columns)
-    bucket = (context % np.uint64(buckets)).astype(np.int64)
-    by = np.lexsort((context, bucket))
+def _by_bucket(bucket: np.ndarray, buckets: int) -> Iterator[tuple[int, np.ndarray]]:
+    """Each bucket that occurs, with the places of its rows in ascending order."""
+    by = np.argsort(bucket.astype(np.uint16 if buckets <= 1 << 16 else np.int64), kind="stable")
     bounds = np.searchsorted(bucket[by], np.arange(buckets + 1))
-    rows = []
     for b in np.flatnonzero(np.diff(bounds)).tolist():
-        take = by[bounds[b] : bounds[b + 1]]
-        # A context is sent once for all that follows it.
-        begin = groups(context[take]) if len(columns) > 1 else np.empty(0, np.int64)
-        runs = np.diff(np.append(begin, len(take))) if len(begin) else begin
-        rows.append(
-            (len(columns), b, np.ascontiguousarray(columns[:-1, take[begin]]).astype("<u8").tobytes(), _planes(runs),
-             columns[-1, take].astype("<u8").tobytes(), _planes(raw[take]), _planes(links[take]))
-        )
-    yield pa.RecordBatch.from_pylist([dict(zip(_PACKED.names, r, strict=True)) for r in rows], _PACKED)
+        yield b, by[bounds[b] : bounds[b + 1]]
 
 
-def _counted(order: int, buckets: int):
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for chunk in chunks(batches, size=COUNTED_BYTES):
-            tokens, starts = _tokens(chunk.column("text"))
-            columns = _grams(tokens, starts, order)
-            columns, _, raw = _summed(columns, np.ones(columns.shape[1], np.int64))
-            yield from _sent(columns, raw, raw, buckets)
+def _summed(keys: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct keys in ascending order, one place of each, and the sums of ``values``."""
+    by = np.argsort(keys)
+    begin = groups(keys[by])
+    return keys[by[begin]], by[begin], np.add.reduceat(values[by], begin)
 
-    return run
 
+# Files ----------------------------------------------------------------------------------------------
 
-def _unpacked(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    order = table.column("order")[0].as_py()
-    parts = []
-    for row in zip(*(table.column(c) for c in ("context", "runs", "last", "raw", "links")), strict=True):
-        context, runs, last, raw, links = (x.as_buffer() for x in row)  # without copies
-        last = np.frombuffer(last, "<u8")[None, :]
-        if order > 1:
-            context = np.repeat(np.frombuffer(context, "<u8").reshape(order - 1, -1), _numbers(runs), axis=1)
-            last = np.concatenate((context, last))
-        parts.append((last, _numbers(raw), _numbers(links)))
-    return tuple(np.concatenate(p, axis=-1) for p in zip(*parts, strict=True))
 
+def _file(folder: str, kind: str, bucket: int) -> str:
+    return f"{folder}/{kind}/{bucket % 256}/{bucket}"
 
-def _file(folder: str, order: int, bucket: int) -> str:
-    return f"{folder}/{order}/{bucket % 256}/{bucket}"
+
+def _narrow(values: np.ndarray) -> np.ndarray:
+    """The numbers in as few bytes as the largest needs."""
+    return values.astype(np.min_scalar_type(int(values.max()) if len(values) else 0))
 
 
 def _save(path: str, arrays: list[np.ndarray]) -> None:
-    """Lengths, then the arrays, all as 64-bit numbers; the file gets its name when it is whole."""
+    """Lengths and widths, then the arrays, each from a multiple of eight on; the file gets its name when it is whole."""
     os.makedirs(os.path.dirname(path), exist_ok=True)
     passing = f"{path}.{uuid.uuid4().hex}"
     with open(passing, "wb") as file:
-        file.write(np.array([len(arrays), *map(len, arrays)], "<u8").tobytes())
+        file.write(np.array([len(arrays), *(x for a in arrays for x in (len(a), a.itemsize))], "<u8").tobytes())
         for a in arrays:
-            file.write(np.ascontiguousarray(a).astype("<u8", copy=False).tobytes())
+            file.write(np.ascontiguousarray(a).tobytes())
+            file.write(bytes(-a.nbytes % 8))
     os.replace(passing, path)
 
 
-_SUMS = ("n1", "n2", "n3", "n4", "total", "three", "raw", "types")
-_STATS = pa.schema([("order", pa.int32()), ("bucket", pa.int32()), *((c, pa.int64()) for c in _SUMS)])
+def _load(path: str) -> list[np.ndarray]:
+    """The arrays of a file, mapped; none if there is no such file."""
+    if not os.path.exists(path):
+        return []
+    whole = np.asarray(np.memmap(path, np.uint8, mode="r"))
+    n = int(whole[:8].view("<u8")[0])
+    sizes = whole[8 : 8 + 16 * n].view("<u8").reshape(n, 2).tolist()
+    arrays, at = [], 8 + 16 * n
+    for length, width in sizes:
+        arrays.append(whole[at : at + length * width].view(f"<u{width}"))
+        at += length * width + -length * width % 8
+    return arrays
+
+
+def _table(keys: np.ndarray) -> list[np.ndarray]:
+    """Ascending hashes as two arrays: where each value of the first bits begins, and the 32 bits after those."""
+    bits = max(0, (len(keys) // 4).bit_length() - 1)
+    starts = np.append(np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)) if bits else [0], len(keys))
+    return [_narrow(starts.astype(np.uint64)), ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)]
+
+
+def _at(table: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which keys are in a table, and where: all places halved together."""
+    starts, low = table
+    if not len(low):
+        return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
+    bits = (len(starts) - 1).bit_length() - 1
+    first = (keys >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(keys), np.int64)
+    left, end = starts[first].astype(np.int64), starts[first + 1].astype(np.int64)
+    want = ((keys << np.uint64(bits)) >> np.uint64(32)).astype(np.uint32)
+    right = end
+    for _ in range(int((end - left).max()).bit_length() if len(keys) else 0):
+        middle = (left + right) >> 1
+        less = (low[np.minimum(middle, len(low) - 1)] < want) & (left < right)
+        left, right = np.where(less, middle + 1, left), np.where(less, right, middle)
+    left = np.minimum(left, len(low) - 1)
+    return (low[left] == want) & (left < end), left
+
+
+class Lookup:
+    """A model's files as mapped arrays."""
+
+    def __init__(self, model: Model):
+        self.model = model
+        self._open: dict[tuple[str, int], list[np.ndarray]] = {}
+
+    def _arrays(self, kind: str, bucket: int) -> list[np.ndarray]:
+        if (kind, bucket) not in self._open:
+            if len(self._open) >= MAPPED:
+                self._open.clear()
+            self._open[kind, bucket] = _load(_file(self.model.folder, kind, bucket))
+        return self._open[kind, bucket]
+
+    def numbers(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and plain counts of words by their hash; unknown words have none."""
+        ids, raw = hashes | _UNKNOWN, np.zeros(len(hashes), np.int64)
+        buckets = self.model.buckets
+        for b, take in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets):
+            if arrays := self._arrays("words", b):
+                words, rank, counts = arrays
+                place = np.minimum(np.searchsorted(words, hashes[take]), len(words) - 1)
+                known = words[place] == hashes[take]
+                rank = rank[place[known]].astype(np.uint64)
+                ids[take[known]] = np.uint64(1) + rank * np.uint64(buckets) + np.uint64(b)
+                raw[take[known]] = counts[rank]
+        return ids, raw
+
+    def _by_number(self, kind: str, ids: np.ndarray, which: int) -> np.ndarray:
+        """Entries of arrays that words' ranks index; 0 for unknown words."""
+        out, buckets = np.zeros(len(ids), np.int64), np.uint64(self.model.buckets)
+        words = np.flatnonzero((ids != _BEGIN) & (ids < _UNKNOWN))
+        at = ids[words] - np.uint64(1)
+        for b, take in _by_bucket((at % buckets).astype(np.int64), self.model.buckets):
+            if arrays := self._arrays(kind, b):
+                out[words[take]] = arrays[which][at[take] // buckets]
+        return out
+
+    def pieces(self, columns: np.ndarray) -> np.ndarray:
+        """How many buckets the followers of each context are dealt to."""
+        ids, back = np.unique(columns, return_inverse=True)
+        raw = self._by_number("words", ids, 2)
+        raw[ids == _BEGIN] = self.model.texts
+        return np.clip(-(-raw // self.model.hot_words), 1, self.model.buckets)[back.reshape(columns.shape)].min(axis=0)
+
+    def homes(self, columns: np.ndarray) -> np.ndarray:
+        """Buckets of n-grams: by the context, and for a hot one by the follower too; single words by number."""
+        buckets = self.model.buckets
+        if len(columns) == 1:
+            return ((columns[0] - np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+        return _dealt(_key(columns[:-1]), _key(columns[-1:]) % self.pieces(columns[:-1]).astype(np.uint64), buckets)
+
+    def links(self, ids: np.ndarray) -> np.ndarray:
+        """Continuation counts of single words."""
+        return self._by_number("1", ids, 0)
+
+    def longer(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Counts of n-grams of two or more words, and the four sums of their contexts, 0 if unknown."""
+        kind, buckets = str(len(columns)), self.model.buckets
+        context = _key(columns[:-1])
+        heads, first, back = np.unique(context, return_index=True, return_inverse=True)
+        pieces = self.pieces(columns[:-1, first])
+        piece = _key(columns[-1:]) % pieces[back].astype(np.uint64)
+        counts, keys = np.zeros(len(context), np.int64), _key(columns)
+        for b, take in _by_bucket(_dealt(context, piece, buckets), buckets):
+            if arrays := self._arrays(kind, b):
+                counts[take[_at(arrays[0:2], keys[take])[0]]] = 1
+                known, place = _at(arrays[2:4], keys[take])
+                counts[take[known]] = arrays[4][place[known]]
+        begin = np.cumsum(pieces) - pieces
+        several = np.repeat(heads, pieces)
+        which = (np.arange(len(several)) - np.repeat(begin, pieces)).astype(np.uint64)
+        sums = np.zeros((4, len(several)), np.int64)
+        for b, take in _by_bucket(_dealt(several, which, buckets), buckets):
+            if arrays := self._arrays(kind, b):
+                sums[:2, take[_at(arrays[5:7], several[take])[0]]] = 1
+                known, place = _at(arrays[7:9], several[take])
+                for i in range(4):
+                    sums[i, take[known]] = arrays[9 + i][place[known]]
+        return counts, np.add.reduceat(sums, begin, axis=1)[:, back]
+
+
+def _dealt(context: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
+    """The bucket of a context's piece; pieces of one context lie next to each other."""
+    return ((context % np.uint64(buckets) + piece) % np.uint64(buckets)).astype(np.int64)
+
+
+# Counting -------------------------------------------------------------------------------------------
+
+_SENT = pa.schema([("bucket", pa.int32()), ("data", pa.binary())])
+_SENT_SQL = "bucket int, data binary"
+_CODEC = "zstd"
+
+
+def _pack(arrays: Iterable[np.ndarray]) -> bytes:
+    """Arrays of one length, compressed, after their length."""
+    arrays = list(arrays)
+    flat = b"".join(_planes(a) for a in arrays)
+    return np.array([len(arrays), len(arrays[0])], "<u8").tobytes() + pa.compress(flat, codec=_CODEC, asbytes=True)
+
+
+def _unpack(data: pa.Buffer) -> np.ndarray:
+    width, n = np.frombuffer(data, "<u8", count=2).tolist()
+    flat = np.frombuffer(pa.decompress(data.slice(16), 5 * width * n, codec=_CODEC), np.uint8).reshape(width, -1)
+    return np.stack([_numbers(a) for a in flat])
+
+
+def _batch(rows: list[tuple[int, bytes]]) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([b for b, _ in rows], pa.int32()), pa.array([d for _, d in rows], pa.binary())], schema=_SENT)
+
+
+def _words(buckets: int):
+    """Distinct words of a task with their counts, as hashes in two halves, by bucket."""
 
+    def sent(hashes: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+        low = np.uint64(0xFFFFFFFF)
+        return _batch(
+            [(b, _pack((hashes[take] >> np.uint64(32), hashes[take] & low, counts[take].astype(np.uint64))))
+             for b, take in _by_bucket((hashes % np.uint64(buckets)).astype(np.int64), buckets)]
+        )
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, counts = np.empty(0, np.uint64), np.empty(0, np.int64)
+        for chunk in chunks(batches, size=COUNTED_BYTES):
+            distinct, codes, _ = _tokens(chunk.column("text"))
+            hashes = np.concatenate((hashes, distinct))
+            hashes, _, counts = _summed(hashes, np.concatenate((counts, np.bincount(codes, minlength=len(distinct)))))
+            if len(hashes) > GATHERED:
+                yield sent(hashes, counts)
+                hashes, counts = hashes[:0], counts[:0]
+        if len(hashes):
+            yield sent(hashes, counts)
+
+    return run
+
+
+def _numbered(folder: str):
+    """Writes the vocabulary of one bucket: its hashes, the rank of each by falling count, and counts by rank."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket = table.column("bucket")[0].as_py()
+        high, low, counts = np.concatenate([_unpack(x.as_buffer()) for x in table.column("data")], axis=1)
+        hashes, _, counts = _summed((high << np.uint64(32)) | low, counts.astype(np.int64))
+        by = np.lexsort((hashes, -counts))
+        rank = np.empty(len(by), np.uint64)
+        rank[by] = np.arange(len(by), dtype=np.uint64)
+        _save(_file(folder, "words", bucket), [hashes, _narrow(rank), _narrow(counts[by])])
+        ends = int(counts[hashes == np.uint64(_END)].sum())
+        return pa.table({"tokens": [int(counts.sum())], "types": [len(counts)], "texts": [ends]})
+
+    return run
+
+
+def _sent(columns: np.ndarray, counts: np.ndarray, lookup: Lookup) -> Iterator[pa.RecordBatch]:
+    """n-grams as numbers with the sums of their counts, sorted and packed by bucket."""
+    if not columns.shape[1]:
+        return
+    ids, codes = np.unique(columns, return_inverse=True)
+    codes, bits = codes.reshape(columns.shape), max(1, (len(ids) - 1).bit_length())
+    if bits * len(columns) < 64:  # all words of an n-gram in one number
+        packed = codes[0].astype(np.uint64)
+        for row in codes[1:]:
+            packed = (packed << np.uint64(bits)) | row.astype(np.uint64)
+        by = np.argsort(packed)
+        begin = groups(packed[by])
+    else:
+        by = np.lexsort(codes[::-1])
+        begin = np.flatnonzero(np.concatenate(([True], (np.diff(codes[:, by], axis=1) != 0).any(axis=0))))
+    columns, counts = columns[:, by[begin]], np.add.reduceat(counts[by], begin).astype(np.uint64)
+    rows = []
+    for b, take in _by_bucket(lookup.homes(columns), lookup.model.buckets):
+        mine = columns[:, take]
+        rows.append((b, _pack((np.diff(mine[0], prepend=np.uint64(0)), *mine[1:], counts[take]))))
+    yield _batch(rows)
+
+
+def _counted(model: Model):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lookup = Lookup(model)
+        for chunk in chunks(batches, size=COUNTED_BYTES):
+            distinct, codes, starts = _tokens(chunk.column("text"))
+            columns = _grams(lookup.numbers(distinct)[0][codes], starts, model.order)
+            yield from _sent(columns, np.ones(columns.shape[1], np.int64), lookup)
+
+    return run
+
+
+_SUMS = ("n1", "n2", "n3", "n4", "total", "three")
 
-def _kept(folder: str, order: int, buckets: int):
+
+def _kept(model: Model, order: int):
     """Sums up the n-grams of one bucket, writes its file, and sends the shorter n-grams on.
 
     Rows that carry sums of a bucket (bucket below zero) pass through.
@@ -201,26 +406,32 @@ def _kept(folder: str, order: int, buckets: int):
     def run(table: pa.Table) -> pa.Table:
         bucket = table.column("bucket")[0].as_py()
         if bucket < 0:
-            return table.select(_PACKED.names)
-        columns, raw, links = _unpacked(table)
-        columns, key, raw, links = _summed(columns, raw, links)
+            return table
+        parts = []
+        for x in table.column("data"):
+            part = _unpack(x.as_buffer())
+            part[0] = np.cumsum(part[0])
+            parts.append(part)
+        found = np.concatenate(parts, axis=1)
+        key, one, links = _summed(_key(found[:-1]), found[-1].astype(np.int64))
+        columns = found[:-1, one]
         if order > 1:
             context = _key(columns[:-1])
-            by = np.argsort(context, kind="stable")
+            by = np.argsort(context)
             begin = groups(context[by])
             sums = [np.add.reduceat(x[by].astype(np.int64), begin) for x in (links, links == 1, links == 2, links >= 3)]
             heads, once, many = context[by[begin]], sums[0] == 1, sums[0] > 1
             single = links == 1
-            arrays = [key[single], key[~single], links[~single], heads[once], heads[many], *(s[many] for s in sums)]
+            arrays = [*_table(key[single]), *_table(key[~single]), _narrow(links[~single])]
+            arrays += [*_table(heads[once]), *_table(heads[many]), *(_narrow(s[many]) for s in sums)]
         else:
-            arrays = [key, links, raw]
-        _save(_file(folder, order, bucket), arrays)
-        counts = [*(int((links == k).sum()) for k in (1, 2, 3, 4)), int(links.sum()), int((links >= 3).sum()), int(raw.sum()), len(raw)]
-        stats = {"order": order, "bucket": -1 - bucket, "context": b"", "runs": b"", "last": np.array(counts, "<i8").tobytes(), "raw": b"", "links": b""}
-        out = [pa.RecordBatch.from_pylist([stats], _PACKED)]
+            ranks = (columns[0] - np.uint64(1)) // np.uint64(model.buckets)
+            arrays = [_narrow(links[np.argsort(ranks)])]  # each word of the vocabulary ends some n-gram
+        _save(_file(model.folder, str(order), bucket), arrays)
+        counts = [order, *(int((links == k).sum()) for k in (1, 2, 3, 4)), int(links.sum()), int((links >= 3).sum())]
+        out = [_batch([(-1 - bucket, np.array(counts, "<i8").tobytes())])]
         if order > 1:
-            columns, _, raw, links = _summed(columns[1:], raw, np.ones(len(raw), np.int64))
-            out += _sent(columns, raw, links, buckets)
+            out += _sent(columns[1:], np.ones(columns.shape[1], np.int64), Lookup(model))
         return pa.Table.from_batches(out)
 
     return run
@@ -236,104 +447,41 @@ def _discounts(n1: int, n2: int, n3: int, n4: int) -> tuple[float, float, float]
     return (0.5, 1.0, 1.5)
 
 
-def train(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> Model:
-    """Count the texts of ``docs`` (text; others ignored) and write the model's files below ``folder``."""
+def train(docs: DataFrame, order: int = ORDER, folder: str | None = None, hot_words: int = HOT_WORDS) -> Model:
+    """Count the texts of ``docs`` (text; others ignored) and write the model's files below ``folder``.
+
+    Followers of words with more than ``hot_words`` occurrences are dealt to several buckets.
+    """
     if order < 1:
         raise ValueError("the order is at least 1")
     spark = docs.sparkSession
     folder = local_folder(folder or scratch_path(spark, "kneser-ney"))
-    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    texts = docs.select(F.col("text").cast("string"))
+    size = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), size // 6 // BUCKET_WORDS)
-    rows = docs.select(F.col("text").cast("string")).mapInArrow(_counted(order, buckets), _PACKED_SQL)
+    words = texts.mapInArrow(_words(buckets), _SENT_SQL).groupBy("bucket").applyInArrow(_numbered(folder), "tokens long, types long, texts long")
+    tokens, types, ends = (x or 0 for x in words.agg(F.sum("tokens"), F.sum("types"), F.sum("texts")).first())
+    model = Model(folder, order, buckets, tokens, types, ends, hot_words)
+    rows = texts.mapInArrow(_counted(model), _SENT_SQL)
     for k in range(order, 0, -1):
-        rows = rows.groupBy("bucket").applyInArrow(_kept(folder, k, buckets), _PACKED_SQL)
+        rows = rows.groupBy("bucket").applyInArrow(_kept(model, k), _SENT_SQL)
 
     def numbers(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            values = [np.frombuffer(x, "<i8").tolist() for x in batch.column("last").to_pylist()]
-            columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(len(_SUMS))]
-            yield pa.record_batch([batch.column("order"), batch.column("bucket"), *columns], schema=_STATS)
+            values = [np.frombuffer(x, "<i8").tolist() for x in batch.column("data").to_pylist()]
+            columns = [pa.array([v[i] for v in values], pa.int64()) for i in range(1 + len(_SUMS))]
+            yield pa.record_batch(columns, ["order", *_SUMS])
 
-    stats = rows.mapInArrow(numbers, "order int, bucket int, " + ", ".join(f"{c} long" for c in _SUMS))
+    stats = rows.mapInArrow(numbers, ", ".join(f"{c} long" for c in ("order", *_SUMS)))
     sums = {r["order"]: r for r in stats.groupBy("order").agg(*(F.sum(c).alias(c) for c in _SUMS)).collect()}
     none = dict.fromkeys(_SUMS, 0)
     found = [sums[k].asDict() if k in sums else none for k in range(1, order + 1)]
     first = found[0]
-    return Model(
-        folder, order, buckets, first["raw"], first["types"],
-        tuple(_discounts(f["n1"], f["n2"], f["n3"], f["n4"]) for f in found),
-        (first["total"], first["n1"], first["n2"], first["three"]),
-    )
+    discounts = tuple(_discounts(f["n1"], f["n2"], f["n3"], f["n4"]) for f in found)
+    return replace(model, discounts=discounts, unigrams=(first["total"], first["n1"], first["n2"], first["three"]))
 
 
-class Lookup:
-    """A model's files as mapped arrays."""
-
-    def __init__(self, model: Model):
-        self.model = model
-        self._open: dict[tuple[int, int], list[np.ndarray]] = {}
-
-    def _arrays(self, order: int, bucket: int) -> list[np.ndarray]:
-        if (order, bucket) not in self._open:
-            if len(self._open) >= MAPPED:
-                self._open.clear()
-            path = _file(self.model.folder, order, bucket)
-            arrays: list[np.ndarray] = []
-            if os.path.exists(path):
-                whole = np.memmap(path, "<u8", mode="r")
-                at = 1 + int(whole[0])
-                for n in whole[1:at].tolist():
-                    arrays.append(whole[at : at + n])
-                    at += n
-            self._open[order, bucket] = arrays
-        return self._open[order, bucket]
-
-    def _each(self, keys: np.ndarray, homes: np.ndarray):
-        """Distinct keys by the bucket of their context: (bucket, keys in ascending order, which they are)."""
-        bucket = (homes % np.uint64(self.model.buckets)).astype(np.int64)
-        by = np.argsort(bucket, kind="stable")
-        bounds = np.searchsorted(bucket[by], np.arange(self.model.buckets + 1))
-        for b in np.flatnonzero(np.diff(bounds)).tolist():
-            take = by[bounds[b] : bounds[b + 1]]
-            yield b, keys[take], take
-
-    @staticmethod
-    def _at(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Which keys are in a sorted table, and where."""
-        if not len(table):
-            return np.zeros(len(keys), bool), np.zeros(len(keys), np.int64)
-        place = np.minimum(np.searchsorted(table, keys), len(table) - 1)
-        return table[place] == keys, place
-
-    def words(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Continuation counts and plain counts of single words."""
-        keys, back = np.unique(_key(columns), return_inverse=True)
-        links, raw = np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
-        for b, some, take in self._each(keys, keys):
-            if arrays := self._arrays(1, b):
-                known, place = self._at(arrays[0], some)
-                links[take[known]], raw[take[known]] = arrays[1][place[known]], arrays[2][place[known]]
-        return links[back], raw[back]
-
-    def longer(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams of two or more words, and the four sums of their contexts, 0 if unknown."""
-        order, context = len(columns), _key(columns[:-1])
-        keys, first, back = np.unique(_key(columns), return_index=True, return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        for b, some, take in self._each(keys, context[first]):
-            if arrays := self._arrays(order, b):
-                counts[take[self._at(arrays[0], some)[0]]] = 1
-                known, place = self._at(arrays[1], some)
-                counts[take[known]] = arrays[2][place[known]]
-        heads, home = np.unique(context, return_inverse=True)
-        sums = np.zeros((4, len(heads)), np.int64)
-        for b, some, take in self._each(heads, heads):
-            if arrays := self._arrays(order, b):
-                sums[:2, take[self._at(arrays[3], some)[0]]] = 1
-                known, place = self._at(arrays[4], some)
-                for i in range(4):
-                    sums[i, take[known]] = arrays[5 + i][place[known]]
-        return counts[back], sums[:, home]
+# Scoring --------------------------------------------------------------------------------------------
 
 
 def _step(counts: np.ndarray, sums: np.ndarray, discounts: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
@@ -351,11 +499,11 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(model)
         for chunk in chunks(batches, size=SCORED_BYTES):
-            tokens, starts = _tokens(chunk.column("text"))
-            columns = _grams(tokens, starts, model.order)
-            links, raw = lookup.words(columns[-1:])
-            sums = np.repeat(np.array(model.unigrams, np.int64)[:, None], len(tokens), axis=1)
-            p = _step(links, sums, model.discounts[0], np.full(len(tokens), 1 / (model.vocabulary + 1)))
+            distinct, codes, starts = _tokens(chunk.column("text"))
+            ids, raw = lookup.numbers(distinct)
+            sums = np.repeat(np.array(model.unigrams, np.int64)[:, None], len(ids), axis=1)
+            p = _step(lookup.links(ids), sums, model.discounts[0], np.full(len(ids), 1 / (model.vocabulary + 1)))[codes]
+            columns, raw = _grams(ids[codes], starts, model.order), raw[codes]
             for k in range(2, model.order + 1):
                 counts, sums = lookup.longer(columns[-k:])
                 p = _step(counts, sums, model.discounts[k - 1], p)
