@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tradebook.llm.words import Words, chunks, groups, mixed, rolling
+from tradebook.llm.words import Words, chunks, groups, mixed
 from tradebook.sources.files import scratch_path
 
 ORDER = 3
@@ -58,6 +58,8 @@ _END = xxhash.xxh64_intdigest(b"end of text", 7)
 #: Number of the token before a text; words are numbered from 1 on, unknown words have this bit.
 _BEGIN = 0
 _UNKNOWN = np.uint64(1 << 63)
+#: Odd multiplier of hashes.
+_ODD = 0x9E3779B97F4A7C15
 
 
 def local_folder(uri: str) -> str:
@@ -97,22 +99,36 @@ def _tokens(texts: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]
     return np.append(distinct, np.uint64(_END)), codes, starts
 
 
-def _grams(tokens: np.ndarray, starts: np.ndarray, order: int) -> np.ndarray:
-    """The token before each token, ..., and itself, as ``order`` columns; begin tokens before a text."""
+def _grams(tokens: np.ndarray, starts: np.ndarray, order: int, begin: int) -> np.ndarray:
+    """The token before each token, ..., and itself, as ``order`` columns; ``begin`` before a text."""
     place = np.arange(len(tokens)) - np.repeat(starts[:-1], np.diff(starts))
     columns = np.empty((order, len(tokens)), tokens.dtype)
     for row, back in enumerate(range(order - 1, -1, -1)):
         columns[row, back:] = tokens[: len(tokens) - back]
-        columns[row, place < back] = _BEGIN
+        columns[row, place < back] = begin
     return columns
 
 
-def _key(columns: np.ndarray) -> np.ndarray:
-    """One hash for the words of each column."""
-    if len(columns) == 1:
-        return mixed(columns[0] + np.uint64(0x9E3779B97F4A7C15))
-    spread = mixed(columns + np.uint64(0x9E3779B97F4A7C15))
-    return rolling(np.ascontiguousarray(spread.T).ravel(), len(columns))[:: len(columns)]
+def _spread(ids: np.ndarray) -> np.ndarray:
+    """A hash of each number."""
+    return mixed(ids + np.uint64(_ODD))
+
+
+def _key(spread: np.ndarray) -> np.ndarray:
+    """One hash for each column of hashes."""
+    total = spread[0]
+    for row in spread[1:]:
+        total = total * np.uint64(_ODD) + row
+    return mixed(total)
+
+
+def _distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct values in ascending order, one place of each, and which of them each value is."""
+    by = np.argsort(values)
+    begin = groups(values[by]) if len(by) else by
+    back = np.empty(len(values), np.int64)
+    back[by] = np.repeat(np.arange(len(begin)), np.diff(np.append(begin, len(by))))
+    return values[by[begin]], by[begin], back
 
 
 def _planes(values: np.ndarray) -> bytes:
@@ -245,48 +261,61 @@ class Lookup:
                 out[words[take]] = arrays[which][at[take] // buckets]
         return out
 
+    def dealt(self, ids: np.ndarray, raw: np.ndarray | None = None) -> np.ndarray:
+        """How many buckets the followers of each word are dealt to."""
+        raw = self._by_number("words", ids, 2) if raw is None else raw
+        raw = np.where(ids == _BEGIN, self.model.texts, raw)
+        return np.clip(-(-raw // self.model.hot_words), 1, self.model.buckets)
+
     def pieces(self, columns: np.ndarray) -> np.ndarray:
         """How many buckets the followers of each context are dealt to."""
-        ids, back = np.unique(columns, return_inverse=True)
-        raw = self._by_number("words", ids, 2)
-        raw[ids == _BEGIN] = self.model.texts
-        return np.clip(-(-raw // self.model.hot_words), 1, self.model.buckets)[back.reshape(columns.shape)].min(axis=0)
-
-    def homes(self, columns: np.ndarray) -> np.ndarray:
-        """Buckets of n-grams: by the context, and for a hot one by the follower too; single words by number."""
-        buckets = self.model.buckets
-        if len(columns) == 1:
-            return ((columns[0] - np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
-        return _dealt(_key(columns[:-1]), _key(columns[-1:]) % self.pieces(columns[:-1]).astype(np.uint64), buckets)
+        out = np.full(columns.shape[1], self.model.buckets)
+        for row in columns:
+            ids, _, back = _distinct(row)
+            out = np.minimum(out, self.dealt(ids)[back])
+        return out
 
     def links(self, ids: np.ndarray) -> np.ndarray:
         """Continuation counts of single words."""
         return self._by_number("1", ids, 0)
 
-    def longer(self, columns: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of n-grams of two or more words, and the four sums of their contexts, 0 if unknown."""
-        kind, buckets = str(len(columns)), self.model.buckets
-        context = _key(columns[:-1])
-        heads, first, back = np.unique(context, return_index=True, return_inverse=True)
-        pieces = self.pieces(columns[:-1, first])
-        piece = _key(columns[-1:]) % pieces[back].astype(np.uint64)
-        counts, keys = np.zeros(len(context), np.int64), _key(columns)
-        for b, take in _by_bucket(_dealt(context, piece, buckets), buckets):
+    def _many(self, arrays: list[np.ndarray], keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Which keys are in a table, which of these have entries of their own (others are seen once), and their places."""
+        known, place = _at(arrays[:2], keys)
+        known = np.flatnonzero(known)
+        place, several = place[known], arrays[2]
+        if not len(several):
+            return known, known[:0], known[:0]
+        at = np.minimum(np.searchsorted(several, place.astype(several.dtype)), len(several) - 1)
+        many = several[at] == place
+        return known, known[many], at[many]
+
+    def longer(self, spread: np.ndarray, pieces: np.ndarray, discounts: tuple[float, float, float]) -> tuple[np.ndarray, ...]:
+        """Of n-grams of two or more words: counts, sums of their contexts, what is taken off in these; 0 if unknown.
+
+        ``spread`` has the hashes of the words, ``pieces`` how many buckets the followers of each context are dealt to.
+        """
+        kind, buckets = str(len(spread)), self.model.buckets
+        context, keys = _key(spread[:-1]), _key(spread)
+        counts = np.zeros(len(context), np.int64)
+        for b, take in _by_bucket(_dealt(context, spread[-1] % pieces.astype(np.uint64), buckets), buckets):
             if arrays := self._arrays(kind, b):
-                counts[take[_at(arrays[0:2], keys[take])[0]]] = 1
-                known, place = _at(arrays[2:4], keys[take])
-                counts[take[known]] = arrays[4][place[known]]
+                known, many, at = self._many(arrays[:3], keys[take])
+                counts[take[known]] = 1
+                counts[take[many]] = arrays[3][at]
+        heads, first, back = _distinct(context)
+        pieces = pieces[first]
         begin = np.cumsum(pieces) - pieces
         several = np.repeat(heads, pieces)
         which = (np.arange(len(several)) - np.repeat(begin, pieces)).astype(np.uint64)
-        sums = np.zeros((4, len(several)), np.int64)
+        total, off = np.zeros(len(several)), np.zeros(len(several))
         for b, take in _by_bucket(_dealt(several, which, buckets), buckets):
             if arrays := self._arrays(kind, b):
-                sums[:2, take[_at(arrays[5:7], several[take])[0]]] = 1
-                known, place = _at(arrays[7:9], several[take])
-                for i in range(4):
-                    sums[i, take[known]] = arrays[9 + i][place[known]]
-        return counts, np.add.reduceat(sums, begin, axis=1)[:, back]
+                known, many, at = self._many(arrays[4:7], several[take])
+                total[take[known]], off[take[known]] = 1, discounts[0]
+                total[take[many]] = arrays[7][at]
+                off[take[many]] = sum(d * arrays[8 + i][at] for i, d in enumerate(discounts))
+        return counts, np.add.reduceat(total, begin)[back], np.add.reduceat(off, begin)[back]
 
 
 def _dealt(context: np.ndarray, piece: np.ndarray, buckets: int) -> np.ndarray:
@@ -360,13 +389,15 @@ def _numbered(folder: str):
     return run
 
 
-def _sent(columns: np.ndarray, counts: np.ndarray, lookup: Lookup) -> Iterator[pa.RecordBatch]:
-    """n-grams as numbers with the sums of their counts, sorted and packed by bucket."""
-    if not columns.shape[1]:
+def _sent(ids: np.ndarray | None, codes: np.ndarray, counts: np.ndarray, lookup: Lookup) -> Iterator[pa.RecordBatch]:
+    """n-grams with the sums of their counts, sorted and packed by bucket.
+
+    A column of ``codes`` is an n-gram, by places in the ascending numbers ``ids``, or by number.
+    """
+    if not codes.shape[1]:
         return
-    ids, codes = np.unique(columns, return_inverse=True)
-    codes, bits = codes.reshape(columns.shape), max(1, (len(ids) - 1).bit_length())
-    if bits * len(columns) < 64:  # all words of an n-gram in one number
+    bits = max(1, int(codes.max()).bit_length())
+    if bits * len(codes) < 64:  # all words of an n-gram in one number
         packed = codes[0].astype(np.uint64)
         for row in codes[1:]:
             packed = (packed << np.uint64(bits)) | row.astype(np.uint64)
@@ -374,10 +405,17 @@ def _sent(columns: np.ndarray, counts: np.ndarray, lookup: Lookup) -> Iterator[p
         begin = groups(packed[by])
     else:
         by = np.lexsort(codes[::-1])
-        begin = np.flatnonzero(np.concatenate(([True], (np.diff(codes[:, by], axis=1) != 0).any(axis=0))))
-    columns, counts = columns[:, by[begin]], np.add.reduceat(counts[by], begin).astype(np.uint64)
+        begin = np.flatnonzero(np.concatenate(([True], (codes[:, by[1:]] != codes[:, by[:-1]]).any(axis=0))))
+    codes, counts = codes[:, by[begin]], np.add.reduceat(counts[by], begin).astype(np.uint64)
+    columns, buckets = codes if ids is None else ids[codes], lookup.model.buckets
+    if len(columns) == 1:  # single words by number
+        homes = ((columns[0] - np.uint64(1)) % np.uint64(buckets)).astype(np.int64)
+    else:
+        pieces = lookup.pieces(columns[:-1]) if ids is None else lookup.dealt(ids)[codes[:-1]].min(axis=0)
+        spread = _spread(columns)
+        homes = _dealt(_key(spread[:-1]), spread[-1] % pieces.astype(np.uint64), buckets)
     rows = []
-    for b, take in _by_bucket(lookup.homes(columns), lookup.model.buckets):
+    for b, take in _by_bucket(homes, buckets):
         mine = columns[:, take]
         rows.append((b, _pack((np.diff(mine[0], prepend=np.uint64(0)), *mine[1:], counts[take]))))
     yield _batch(rows)
@@ -388,8 +426,9 @@ def _counted(model: Model):
         lookup = Lookup(model)
         for chunk in chunks(batches, size=COUNTED_BYTES):
             distinct, codes, starts = _tokens(chunk.column("text"))
-            columns = _grams(lookup.numbers(distinct)[0][codes], starts, model.order)
-            yield from _sent(columns, np.ones(columns.shape[1], np.int64), lookup)
+            ids, _, rank = _distinct(np.append(np.uint64(_BEGIN), lookup.numbers(distinct)[0]))
+            columns = _grams(rank[1:][codes], starts, model.order, 0)
+            yield from _sent(ids, columns, np.ones(columns.shape[1], np.int64), lookup)
 
     return run
 
@@ -413,17 +452,17 @@ def _kept(model: Model, order: int):
             part[0] = np.cumsum(part[0])
             parts.append(part)
         found = np.concatenate(parts, axis=1)
-        key, one, links = _summed(_key(found[:-1]), found[-1].astype(np.int64))
+        spread = _spread(found[:-1])
+        key, one, links = _summed(_key(spread), found[-1].astype(np.int64))
         columns = found[:-1, one]
         if order > 1:
-            context = _key(columns[:-1])
+            context = _key(spread[:-1, one])
             by = np.argsort(context)
             begin = groups(context[by])
             sums = [np.add.reduceat(x[by].astype(np.int64), begin) for x in (links, links == 1, links == 2, links >= 3)]
-            heads, once, many = context[by[begin]], sums[0] == 1, sums[0] > 1
-            single = links == 1
-            arrays = [*_table(key[single]), *_table(key[~single]), _narrow(links[~single])]
-            arrays += [*_table(heads[once]), *_table(heads[many]), *(_narrow(s[many]) for s in sums)]
+            several, many = np.flatnonzero(links > 1), np.flatnonzero(sums[0] > 1)
+            arrays = [*_table(key), several.astype(np.min_scalar_type(len(key))), _narrow(links[several])]
+            arrays += [*_table(context[by[begin]]), many.astype(np.min_scalar_type(len(begin))), *(_narrow(s[many]) for s in sums)]
         else:
             ranks = (columns[0] - np.uint64(1)) // np.uint64(model.buckets)
             arrays = [_narrow(links[np.argsort(ranks)])]  # each word of the vocabulary ends some n-gram
@@ -431,7 +470,7 @@ def _kept(model: Model, order: int):
         counts = [order, *(int((links == k).sum()) for k in (1, 2, 3, 4)), int(links.sum()), int((links >= 3).sum())]
         out = [_batch([(-1 - bucket, np.array(counts, "<i8").tobytes())])]
         if order > 1:
-            out += _sent(columns[1:], np.ones(columns.shape[1], np.int64), Lookup(model))
+            out += _sent(None, columns[1:], np.ones(columns.shape[1], np.int64), Lookup(model))
         return pa.Table.from_batches(out)
 
     return run
@@ -484,13 +523,11 @@ def train(docs: DataFrame, order: int = ORDER, folder: str | None = None, hot_wo
 # Scoring --------------------------------------------------------------------------------------------
 
 
-def _step(counts: np.ndarray, sums: np.ndarray, discounts: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
-    """Probabilities of one order from those of the order below."""
-    off = np.array([0.0, *discounts])[np.minimum(counts, 3)]
-    kept = discounts[0] * sums[1] + discounts[1] * sums[2] + discounts[2] * sums[3]
+def _step(counts: np.ndarray, total: np.ndarray, off: np.ndarray, discounts: tuple[float, float, float], lower: np.ndarray) -> np.ndarray:
+    """Probabilities of one order from those of the order below; ``off`` is what was taken off ``total``."""
     with np.errstate(divide="ignore", invalid="ignore"):
-        found = (counts - off + kept * lower) / sums[0]
-    return np.where(sums[0] > 0, found, lower)
+        found = (counts - np.array([0.0, *discounts])[np.minimum(counts, 3)] + off * lower) / total
+    return np.where(total > 0, found, lower)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
@@ -501,12 +538,16 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for chunk in chunks(batches, size=SCORED_BYTES):
             distinct, codes, starts = _tokens(chunk.column("text"))
             ids, raw = lookup.numbers(distinct)
-            sums = np.repeat(np.array(model.unigrams, np.int64)[:, None], len(ids), axis=1)
-            p = _step(lookup.links(ids), sums, model.discounts[0], np.full(len(ids), 1 / (model.vocabulary + 1)))[codes]
-            columns, raw = _grams(ids[codes], starts, model.order), raw[codes]
+            total, *kinds = model.unigrams
+            off = sum(d * n for d, n in zip(model.discounts[0], kinds, strict=True))
+            p = _step(lookup.links(ids), np.array(total), np.array(off), model.discounts[0], np.array(1 / (model.vocabulary + 1)))[codes]
+            if model.order > 1:
+                spread = _grams(_spread(ids)[codes], starts, model.order, _spread(np.array([_BEGIN], np.uint64))[0])
+                pieces = _grams(lookup.dealt(ids, raw)[codes], starts, model.order, lookup.dealt(np.array([_BEGIN], np.uint64))[0])
             for k in range(2, model.order + 1):
-                counts, sums = lookup.longer(columns[-k:])
-                p = _step(counts, sums, model.discounts[k - 1], p)
+                off = model.discounts[k - 1]
+                p = _step(*lookup.longer(spread[-k:], pieces[-k:-1].min(axis=0), off), off, p)
+            raw = raw[codes]
             base = np.log10((raw + 0.5) / (model.tokens + 0.5 * (model.vocabulary + 1)))
             logs, n = np.add.reduceat(np.log10(p), starts[:-1]), np.diff(starts)
             yield pa.record_batch(
