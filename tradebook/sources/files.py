@@ -12,6 +12,10 @@ from tradebook.schema import SCHEMAS, Tables
 CSV_OPTIONS = {"header": "true", "timestampNTZFormat": "yyyy-MM-dd HH:mm:ss", "escape": '"'}
 #: Tables whose text may have line ends. Their csv files can't be split, so other tables are read without.
 MULTI_LINE = ("order_reviews",)
+#: Of Parquet files and of text files, which are several times the size without.
+COMPRESSION, TEXT_COMPRESSION = "zstd", "gzip"
+#: A compressed text file is read by one task.
+RECORDS_PER_TEXT_FILE = 1_000_000
 #: Columns by which rows of a table are looked up.
 LOOKUP = {
     "customers": ("customer_id", "customer_city"),
@@ -54,6 +58,10 @@ def write_table(
         df = df.sortWithinPartitions(*partition_by, *lookup)
     writer = df.write.mode("overwrite").format(file_format).partitionBy(*partition_by)
     writer = writer.options(**{f"parquet.bloom.filter.enabled#{column}": "true" for column in lookup})
+    if file_format == "parquet":
+        writer = writer.option("compression", COMPRESSION)
+    if file_format in ("csv", "json"):
+        writer = writer.option("compression", TEXT_COMPRESSION).option("maxRecordsPerFile", RECORDS_PER_TEXT_FILE)
     if file_format == "csv":
         # Values keep the blanks and line ends that they begin or end with.
         blanks = {f"ignore{side}WhiteSpace": "false" for side in ("Leading", "Trailing")}
