@@ -6,7 +6,7 @@ from tradebook.plans.batch import run_batch
 from tradebook.registry.audits import all_audit_sql
 from tradebook.registry.rows import as_of, update_sql
 from tradebook.schema import SCHEMAS, combined, combined_schema
-from tradebook.sources.files import scratch_path
+from tradebook.sources.files import COMPRESSION, scratch_path
 from tradebook.sources.store import Store
 from tradebook.sources.testdata import all_changes, load_tables, oracle, update_batch
 from tradebook.streaming import stream_changes
@@ -19,7 +19,7 @@ def stream_all(spark, sf_dir) -> Store:
     """Write the change batches of all tables as files and take them into a store by one stream."""
     root = scratch_path(spark, "stream")
     store, source = Store(spark, f"{root}/store"), f"{root}/incoming"
-    combined({t: all_changes(spark, sf_dir, t) for t in SCHEMAS}).write.parquet(source)
+    combined({t: all_changes(spark, sf_dir, t) for t in SCHEMAS}).write.option("compression", COMPRESSION).parquet(source)
     files = len(spark.read.schema(combined_schema()).parquet(source).inputFiles())
     stream_changes(store, source, f"{root}/progress", as_of=as_of(), files_per_batch=-(-files // MICRO_BATCHES)).awaitTermination()
     return store
