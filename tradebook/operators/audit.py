@@ -108,14 +108,18 @@ def latest_audit_rows(audit_log: DataFrame) -> DataFrame:
     """The last audit row of each table in a log as its store keeps it, by the number of the batch and of the change.
 
     The newest batch of a table comes from the values of the log's partitions; no other batch's rows are read. The text
-    decides between rows of one change number.
+    decides between rows of one change number. The greatest numbers are found first, by a hash aggregate: for the greatest struct with a
+    text Spark sorts what it is given, which then is no more than the rows of these numbers.
     """
     newest = audit_log.groupBy("at_table").agg(F.max("version").alias("version")).collect()  # a row per table
     wanted = [(F.col("at_table") == r.at_table) & (F.col("version") == r.version) for r in newest]
     rows = audit_log.where(reduce(Column.__or__, wanted, F.lit(False)))
+    numbers = rows.groupBy("at_table").agg(F.max("seq").alias("seq")).collect()
+    ends = [(F.col("at_table") == r.at_table) & F.col("seq").eqNullSafe(F.lit(r.seq).cast("bigint")) for r in numbers]
     order = ["seq", "action_desc"]
     last = F.max(F.struct(*order, *[c for c in audit_log.columns if c not in (*order, "at_table")])).alias("last")
-    return rows.groupBy("at_table").agg(last).select("at_table", "last.*").select(*audit_log.columns)
+    ended = rows.where(reduce(Column.__or__, ends, F.lit(False)))
+    return ended.groupBy("at_table").agg(last).select("at_table", "last.*").select(*audit_log.columns)
 
 
 def latest_audit_row(audit_log: DataFrame, table: str) -> DataFrame:

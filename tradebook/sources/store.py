@@ -25,7 +25,7 @@ from pyspark.sql import types as T
 
 from tradebook.operators.apply import apply_changes
 from tradebook.schema import AUDIT_SCHEMA, KEYS, SCHEMAS, Tables, combined_schema
-from tradebook.sources.files import LOOKUP, write_table
+from tradebook.sources.files import COMPRESSION, LOOKUP, write_table
 
 BUCKETS = 16
 INITIAL_BATCH = "initial"
@@ -40,15 +40,21 @@ def bucket_of(table: str, buckets: int, image: str | None = None) -> Column:
 
 
 @contextmanager
-def _without_sort(spark: SparkSession):
-    """Writers of several partitions at once, so that rows need not be sorted by them; no task has more than these."""
-    name = "spark.sql.maxConcurrentOutputFileWriters"
-    before = spark.conf.get(name)
-    spark.conf.set(name, str(len(SCHEMAS)))
+def _log_settings(spark: SparkSession):
+    """Settings of a session while the log is written, put back afterwards.
+
+    Writers of several partitions at once, so that rows need not be sorted by them; no task has more than these. And all rules
+    and texts of a table would become one method, which the JVM leaves uncompiled beyond 8,000 bytes: they are split up.
+    """
+    wanted = {"spark.sql.maxConcurrentOutputFileWriters": str(len(SCHEMAS)), "spark.sql.codegen.hugeMethodLimit": "8000"}
+    before = {name: spark.conf.get(name) for name in wanted}
+    for name, value in wanted.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(name, before)
+        for name, value in before.items():
+            spark.conf.set(name, value)
 
 
 class Store:
@@ -96,8 +102,9 @@ class Store:
             if df is None:
                 accepted = self._read("changes", self._with_batch(_LOG)).where((F.col("batch") == batch) & F.col("reason").isNull() & F.col("logged"))
                 df = accepted.select(*AUDIT_SCHEMA.fieldNames())
-            with _without_sort(df.sparkSession):
-                df.write.mode("overwrite").partitionBy("at_table").parquet(f"{self.root}/{folder}/batch={batch}")
+            with _log_settings(df.sparkSession):
+                writer = df.write.mode("overwrite").partitionBy("at_table").option("compression", COMPRESSION)
+                writer.parquet(f"{self.root}/{folder}/batch={batch}")
 
     def _write_buckets(self, df: DataFrame, table: str, batch: int) -> None:
         """Rows of some buckets. Spark deals them over tasks by bucket, and splits the buckets that are large."""
