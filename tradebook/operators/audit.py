@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tradebook import fixed
-from tradebook.operators.rules import DELETE, INSERT, UPDATE, differs, differs_null_safe
+from tradebook.operators.rules import DELETE, INSERT, UPDATE, any_of, differs, differs_null_safe
 from tradebook.schema import SCHEMAS
 
 # Tables whose update messages take NULL as a value of its own when comparing images.
@@ -46,6 +46,12 @@ def _fill(table: str, template: str) -> Column:
     return F.concat(*parts)
 
 
+def _known(template: str) -> Column:
+    """Whether all values of a template are known."""
+    names = [reference.split(".") for _, reference, _, _ in Formatter().parse(template) if reference]
+    return reduce(Column.__and__, [F.col(image)[name].isNotNull() for image, name in names], F.lit(True))
+
+
 def _update_text(table: str) -> tuple[Column, Column]:
     """The text for an update and whether the update is logged."""
     old, new = F.col("old"), F.col("new")
@@ -59,7 +65,8 @@ def _update_text(table: str) -> tuple[Column, Column]:
     if table in _NULL_SAFE_ROWS:
         compared = tuple(c for columns, _ in messages for c in columns)
         return text, differs_null_safe(old, new, compared)
-    return text, F.coalesce(*filled).isNotNull()
+    # Whether some message results, without making the texts a second time: none of these tables has a coordinate.
+    return text, any_of([compare(old, new, columns) & _known(message) for columns, message in messages])
 
 
 def describe_changes(changes: DataFrame, table: str, limit: int | None = None) -> DataFrame:

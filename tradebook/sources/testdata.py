@@ -9,7 +9,6 @@ with ``old_`` and ``new_`` images. Every view covers its whole source table.
 from __future__ import annotations
 
 import re
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
@@ -321,6 +320,16 @@ def delete_batch(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def all_changes(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """Insert, update and delete batches of a table in one change frame."""
-    batches = [make(spark, sf_dir, table) for make in (insert_batch, update_batch, delete_batch)]
-    return reduce(DataFrame.unionByName, batches)
+    """Insert, update and delete batches of a table in one change frame, by one pass over the rows of the table."""
+
+    def image(values: dict[str, str]) -> str:
+        fields = [f"'{f.name}', cast({values.get(f.name, f.name)} as {f.dataType.simpleString()})" for f in SCHEMAS[table].fields]
+        return f"named_struct({', '.join(fields)})"
+
+    batches = [
+        ("I", _nothing(table), image(_INSERT[table])),
+        ("U", image(_UPDATE_OLD.get(table, {})), image(_UPDATE_NEW[table])),
+        ("D", image({}), _nothing(table)),
+    ]
+    rows = ", ".join(f"named_struct('op', '{op}', 'seq', cast(seq as bigint), 'old', {old}, 'new', {new})" for op, old, new in batches)
+    return _base_view(spark, sf_dir, f"k_{table}").selectExpr(f"inline(array({rows}))")
