@@ -12,13 +12,15 @@ from pyspark.sql import functions as F
 from tradebook.operators import requests, revenue, sentiment
 from tradebook.registry import analysis
 from tradebook.schema import SCHEMAS, Tables
-from tradebook.sources.clustered import cluster_by_order
+from tradebook.sources.clustered import BY_ORDER, cluster_by_order
 from tradebook.sources.files import LOOKUP, converted, read_table, scratch_path, write_table
-from tradebook.sources.testdata import load_tables, oracle
+from tradebook.sources.testdata import SOURCE_SCHEMAS, load_tables, oracle
 
 ORDER_ID, CUSTOMER_ID = "777".rjust(32, "O"), "42".rjust(32, "C")
 PRODUCT_ID = "77".rjust(32, "P")
 BUCKETS = 8
+#: Beyond these the buckets grow in number, so that a task sorts its own in memory.
+ORDERS_PER_BUCKET = 100_000
 
 _WRITTEN: dict[tuple, object] = {}
 
@@ -31,9 +33,19 @@ def _once(spark, sf_dir, kind: str, make: Callable[[str], object]):
     return _WRITTEN[key]
 
 
-def _clustered(spark, sf_dir) -> Tables:
-    tables = load_tables(spark, sf_dir, "orders", "order_items", "order_reviews", "customers", "products")
-    return _once(spark, sf_dir, "clustered", lambda path: cluster_by_order(tables, path, BUCKETS))
+def _clustered(spark, sf_dir, *names: str) -> Tables:
+    """The named tables, those with an order's rows clustered; a table is written when a query first asks for it."""
+    tables = load_tables(spark, sf_dir, *names)
+    orders = spark.read.schema(SOURCE_SCHEMAS["orders"]).parquet(f"{sf_dir}/orders.parquet").count()  # from the files' footers
+    buckets = max(BUCKETS, -(-orders // ORDERS_PER_BUCKET))
+
+    def table(name: str, df):
+        if name not in BY_ORDER:
+            return df
+        alone = Tables(**{name: df})
+        return _once(spark, sf_dir, f"clustered-{name}", lambda path: getattr(cluster_by_order(alone, path, buckets), name))
+
+    return Tables(**{name: table(name, df) for name, df in tables.present().items()})
 
 
 def _lookup(spark, sf_dir, table: str):
@@ -75,8 +87,10 @@ def _orders_of_customer(spark, sf_dir):
 
 
 QUERIES = {
-    "location_revenue_clustered": lambda spark, sf_dir: revenue.location_revenue(_clustered(spark, sf_dir)),
-    "sentiment_metrics_clustered": lambda spark, sf_dir: sentiment.sentiment_metrics(_clustered(spark, sf_dir), analysis.MIN_REVIEWS),
+    "location_revenue_clustered": lambda spark, sf_dir: revenue.location_revenue(_clustered(spark, sf_dir, "orders", "order_items", "customers")),
+    "sentiment_metrics_clustered": lambda spark, sf_dir: sentiment.sentiment_metrics(
+        _clustered(spark, sf_dir, "order_items", "order_reviews", "products"), analysis.MIN_REVIEWS
+    ),
     "find_orders_by_id": lambda spark, sf_dir: requests.find_orders(_lookup(spark, sf_dir, "orders"), order_id=ORDER_ID),
     "orders_of_customer": _orders_of_customer,
     "items_of_product": _items_of_product,

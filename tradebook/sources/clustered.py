@@ -12,6 +12,7 @@ from uuid import uuid4
 from pyspark.sql import DataFrame, SparkSession
 
 from tradebook.schema import SCHEMAS, Tables
+from tradebook.sources.files import COMPRESSION
 
 BUCKETS = 64
 #: Tables that meet on the order.
@@ -26,7 +27,8 @@ def write_clustered(df: DataFrame, path: str, table: str, by: str = "order_id",
     """Write a table to ``path`` in sorted buckets, one file each, and read it from there."""
     name = _name(table)
     dealt = df.select(*SCHEMAS[table].fieldNames()).repartition(buckets, by)
-    dealt.write.format("parquet").mode("overwrite").bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
+    writer = dealt.write.format("parquet").option("compression", COMPRESSION).mode("overwrite")
+    writer.bucketBy(buckets, by).sortBy(by).option("path", path).saveAsTable(name)
     return df.sparkSession.table(name)
 
 
