@@ -37,9 +37,9 @@ from tradebook.llm.words import chunks
 END_ID = 2
 SHARD_TOKENS = 1 << 21
 #: Bytes of text that a task encodes at a time, so that a word that is frequent in them is looked up once.
-ENCODED_BYTES = 4 << 20
+ENCODED_BYTES = 2 << 20
 #: Distinct parts in each of the two generations that a worker remembers the ids of.
-REMEMBERED = 500_000
+REMEMBERED = 200_000
 _NOT_CUT = " (?:[\\s\\x{b}\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
 _LETTER, _DIGIT, _BLANK, _SIGN, _ROUGH = range(1, 6)
 
