@@ -7,9 +7,10 @@ number of ids before a shard comes from sums per task and within a task, not fro
 
 The tokenizer splits a text before every space that a non-space follows, and inside such pieces between letters, digits,
 punctuation and white space, so that parts between such places have ids of their own. A task finds the parts of its texts by the
-kinds of their bytes, and encodes each distinct part once, as long as its worker remembers it. Pieces with an apostrophe, with
-two white spaces in a row or with characters other than ASCII and Latin letters are parts as they are; texts in which a space is followed
-by white space or ends the text, and texts with an added token of the tokenizer, such as <|endoftext|>, are encoded
+kinds of their bytes, and encodes each distinct part once, as long as its worker remembers it. As the tokenizer would not
+split a part any further, it goes right to the tokenizer's model. Pieces with an apostrophe, with
+two white spaces in a row or with characters other than ASCII and Latin letters are parts as they are, which the tokenizer splits; texts in which
+a space is followed by white space or ends the text, and texts with an added token of the tokenizer, such as <|endoftext|>, are encoded
 whole. Ids are those of the library's default encoding.
 
 Defined results: a null text counts as empty, which leaves only the end id; null ids come first; rows with the
@@ -62,10 +63,10 @@ class _Memory:
     """Ids of what was used of late: two generations, of which the older one goes when the newer one is full."""
 
     def __init__(self) -> None:
-        self._new: dict[str, bytes] = {}
-        self._old: dict[str, bytes] = {}
+        self._new: dict[bytes, bytes] = {}
+        self._old: dict[bytes, bytes] = {}
 
-    def ids_of(self, wanted: list[str], encode: Callable[[list[str]], list[bytes]]) -> list[bytes]:
+    def ids_of(self, wanted: list[bytes], encode: Callable[[list[bytes]], list[bytes]]) -> list[bytes]:
         """Ids of what is ``wanted``, all different."""
         found = list(map(self._new.get, wanted))
         absent = [i for i, x in enumerate(found) if x is None]
@@ -91,7 +92,7 @@ class Encoder:
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self.bits = max(1, (self._tokenizer.get_vocab_size() - 1).bit_length())
@@ -102,6 +103,11 @@ class Encoder:
         added = [t.content for t in self._tokenizer.get_added_tokens_decoder().values() if t.content]
         self._not_cut = "|".join([_NOT_CUT, *map(re.escape, added)])
         self._known = _Memory()
+        # What stands for the bytes of parts in the tokenizer's model.
+        every = "".join(map(chr, range(0x280)))
+        ((shown, _),) = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(every)
+        self._shown = np.zeros(256, "<u4")
+        self._shown[np.frombuffer(every.encode(), np.uint8)] = np.frombuffer(shown.encode("utf-32-le"), "<u4")
 
     @staticmethod
     def of_worker(path: str) -> Encoder:
@@ -116,7 +122,20 @@ class Encoder:
         return kept[path]
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        found = [e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return self._packed([e.ids for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)])
+
+    def _of_parts(self, parts: list[bytes], rough: set[bytes]) -> list[bytes]:
+        """Ids of parts, of which the ``rough`` ones may have to be split further."""
+        single = [x for x in parts if x not in rough]
+        shown = self._shown[np.frombuffer(b"".join(single), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize = self._tokenizer.model.tokenize
+        ids = self._packed([[t.id for t in tokenize(shown[a:b])] for a, b in pairwise([0, *accumulate(map(len, single))])])
+        if len(single) == len(parts):
+            return ids
+        of = {False: iter(ids), True: iter(self._plain([x.decode() for x in parts if x in rough]))}
+        return [next(of[x in rough]) for x in parts]
+
+    def _packed(self, found: list[list[int]]) -> list[bytes]:
         data = np.fromiter(chain.from_iterable(found), self.kind).tobytes()
         ends = [0, *accumulate(len(x) * self.kind.itemsize for x in found)]
         return [data[a:b] for a, b in pairwise(ends)]
@@ -124,11 +143,14 @@ class Encoder:
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids one after the other, and how many each text has."""
         texts = texts.fill_null("").cast(pa.large_string())
+        texts.validate(full=True)  # parts are bytes, which would hide that a text is not UTF-8
         whole = pc.or_(pc.match_substring_regex(texts, self._not_cut), self._whole)
-        parts, numbers = _parts(pc.if_else(whole, "", texts))
+        parts, numbers, rough = _parts(pc.if_else(whole, "", texts))
         parts = parts.dictionary_encode()
-        ids, place, sizes = self._laid(self._known.ids_of(parts.dictionary.to_pylist(), self._plain))
         codes = parts.indices.to_numpy(zero_copy_only=False)
+        distinct = _listed(parts.dictionary)
+        rough = {distinct[i] for i in np.flatnonzero(np.bincount(codes[rough])).tolist()}
+        ids, place, sizes = self._laid(self._known.ids_of(distinct, lambda unknown: self._of_parts(unknown, rough)))
         if pc.any(whole).as_py():
             # A whole text stands as one part where it has none.
             more, more_place, more_sizes = self._laid(self._plain(texts.filter(whole).to_pylist()))
@@ -145,14 +167,23 @@ class Encoder:
         return np.frombuffer(b"".join(ids), self.kind), np.cumsum(sizes) - sizes, sizes
 
 
-def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
-    """The parts of all texts, in which every space is followed by something else, and the number of each text's parts."""
+def _listed(strings: pa.Array) -> list[bytes]:
+    """The bytes of large strings, none of them null."""
+    _, offsets, content = strings.buffers()
+    bounds = np.frombuffer(offsets, np.int64)[strings.offset : strings.offset + len(strings) + 1].tolist() if len(strings) else []
+    data = content.to_pybytes() if content is not None else b""
+    return [data[a:b] for a, b in pairwise(bounds)]
+
+
+def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """The parts of all texts, in which every space is followed by something else, the number of each text's parts, and
+    whether a part may have to be split further, which all parts with the same text agree in."""
     _, offsets, content = texts.buffers()
     offsets = np.frombuffer(offsets, np.int64)[texts.offset : texts.offset + len(texts) + 1]
     data = np.frombuffer(content, np.uint8)[offsets[0] : offsets[-1]] if content is not None else np.empty(0, np.uint8)
     offsets = offsets - offsets[0]
     if not len(data):
-        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64)
+        return pa.array([], pa.large_string()), np.zeros(len(texts), np.int64), np.zeros(0, dtype=bool)
     begins = np.zeros(len(data) + 1, dtype=bool)
     begins[offsets] = True
     begins = begins[:-1] | (data == 32)
@@ -170,7 +201,7 @@ def _parts(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
     cuts = np.flatnonzero(begins | (after & ~rough))
     bounds = np.append(cuts, len(data))
     parts = pa.Array.from_buffers(pa.large_string(), len(cuts), [None, pa.py_buffer(bounds.astype(np.int64)), pa.py_buffer(data)])
-    return parts, np.diff(np.searchsorted(cuts, offsets))
+    return parts, np.diff(np.searchsorted(cuts, offsets)), rough[cuts]
 
 
 def _gathered(values: np.ndarray, place: np.ndarray, sizes: np.ndarray, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
