@@ -283,7 +283,8 @@ def shards(spark: SparkSession, path: str) -> DataFrame:
     before = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     outside = parts.select("part", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("outside"))
     starts = inside.join(outside, "part").select("part", "shard", (F.col("inside") + F.col("outside")).alias("start"))
-    return found.join(starts, ["part", "shard"])
+    # A small row for each file of some megabytes; their data stay where they are read.
+    return found.join(F.broadcast(starts), ["part", "shard"])
 
 
 def _documents(spark: SparkSession, path: str, name: str, kind: str, made: Callable[[bytes], object]) -> DataFrame:

@@ -34,7 +34,8 @@ class Wavelets:
         for level in range(bits - 1, -1, -1):
             one = (left >> left.dtype.type(level)) & left.dtype.type(1) != 0
             planes.append(np.packbits(one, bitorder="little"))
-            left = np.concatenate((left[~one], left[one]))
+            if level:
+                left = np.concatenate((left.take(np.flatnonzero(~one)), left.take(np.flatnonzero(one))))
         return cls(bits, planes, doc_ids, np.asarray(lengths, np.int64))
 
     def to_bytes(self) -> bytes:
